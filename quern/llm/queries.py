@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_classifier, token_counts, toxicity
+from . import quality_classifier, quality_rules, simhash, token_counts, toxicity, url_filters
 from .common import documents, fold, labels
 
 
@@ -13,6 +13,15 @@ def _scored(df: DataFrame) -> DataFrame:
     return df.select("doc_id", (fold() == 0).alias("held_out"), "score", "predicted")
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judged(documents(spark, sf_dir), labels(spark, sf_dir))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judged(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(quality_classifier.classify(documents(spark, sf_dir), labels(spark, sf_dir)))
 
@@ -25,10 +34,17 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.counted(documents(spark, sf_dir))
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.grouped(documents(spark, sf_dir))
+
+
 QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
+    "op3_url_filters": op3_url_filters,
     "op5_quality_classifier": op5_quality_classifier,
     "op7_toxicity": op7_toxicity,
     "op9_token_counts": op9_token_counts,
+    "op10_simhash": op10_simhash,
 }
 
 ORACLES: dict[str, str] = {}
