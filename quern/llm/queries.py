@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_classifier, quality_rules, simhash, token_counts, toxicity, url_filters
+from . import decontaminate, language_id, quality_classifier, quality_rules, simhash, token_counts, toxicity, url_filters
 from .common import documents, fold, labels
 
 
@@ -22,10 +22,19 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judged(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlaps(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(quality_classifier.classify(documents(spark, sf_dir), labels(spark, sf_dir)))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return language_id.identify(docs, language_id.fit(docs)).select("doc_id", (fold() == 0).alias("held_out"), "lang_pred", "score")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(toxicity.classify(documents(spark, sf_dir), labels(spark, sf_dir)))
 
@@ -41,7 +50,9 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op3_url_filters": op3_url_filters,
+    "op4_decontamination": op4_decontamination,
     "op5_quality_classifier": op5_quality_classifier,
+    "op6_language_id": op6_language_id,
     "op7_toxicity": op7_toxicity,
     "op9_token_counts": op9_token_counts,
     "op10_simhash": op10_simhash,
