@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,11 +29,16 @@ _OFFSETS = [np.flatnonzero([c == "1" for c in m]) for m in MASKS]
 _ODD = [np.uint64(pow(0xD1B54A32D192ED03, 2 * i + 1, 1 << 64)) for i in range(16)]
 
 
+def packed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The lower-cased texts, packed."""
+    return textkit.packed(pc.utf8_lower(column.cast(pa.large_string())))
+
+
 def word_tokens(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the lower-cased words (letters, digits, non-ASCII) and where each row starts."""
+    """Hashes of the words (letters, digits, non-ASCII) and where each row starts."""
     kinds = textkit.CLASSES[data]
     starts, ends, rows = textkit.runs(np.where(kinds == textkit.WORD, kinds, 0), at)
-    return textkit.run_hashes(textkit.LOWER[data], starts, ends), np.searchsorted(rows, np.arange(len(at)))
+    return textkit.run_hashes(data, starts, ends), np.searchsorted(rows, np.arange(len(at)))
 
 
 def seeds(tokens: np.ndarray, at: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -56,7 +62,7 @@ def benchmark_seeds(items: DataFrame) -> DataFrame:
     """item_id, seed, pos of every window of every item."""
 
     def run(batch):
-        data, at = textkit.packed(batch.column("text"))
+        data, at = packed(batch.column("text"))
         tokens, rows = word_tokens(data, at)
         ids = np.asarray(batch.column("item_id"))
         found = seeds(tokens, rows)
@@ -69,7 +75,7 @@ def benchmark_seeds(items: DataFrame) -> DataFrame:
 
 def item_tokens(items: DataFrame) -> DataFrame:
     def run(batch):
-        data, at = textkit.packed(batch.column("text"))
+        data, at = packed(batch.column("text"))
         tokens, rows = word_tokens(data, at)
         lists = pa.ListArray.from_arrays(pa.array(rows, pa.int32()), pa.array(tokens.view(np.int64)))
         return pa.record_batch([batch.column("item_id"), lists], ["item_id", "item"])
@@ -94,7 +100,7 @@ def hit_regions(docs: DataFrame, bits: int, bitmap: np.ndarray) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)  # 16 MB at most
 
     def run(batch):
-        data, at = textkit.packed(batch.column("text"))
+        data, at = packed(batch.column("text"))
         ids = np.asarray(batch.column("doc_id"))
         out = []
         for i, j in textkit.pieces(at):
