@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, quality_classifier, quality_rules, simhash, token_counts, toxicity, url_filters
+from . import decontaminate, language_id, quality_classifier, quality_rules, simhash, suffix_dedup, token_counts, toxicity, url_filters
 from .common import documents, fold, labels
 
 
@@ -39,6 +39,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(toxicity.classify(documents(spark, sf_dir), labels(spark, sf_dir)))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removed(documents(spark, sf_dir))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.counted(documents(spark, sf_dir))
 
@@ -54,6 +58,7 @@ QUERIES = {
     "op5_quality_classifier": op5_quality_classifier,
     "op6_language_id": op6_language_id,
     "op7_toxicity": op7_toxicity,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_simhash": op10_simhash,
 }
