@@ -6,7 +6,6 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark import StorageLevel  # noqa: F401  (re-exported for callers that cache)
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 

@@ -29,17 +29,12 @@ class LinearModel:
         return 1 / (1 + np.exp(-np.clip(self.slope * margins + self.shift, -30, 30)))
 
 
-def log_ratios(starts, features, labels, size, least=3, alpha=1.0, sigmas=3.0):
-    """log of the smoothed share of feature occurrences in class 1 over class 0.
+def log_ratios(p, q, n1, n0, least=3, alpha=1.0, sigmas=3.0):
+    """log of the smoothed share of a feature in class 1 (p of n1 rows) over class 0 (q of n0).
 
     A feature in fewer than `least` rows, or whose ratio is within `sigmas` standard
     errors of 0, gets 0, which leaves it out of the model.
     """
-    lengths = np.diff(starts)
-    positive = np.repeat(labels == 1, lengths)
-    p = np.bincount(features[positive], minlength=size).astype(float)
-    q = np.bincount(features[~positive], minlength=size).astype(float)
-    n1, n0 = max(1, int((labels == 1).sum())), max(1, int((labels != 1).sum()))
     r = np.log((p + alpha) / (n1 + 2 * alpha)) - np.log((q + alpha) / (n0 + 2 * alpha))
     r[(p + q < least) | (np.abs(r) < sigmas * np.sqrt(1 / (p + alpha) + 1 / (q + alpha)))] = 0
     return r
@@ -91,43 +86,36 @@ def calibrate(margins, labels, steps=50):
     return max(a, 1e-3), b
 
 
-def fit(starts, features, labels, size, cost=1.0, epochs=12, least=3, sigmas=3.0) -> LinearModel:
-    """Scale indicators by log-count ratios, fit the hinge loss, calibrate on a fifth.
+def constant(share: float, size: int) -> LinearModel:
+    """A model that gives every row the score `share`."""
+    zero = np.zeros(size, np.float32)
+    return LinearModel(zero, zero, 0.0, 1.0, float(np.log((share + 1e-3) / (1 - share + 1e-3))))
 
-    starts, features: the rows' distinct features, concatenated. Without both classes
-    the model is constant: the share of class 1, 0.5 without rows.
+
+def fit(starts, features, labels, tune, ratios, cost=1.0, epochs=12) -> LinearModel:
+    """Scale indicators by their ratios, fit the hinge loss, calibrate on the `tune` rows.
+
+    starts, features: the rows' distinct features with a ratio, concatenated.
     """
-    labels = np.asarray(labels)
-    n = len(labels)
+    size = len(ratios)
     if len(np.unique(labels)) < 2:
-        share = float((labels == 1).mean()) if n else 0.5
-        zero = np.zeros(size)
-        return LinearModel(zero, zero, 0.0, 1.0, float(np.log((share + 1e-3) / (1 - share + 1e-3))))
+        return constant(float((labels == 1).mean()) if len(labels) else 0.5, size)
+    if len(np.unique(labels[tune])) < 2 or len(np.unique(labels[~tune])) < 2:
+        tune = np.ones(len(labels), bool)
+        train = tune
+    else:
+        train = ~tune
 
     def part(chosen):
+        chosen = np.flatnonzero(chosen)
         lengths = np.diff(starts)[chosen]
-        take = np.repeat(starts[:-1][chosen] - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(lengths.sum())
-        return np.concatenate([[0], np.cumsum(lengths)]), features[take]
-
-    tune = np.arange(n) % 5 == 4
-    if n < 50 or len(np.unique(labels[tune])) < 2 or len(np.unique(labels[~tune])) < 2:
-        train = tune = np.ones(n, bool)
-    else:
-        train = ~tune
-    at, f = part(np.flatnonzero(train))
-    r = log_ratios(at, f, labels[train], size, least, sigmas=sigmas)
-    used = np.flatnonzero(r[features])  # what the ratios left out no longer counts
-    starts, features = np.searchsorted(used, starts), features[used]
-    at, f = part(np.flatnonzero(train))
-
-    def scaled(at, f):
-        x = r[f]
-        row = np.repeat(np.arange(len(at) - 1), np.diff(at))
-        return x / np.sqrt(np.bincount(row, x * x, len(at) - 1) + 1)[row]
-
-    w, bias = dual_descent(at, f, scaled(at, f), np.where(labels[train] == 1, 1.0, -1.0), size, cost, epochs)
-    at, f = part(np.flatnonzero(tune))
-    row = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    margins = np.bincount(row, w[f] * scaled(at, f), len(at) - 1) + bias
-    slope, shift = calibrate(margins, labels[tune])
-    return LinearModel((w * r).astype(np.float32), (r * r).astype(np.float32), float(bias), float(slope), float(shift))
+        at = np.concatenate([[0], np.cumsum(lengths)])
+        f = features[np.repeat(starts[:-1][chosen] - at[:-1], lengths) + np.arange(at[-1])]
+        x, row = ratios[f], np.repeat(np.arange(len(chosen)), lengths)
+        return at, f, x / np.sqrt(np.bincount(row, x * x, len(chosen)) + 1)[row], row
+
+    at, f, x, _ = part(train)
+    w, bias = dual_descent(at, f, x, np.where(labels[train] == 1, 1.0, -1.0), size, cost, epochs)
+    at, f, x, row = part(tune)
+    slope, shift = calibrate(np.bincount(row, w[f] * x, len(at) - 1) + bias, labels[tune])
+    return LinearModel((w * ratios).astype(np.float32), (ratios * ratios).astype(np.float32), float(bias), float(slope), float(shift))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import linear, textkit
-from .common import MAX_TRAINING_ROWS, arrays, arrow_map, bounded, fold
+from .common import MAX_TRAINING_ROWS, arrays, arrow_map, bounded, fold, stored
 
 #: Features are hashed to this many bits.
 BITS = 20
@@ -32,27 +32,48 @@ def train(docs: DataFrame, labels: DataFrame, label: str, keys: Keys, cost: floa
     """A model of `labels.<label>` from rows outside fold 0.
 
     At most about `most` labelled rows are used (a documented bound); a document with
-    several labels counts once for each, one without text counts as empty. Only the
-    hashed features of those rows reach the driver.
+    several labels counts once for each, one without text counts as empty. Features are
+    counted on the executors; what reaches the driver are 2 ** BITS counts at most, then
+    the rows' features that the log-count ratios keep.
     """
     rows = labels.select(F.col("doc_id").alias("k"), F.col(label).cast("int").alias("y"))
     rows = rows.filter(F.col("k").isNotNull() & F.col("y").isNotNull() & (fold("k") != 0))
-    rows = bounded(rows, most, "k")
+    rows = bounded(rows, most, "k").withColumn("tune", F.pmod(F.xxhash64("k", F.lit("tune")), F.lit(5)) == 0)
     texts = docs.select(F.col("doc_id").alias("k"), "text")
-    sample = texts.join(F.broadcast(rows), "k").select("text", "y")  # at most about `most` short rows
+    sample = stored(texts.join(F.broadcast(rows), "k").select("text", "y", "tune"))  # at most about `most` short rows
+    n = {(bool(r["tune"]), r["y"] == 1): r["count"] for r in sample.groupBy("tune", (F.col("y") == 1).alias("y")).count().collect()}
+    some = n.get((False, True), 0) and n.get((False, False), 0)
+
+    def count(batches):
+        counts = np.zeros((2, 1 << BITS), np.int64)
+        for batch in batches:
+            found = features(batch, keys)
+            used = ~np.asarray(batch.column("tune")) if some else np.ones(batch.num_rows, bool)
+            good = np.asarray(batch.column("y")) == 1
+            row, f = found >> BITS, found & ((1 << BITS) - 1)
+            for k, own in enumerate((used & good, used & ~good)):
+                counts[k] += np.bincount(f[own[row]], minlength=1 << BITS)
+        f = np.flatnonzero(counts.any(0))
+        yield pa.record_batch([pa.array(f.astype(np.int32)), pa.array(counts[0, f]), pa.array(counts[1, f])], ["f", "p", "q"])
+
+    counts = sample.mapInArrow(count, "f int, p long, q long").groupBy("f").agg(F.sum("p").alias("p"), F.sum("q").alias("q")).filter("p + q >= 3").toArrow()
+    ratios = np.zeros(1 << BITS)
+    sizes = [n.get((False, y), 0) + (0 if some else n.get((True, y), 0)) for y in (True, False)]
+    ratios[np.asarray(counts["f"])] = linear.log_ratios(np.asarray(counts["p"]).astype(float), np.asarray(counts["q"]).astype(float), *sizes)
+    kept = sample.sparkSession.sparkContext.broadcast(ratios != 0)
 
     def featurise(batch):
         found = features(batch, keys)
+        found = found[kept.value[found & ((1 << BITS) - 1)]]
         starts = np.searchsorted(found >> BITS, np.arange(batch.num_rows + 1))
         lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array((found & ((1 << BITS) - 1)).astype(np.int32)))
-        return pa.record_batch([batch.column("y"), lists], ["y", "f"])
+        return pa.record_batch([batch.column("y"), batch.column("tune"), lists], ["y", "tune", "f"])
 
-    table = arrow_map(sample, featurise, "y int, f array<int>").toArrow()
+    table = arrow_map(sample, featurise, "y int, tune boolean, f array<int>").toArrow()
     order = np.lexsort((_row_hash(table), np.asarray(table["y"]))) if table.num_rows else []
-    order = np.random.default_rng(11).permutation(order) if table.num_rows else []
     table = table.take(pa.array(order, pa.int64()))  # the same order however the tasks ended
     starts, found = arrays(table, "f")
-    return linear.fit(starts, found, np.asarray(table["y"]), 1 << BITS, cost)
+    return linear.fit(starts, found, np.asarray(table["y"]), np.asarray(table["tune"]), ratios, cost)
 
 
 def _row_hash(table: pa.Table) -> np.ndarray:
