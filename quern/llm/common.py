@@ -42,12 +42,16 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def arrow_map(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """`f` over each Arrow batch of `df`, batches of bounded rows and bytes."""
-    spark = df.sparkSession
+def arrow_bounds(spark: SparkSession) -> None:
+    """Arrow batches of bounded rows and bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
+
+def arrow_map(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
+    """`f` over each Arrow batch of `df`, batches of bounded rows and bytes."""
+    arrow_bounds(df.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows and (out := f(batch)) is not None and out.num_rows:

@@ -7,6 +7,7 @@ fitted by dual coordinate descent and calibrated to 0..1.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import scoring, textkit
@@ -45,15 +46,12 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, *
 
 def kept(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **options) -> DataFrame:
     """The rows of docs that the classifier does not reject, all columns unchanged."""
-    import pyarrow as pa
-    import pyarrow.compute as pc
-
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, **options))
 
     def run(batches):
         for batch in batches:
             found = scoring.features(batch, word_keys)
             scores = model.value.scores(model.value.margins(found, scoring.BITS, batch.num_rows))
-            yield pc.filter(batch, pa.array(scores >= threshold))
+            yield batch.filter(pa.array(scores >= threshold))
 
     return docs.mapInArrow(run, docs.schema)

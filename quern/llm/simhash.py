@@ -214,3 +214,17 @@ def grouped(docs: DataFrame, cell: int = CELL) -> DataFrame:
     named = named.join(least, "root").select("fp", "component_id")
     text = F.lpad(F.lower(F.hex("fp")), 16, "0")
     return prints.join(named, "fp").select("doc_id", text.alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, cell: int = CELL) -> DataFrame:
+    """One document of each group: the rows of docs that name their component, all columns.
+
+    Of several rows with one id one stays. Rows with a null id cannot be named and stay.
+    """
+    names = grouped(docs, cell).filter("doc_id = component_id").groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__rows"))
+    names = stored(names)
+    kept = docs.join(names, docs["doc_id"] == names["__id"], "left").filter(F.col("__id").isNotNull() | F.col("doc_id").isNull())
+    if names.filter("__rows > 1").isEmpty():
+        return kept.select(docs.columns)
+    once = kept.filter(F.coalesce("__rows", F.lit(1)) <= 1).select(docs.columns)
+    return once.unionByName(kept.filter("__rows > 1").select(docs.columns).dropDuplicates(["doc_id"]))
