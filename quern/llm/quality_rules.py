@@ -138,12 +138,11 @@ def learn(data: dict[str, np.ndarray], bad: np.ndarray, precision: float = 0.95,
     if not n or not bad.any() or bad.all():
         return rules
     cuts = {k: np.unique(np.quantile(x, np.linspace(0, 1, 257))) for k, x in data.items()}
-    left = np.ones(n, bool)
-    shuffled = np.random.default_rng(3).permutation(n)
-    while len(rules) < most_rules and (bad & left).sum() >= least:
-        grow, prune = left.copy(), left.copy()
-        grow[shuffled[2 * n // 3 :]] = False
-        prune[shuffled[: 2 * n // 3]] = False
+    left, failures = np.ones(n, bool), 0
+    random = np.random.default_rng(3)
+    while len(rules) < most_rules and failures < 3 and (bad & left).sum() >= least:
+        held = random.permutation(n) % 3 == 0
+        grow, prune = left & ~held, left & held
         rule, inside = (), grow.copy()
         while len(rule) < most_tests and (bad & inside).any() and (~bad & inside).any():
             if (test := _best_test(data, bad, inside, cuts)) is None:
@@ -153,15 +152,14 @@ def learn(data: dict[str, np.ndarray], bad: np.ndarray, precision: float = 0.95,
         def worth(r, rows=prune):
             hit = covered(r, data, n) & rows
             p, q = int((bad & hit).sum()), int((~bad & hit).sum())
-            return (p - q) / (p + q) if p + q else -1.0
+            return (p - q) / (p + q) if p + q else 0.0
 
-        if not rule:
-            break
-        rule = max((rule[:k] for k in range(len(rule), 0, -1)), key=worth)
+        rule = max((rule[:k] for k in range(len(rule), 0, -1)), key=worth, default=())
         hit = covered(rule, data, n) & left
         right = int((bad & hit).sum())
-        if right < least or right < precision * hit.sum() or worth(rule) < 2 * precision - 1:
-            break
+        if not rule or right < least or right < precision * hit.sum() or worth(rule) < 2 * precision - 1.1:
+            failures += 1  # another split may find one
+            continue
         rules.append(rule)
         left &= ~hit
     return rules

@@ -68,4 +68,39 @@ QUERIES = {
     "op10_simhash": op10_simhash,
 }
 
-ORACLES: dict[str, str] = {}
+_LONG = "|".join(x.replace(".", "\\.") for x in url_filters.LONG_SUFFIXES)
+
+
+def _rule_cases(pick: int) -> str:
+    """The rules in DuckDB SQL, longest first; pick 0: the verdict, 1: the rule's text."""
+    cases = []
+    for what, h, p in sorted(url_filters.RULES, key=lambda r: (-len(r[1] + r[2]), r)):
+        cases.append(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{(what, h + p)[pick]}'")
+    return f"CASE {' '.join(cases)} END"
+
+
+def _strength(counts: str) -> str:
+    noise = "above * (1 - above)"
+    rho = f"sum((bad - n * above) ** 2 - n * {noise}) / nullif(sum(n * (n - 1) * {noise}), 0)"
+    return f"(SELECT CASE WHEN coalesce({rho}, 0) <= 0 THEN {url_filters.STRONGEST} ELSE least({url_filters.STRONGEST}, greatest({url_filters.WEAKEST}, (1 - {rho}) / ({rho}))) END FROM {counts})"
+
+
+_URL_FILTERS = rf"""WITH parts AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        regexp_extract(coalesce(url, ''), '://([^/?#]*)([^?#]*)', 2) AS path, regexp_replace(regexp_replace(html, '<[^>]*>', '', 'g'), '&[a-z]+;', '&', 'g') AS txt FROM pages),
+    rows_ AS (SELECT page_id, host, path, CAST((length(txt) - length(translate(txt, '#*$%&|!', ''))) * 100 > length(txt) * 3 AS INT) AS bad FROM parts),
+    named AS (SELECT *, regexp_replace(host, ':[0-9]*$', '') AS name FROM rows_ WHERE bad IS NOT NULL),
+    hosts AS (SELECT host, regexp_extract(name, '(?:^|\.)([^.]*\.(?:{_LONG})|[^.]*\.[^.]*|[^.]*)$', 1) AS domain, regexp_extract(name, '(?:^|\.)({_LONG}|[^.]*)$', 1) AS suffix,
+        count(*) AS n, sum(bad) AS bad FROM named GROUP BY ALL),
+    domains AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY ALL),
+    s0 AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, (SELECT sum(bad) / sum(n) FROM hosts) AS above FROM domains GROUP BY suffix),
+    s1 AS (SELECT suffix, (bad + m * above) / (n + m) AS share FROM s0, (SELECT {_strength("s0")} AS m)),
+    d0 AS (SELECT domain, n, bad, share AS above FROM domains JOIN s1 USING (suffix)),
+    d1 AS (SELECT domain, (bad + m * above) / (n + m) AS share FROM d0, (SELECT {_strength("d0")} AS m)),
+    h0 AS (SELECT host, n, bad, share AS above FROM hosts JOIN d1 USING (domain)),
+    h1 AS (SELECT host, n, bad, n + m AS weight, (bad + m * above) / (n + m) AS share FROM h0, (SELECT {_strength("h0")} AS m)),
+    judged AS (SELECT host, n, bad, share - {url_filters.Z} * sqrt(share * (1 - share) / (weight + 1)) > {url_filters.MOST} AS blocked FROM h1)
+    SELECT page_id, host, path, {_rule_cases(1)} AS rule, coalesce({_rule_cases(0)}, CASE WHEN blocked THEN 'block' ELSE 'allow' END) AS verdict,
+        CAST(coalesce(n, 0) AS BIGINT) AS n, CAST(coalesce(judged.bad, 0) AS BIGINT) AS n_bad FROM rows_ LEFT JOIN judged USING (host)"""
+
+#: The other operators learn a model or work on bytes; tests/llm has their brute force.
+ORACLES: dict[str, str] = {"op3_url_filters": _URL_FILTERS}
