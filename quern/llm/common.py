@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -42,6 +43,16 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of jobs that are over.
+
+    It does so when the driver finds that nothing refers to them, that is after a
+    collection of garbage, which may else not come for long.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def arrow_bounds(spark: SparkSession) -> None:
     """Arrow batches of bounded rows and bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")

@@ -24,21 +24,20 @@ from __future__ import annotations
 import hashlib
 import math
 import uuid
-import zlib
-from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit
-from .common import shared_folder, stored
+from .common import arrow_map, release, shared_folder, stored
 
 LENGTH, GRAM = 50, 20
 #: Bytes of text in a block, about.
-BLOCK = 16 << 20
+BLOCK = 8 << 20
 #: A gram that more documents share is dealt by whole strings.
 HOT = 4096
 #: Grams from which splitters are chosen, in all.
@@ -112,7 +111,7 @@ def _from_bytes(raw: bytes) -> np.ndarray:
     return wide.view("<i8").ravel()
 
 
-def _gram_runs(bits: int, sample: int):
+def _gram_runs(bits: int):
     """Sorted distinct digests of a block by range, and in how many documents each is."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -128,9 +127,8 @@ def _gram_runs(bits: int, sample: int):
         code = code[first]
         edges = np.searchsorted(code, np.arange((1 << bits) + 1) << _BITS)
         rows = [(number, k, _as_bytes(code[a:b]), many[a:b].tobytes()) for k, (a, b) in enumerate(zip(edges, edges[1:])) if a < b]
-        step = max(1, len(p) // sample)
-        rows.append((number, -1, b"".join(block.bytes[i : i + GRAM] for i in p[step // 2 :: step].tolist()[:sample]), b""))
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], ["block", "range", "codes", "many"])
+        kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)] if rows else [pa.array([], t) for t in kinds], ["block", "range", "codes", "many"])
 
     return run
 
@@ -154,36 +152,117 @@ def _shared_grams(hot: int):
     return run
 
 
-_RUN = "block int, range int, lcp binary, size binary, tails binary, before binary, lefts binary, ids binary, rows binary, places binary"
-_COVER = "block int, rows binary, first binary, last binary"
+def _splitters(docs: DataFrame, count: int, parts: int) -> list[bytes]:
+    """Grams that cut the order of suffixes in `parts` about equal ranges, from SAMPLE grams.
 
+    They are taken from about SAMPLE / 32 documents; they balance the ranges and have no
+    influence on what is found.
+    """
+    every = max(1, count * 32 // SAMPLE)
+    some = docs.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(every)) == 0)
 
-def _common(strings: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Bytes that each padded row shares with the one before."""
-    differ = strings[1:] != strings[:-1]
-    shared = np.where(differ.any(1), differ.argmax(1), strings.shape[1])
-    return np.concatenate([[0], np.minimum(shared, np.minimum(sizes[1:], sizes[:-1]))])
+    def run(batch):
+        data, at = textkit.packed(batch.column("text"))
+        found = []
+        for i, j in textkit.pieces(at):
+            p, _, _, row, _ = anchors(data[at[i] : at[j]], at[i : j + 1] - at[i])
+            n = np.bincount(row, minlength=j - i)
+            nth = np.arange(len(p)) - np.repeat(np.cumsum(n) - n, n)
+            chosen = p[nth % np.repeat(np.maximum(1, n // 32), n) == 0] + at[i]
+            found += [data[k : k + GRAM].tobytes() for k in chosen.tolist()]
+        return pa.record_batch([pa.array(found, pa.binary())], ["gram"]) if found else None
 
+    sample = sorted(r[0] for r in arrow_map(some, run, "gram binary").limit(2 * SAMPLE).collect())
+    return sorted({sample[len(sample) * k // parts] for k in range(1, parts)}) if sample else []
 
-def _padded(strings: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(s.ljust(_WIDE, b"\0") for s in strings), np.uint8).reshape(-1, _WIDE)
 
+def _zip(column: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(column).tobytes())
+
+
+def _unzip(columns: pa.ChunkedArray) -> list[bytes]:
+    return [zstandard.ZstdDecompressor().decompress(x) for x in columns.to_pylist()]
 
-def _front_coded(number: int, where: int, records: list[tuple]) -> tuple:
-    """One sorted run: lengths of common prefixes, then what each suffix adds."""
-    right, left, ids, rows, places = zip(*records)
-    sizes = np.array([len(r) for r in right])
-    lcp = _common(_padded(right), sizes)
-    tails = b"".join(r[k:] for r, k in zip(right, lcp.tolist()))
-    before = bytes(len(x) for x in left)
-    pack = lambda x, kind: np.array(x, kind).tobytes()
-    return number, where, bytes(lcp.tolist()), bytes(sizes.tolist()), tails, before, b"".join(left), pack(ids, "<i8"), pack(rows, "<i4"), pack(places, "<i8")
 
+_RUN = "block int, range int, lcp binary, size binary, tails binary, before binary, lefts binary, ids binary, rows binary, places binary"
+_COVER = "block int, rows binary, first binary, last binary"
+
+
+def _common(strings: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Bytes that each padded row shares with the one before."""
+    out = np.zeros(len(strings), np.int64)
+    for i in range(1, len(strings), 65_536):
+        j = min(len(strings), i + 65_536)
+        differ = strings[i:j] != strings[i - 1 : j - 1]
+        shared = np.where(differ.any(1), differ.argmax(1), strings.shape[1])
+        out[i:j] = np.minimum(shared, np.minimum(sizes[i:j], sizes[i - 1 : j - 1]))
+    return out
+
+
+def _gathered(data: np.ndarray, start: np.ndarray, sizes: np.ndarray, width: int, step: int = 1) -> np.ndarray:
+    """Rows of `width` bytes: data[start], data[start + step] ..., zeros behind `sizes` of them."""
+    out = np.zeros((len(start), width), np.uint8)
+    for k in range(width):
+        own = np.flatnonzero(sizes > k)
+        if not len(own):
+            break
+        out[own, k] = data[start[own] + k * step]
+    return out
+
+
+class _Suffixes:
+    """Suffixes of one block at chosen places, sorted; each row is right, left, document.
+
+    right: the bytes from a place on; left: those before it, nearest first.
+    """
 
-def _cover(number: int, found: list[tuple[int, int, int]]) -> tuple:
-    """Windows of rows as (row, first, last) columns."""
-    a = np.array(found, np.int64).reshape(-1, 3)
-    return number, a[:, 0].astype("<i4").tobytes(), a[:, 1].astype("<i8").tobytes(), a[:, 2].astype("<i8").tobytes()
+    def __init__(self, block: Block, place: np.ndarray, first: np.ndarray, last: np.ndarray, row: np.ndarray):
+        size, before = last + LENGTH - place, place - first
+        key = np.empty((len(place), 2 * LENGTH + 10), np.uint8)
+        key[:, :LENGTH] = _gathered(block.data, place, size, LENGTH)
+        key[:, LENGTH] = size
+        key[:, LENGTH + 1 : 2 * LENGTH + 1] = _gathered(block.data, place - 1, before, LENGTH, -1)
+        key[:, 2 * LENGTH + 1] = before
+        ids = block.ids[row]
+        key[:, 2 * LENGTH + 2 :] = (ids.view(np.uint64) ^ np.uint64(1 << 63)).astype(">u8").view(np.uint8).reshape(-1, 8)
+        order = np.argsort(key.view(f"S{key.shape[1]}").ravel(), kind="stable")
+        key = key[order]
+        self.place, self.row, self.first, self.last, self.ids = place[order], row[order], first[order], last[order], ids[order]
+        self.size, self.before = size[order], before[order]
+        # equal strings: the smallest id stands for them, the others are covered by it
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:, : 2 * LENGTH + 2] != key[:-1, : 2 * LENGTH + 2]).any(1)
+        least = self.ids[np.flatnonzero(new)][np.cumsum(new) - 1] if len(key) else self.ids
+        stays = self.ids == least
+        self.covered = self.row[~stays], self.first[~stays], self.last[~stays]
+        self.right, self.left = key[stays, :LENGTH], key[stays, LENGTH + 1 : 2 * LENGTH + 1]
+        for name in ("place", "row", "ids", "size", "before"):
+            setattr(self, name, getattr(self, name)[stays])
+
+    def runs(self, block: Block, number: int, ranges: np.ndarray) -> list[tuple]:
+        """Front-coded runs, one for each range: common prefixes, then what each suffix adds."""
+        by = np.argsort(ranges, kind="stable")
+        cuts = np.flatnonzero(np.concatenate([[True], ranges[by][1:] != ranges[by][:-1]])) if len(by) else by
+        out = []
+        for a, b in zip(cuts, np.append(cuts[1:], len(by))):
+            own = by[a:b]
+            right, size, before = self.right[own], self.size[own], self.before[own]
+            lcp = _common(right, size)
+            column = np.arange(LENGTH)
+            tails = right[(column >= lcp[:, None]) & (column < size[:, None])]
+            lefts = self.left[own][column < before[:, None]]
+            row = self.row[own]
+            columns = (lcp.astype(np.uint8), size.astype(np.uint8), tails, before.astype(np.uint8), lefts, self.ids[own].astype("<i8"), row.astype("<i4"), (self.place[own] - block.at[row]).astype("<i4"))
+            out.append((number, int(ranges[own[0]]), *map(_zip, columns)))
+        return out
+
+
+def _spread(strings: np.ndarray, ranges: int) -> np.ndarray:
+    """A range for each whole string, by its bytes."""
+    h = np.zeros(len(strings), np.uint64)
+    for k in range(strings.shape[1]):
+        h = h * np.uint64(0x100000001B3) + strings[:, k]
+    return (textkit.mix(h) % np.uint64(ranges)).astype(np.int64)
 
 
 def _suffix_runs(bits: int, splitters: list[bytes]):
@@ -193,49 +272,42 @@ def _suffix_runs(bits: int, splitters: list[bytes]):
     rows, places (first) and ids (last).
     """
     ranges = len(splitters) + 1
+    bounds = np.array(splitters, f"S{GRAM}")
 
     def run(table: pa.Table, masks: pa.Table) -> pa.Table:
         kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 8]
         names = ["block", "range", "lcp", "size", "tails", "before", "lefts", "ids", "rows", "places"]
         out: list[tuple] = []
         if table.num_rows and masks.num_rows:
-            block, number = Block(table), table["__block"][0].as_py()
+            number = table["__block"][0].as_py()
+            block = Block(table)
             p, lo, hi, row, h = block.anchors()
             code = _digests(h, bits)
-            known, place = np.unique(code, return_inverse=True)
+            known = textkit.distinct(code)
             edges = np.searchsorted(known, np.arange((1 << bits) + 1) << _BITS)
             flags = np.zeros((2, len(known)), bool)
             for k, *sets in zip(masks["range"].to_pylist(), masks["shared"].to_pylist(), masks["hot"].to_pylist()):
                 a, b = edges[k], edges[k + 1]
                 for i, raw in enumerate(sets):
                     flags[i, a:b] = np.unpackbits(np.frombuffer(raw, np.uint8), count=b - a)
-            chosen = np.flatnonzero(flags[0][place])
-            hot = flags[1][place][chosen]
-            ids, text, base = block.ids[row], block.bytes, block.at[row]
-            plain, whole = [], []
-            for i, is_hot in zip(chosen.tolist(), hot.tolist()):
-                a, b, c, r = int(lo[i]), int(p[i]), int(hi[i]), int(row[i])
-                if is_hot:
-                    whole += [(text[s : s + LENGTH], b"", int(ids[i]), r, s - int(base[i])) for s in range(a, c + 1)]
-                else:
-                    plain.append((text[b : c + LENGTH], text[a:b], int(ids[i]), r, b - int(base[i])))
-            covered: list[tuple[int, int, int]] = []
-            runs: dict[int, list[tuple]] = {}
-            for records, far in ((plain, 0), (whole, ranges)):
-                records.sort()
-                last = None
-                for x in records:
-                    if last is not None and x[0] == last[0] and x[1] == last[1] and x[2] != last[2]:
-                        covered.append((x[3], x[4] - len(x[1]), x[4] + len(x[0]) - LENGTH))
-                        continue
-                    if last is None or x[0] != last[0] or x[1] != last[1]:
-                        last = x
-                    k = far + zlib.crc32(x[0]) % ranges if far else bisect_right(splitters, x[0][:GRAM])
-                    runs.setdefault(k, []).append(x)
-            out = [_front_coded(number, k, x) for k, x in runs.items()]
-            if covered:
-                _, rows, first, end = _cover(number, covered)
-                out.append((number, -1, b"", b"", b"", b"", b"", end, rows, first))
+            at = np.searchsorted(known, code)
+            hot, plain = (np.flatnonzero(x) for x in (flags[1][at], flags[0][at] & ~flags[1][at]))
+            del h, code, known, at
+            found = _Suffixes(block, p[plain], lo[plain], hi[plain], row[plain])
+            grams = np.ascontiguousarray(found.right[:, :GRAM]).view(f"S{GRAM}").ravel()
+            out = found.runs(block, number, np.searchsorted(bounds, grams, "right"))
+            covered = [found.covered]
+            windows = hi[hot] - lo[hot] + 1
+            start = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows - lo[hot], windows)
+            owner = np.repeat(row[hot], windows)
+            del found, p, lo, hi, row
+            found = _Suffixes(block, start, start, start, owner)
+            out += found.runs(block, number, ranges + _spread(found.right, ranges))
+            covered.append(found.covered)
+            r, first, last = (np.concatenate(x) for x in zip(*covered))
+            if len(r):
+                base = block.at[r]
+                out.append((number, -1, b"", b"", b"", b"", b"", (last - base).astype("<i4").tobytes(), r.astype("<i4").tobytes(), (first - base).astype("<i4").tobytes()))
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)] if out else [pa.array([], t) for t in kinds], names)
 
     return run
@@ -300,34 +372,35 @@ def merged(words: list[list[int]], sizes: list[int], lcps: list[int], bounds: li
 def _merged_range(table: pa.Table) -> pa.Table:
     """Windows of the range's suffixes that an earlier document has, by block."""
     right, bounds = [], []
-    for lcp, size, tails in zip(*(table[c].to_pylist() for c in ("lcp", "size", "tails"))):
+    raw = {c: _unzip(table[c]) for c in ("lcp", "size", "tails", "before", "lefts", "ids", "rows", "places")}
+    for lcp, size, tails in zip(raw["lcp"], raw["size"], raw.pop("tails")):
         at, last, begin = 0, b"", len(right)
         for k, n in zip(lcp, size):
             last = last[:k] + tails[at : at + n - k]
             at += n - k
             right.append(last)
         bounds.append((begin, len(right)))
-    padded = _padded(right)
+    padded = np.frombuffer(b"".join(r.ljust(_WIDE, b"\0") for r in right), np.uint8).reshape(-1, _WIDE)
     sizes = np.array([len(r) for r in right])
     del right
-    lcps = np.frombuffer(b"".join(table["lcp"].to_pylist()), np.uint8).tolist()
+    lcps = np.frombuffer(b"".join(raw["lcp"]), np.uint8).tolist()
     words = padded.view(">u8").astype(np.uint64).T
     order, shared = merged([w.tolist() for w in words], sizes.tolist(), lcps, bounds)
     order, shared = np.array(order, np.int64), np.array(shared, np.int64)
-    joined = lambda name, kind: np.frombuffer(b"".join(table[name].to_pylist()), kind)[order]
-    ids, rows, places, before = joined("ids", "<i8"), joined("rows", "<i4"), joined("places", "<i8"), joined("before", np.uint8).astype(np.int64)
+    joined = lambda name, kind: np.frombuffer(b"".join(raw[name]), kind)[order]
+    ids, rows, places, before = joined("ids", "<i8"), joined("rows", "<i4"), joined("places", "<i4").astype(np.int64), joined("before", np.uint8).astype(np.int64)
     blocks = np.repeat(table["block"].to_numpy(), [b - a for a, b in bounds])[order]
     sizes = sizes[order]
     # the bytes before each anchor, nearest first
-    lengths = np.frombuffer(b"".join(table["before"].to_pylist()), np.uint8).astype(np.int64)
-    lefts = np.frombuffer(b"".join(table["lefts"].to_pylist()), np.uint8)
-    ends = np.cumsum(lengths)[order]
+    lengths = np.frombuffer(b"".join(raw["before"]), np.uint8).astype(np.int64)
+    lefts = np.frombuffer(b"".join(raw["lefts"]), np.uint8)
+    starts = (np.cumsum(lengths) - lengths)[order]
     found = []
     hashes = np.zeros(len(order), np.uint64)
     for j in range(int(before.max(initial=0)) + 1):
         if j:
             has = before >= j
-            hashes[has] = hashes[has] * np.uint64(0x100000001B3) + lefts[ends[has] - j] + np.uint64(1)
+            hashes[has] = hashes[has] * np.uint64(0x100000001B3) + lefts[starts[has] + j - 1] + np.uint64(1)
         within = np.flatnonzero((before >= j) & (sizes >= LENGTH - j))
         if not len(within):
             continue
@@ -355,7 +428,7 @@ def _merged_range(table: pa.Table) -> pa.Table:
         b, r, s, e = b[cut], r[cut], s[cut], s[last]
         for number in np.unique(b):
             own = b == number
-            out.append((int(number), r[own].astype("<i4").tobytes(), s[own].astype("<i8").tobytes(), e[own].astype("<i8").tobytes()))
+            out.append((int(number), r[own].astype("<i4").tobytes(), s[own].astype("<i4").tobytes(), e[own].astype("<i4").tobytes()))
     kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
     return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)] if out else [pa.array([], t) for t in kinds], ["block", "rows", "first", "last"])
 
@@ -365,8 +438,8 @@ def _removed(block: Block, covers: pa.Table) -> np.ndarray:
     depth = np.zeros(len(block.data) + 1, np.int32)
     for rows, first, last in zip(*(covers[c].to_pylist() for c in ("rows", "first", "last"))):
         base = block.at[np.frombuffer(rows, "<i4")]
-        np.add.at(depth, base + np.frombuffer(first, "<i8"), 1)
-        np.add.at(depth, base + np.frombuffer(last, "<i8") + LENGTH, -1)
+        np.add.at(depth, base + np.frombuffer(first, "<i4"), 1)
+        np.add.at(depth, base + np.frombuffer(last, "<i4") + LENGTH, -1)
     return np.cumsum(depth[:-1]) > 0
 
 
@@ -411,7 +484,7 @@ def _covered(docs: DataFrame, hot: int) -> tuple[DataFrame, DataFrame]:
     """docs as a table bucketed by block, and the covered windows of each block."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    count, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     blocks = max(1, min(100_000, max(parts, math.ceil(size / BLOCK))))
     bits = max(1, min(20, math.ceil(math.log2(blocks))))
     block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")
@@ -420,13 +493,14 @@ def _covered(docs: DataFrame, hot: int) -> tuple[DataFrame, DataFrame]:
         docs.withColumn("__block", block).repartition(blocks, "__block").write.bucketBy(blocks, "__block")
         .option("path", shared_folder(spark)).option("compression", "zstd").saveAsTable(name)
     )
+    release(spark)
     table = spark.table(name)
     narrow = table.select("__block", F.col("doc_id").cast("long").alias("doc_id"), "text")
-    grams = stored(narrow.groupBy("__block").applyInArrow(_gram_runs(bits, max(1, SAMPLE // blocks)), "block int, range int, codes binary, many binary"))
-    sample = sorted(x[i : i + GRAM] for (x,) in grams.filter("range < 0").select("codes").limit(SAMPLE).collect() for i in range(0, len(x), GRAM))
-    splitters = sorted({sample[len(sample) * k // blocks] for k in range(1, blocks)}) if sample else []
-    masks = grams.filter("range >= 0").groupBy("range").applyInArrow(_shared_grams(hot), "block int, range int, shared binary, hot binary")
+    grams = narrow.groupBy("__block").applyInArrow(_gram_runs(bits), "block int, range int, codes binary, many binary")
+    masks = grams.groupBy("range").applyInArrow(_shared_grams(hot), "block int, range int, shared binary, hot binary")
+    splitters = _splitters(narrow, count, blocks)
     runs = stored(narrow.groupBy("__block").cogroup(masks.groupBy("block")).applyInArrow(_suffix_runs(bits, splitters), _RUN))
+    release(spark)
     far = runs.filter("range >= 0").groupBy("range").applyInArrow(_merged_range, _COVER)
     near = runs.filter("range < 0").select("block", "rows", F.col("places").alias("first"), F.col("ids").alias("last"))
     return table, far.unionByName(near)
