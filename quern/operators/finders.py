@@ -95,3 +95,12 @@ def progressed(status: Column, event: Column) -> Column:
 
 def percent(value: Column) -> Column:
     return F.least(F.greatest(value, F.lit(0)), F.lit(100))
+
+
+def task_state(completed: Column, event: Column) -> Column:
+    return F.when(event == "complete", F.lit(True)).when(event == "reopen", F.lit(False)).otherwise(completed)
+
+
+def task_priority(priority: Column, asked: Column) -> Column:
+    """The asked priority, if it is one."""
+    return F.when(asked.isin("low", "medium", "high"), asked).otherwise(priority)
