@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from math import cos, radians
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,8 +19,3 @@ def within_km(lat: Column, lon: Column, centre: tuple[float, float], km: float)
     band = km / 110.0
     near = lat.between(centre[0] - band, centre[0] + band)
     return F.coalesce(near & (haversine_km(lat, lon, F.lit(centre[0]), F.lit(centre[1])) <= km), F.lit(False))
-
-
-def longitude_band(lat: float, km: float) -> float:
-    """Degrees of longitude that `km` span at a latitude."""
-    return 180.0 if abs(lat) > 89 else km / (111.0 * cos(radians(lat)))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,7 +59,3 @@ def sessions(events: DataFrame, key: str, at: str, gap_minutes: int) -> DataFram
     rows = events.withColumn("at", F.col(at).cast("timestamp"))
     window = F.session_window("at", f"{gap_minutes} minutes")
     return rows.groupBy(key, window).agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id")).drop("session_window")
-
-
-def any_of(*conditions: Column) -> Column:
-    return reduce(lambda a, b: a | b, conditions)

@@ -179,6 +179,12 @@ def test_cleanup_needs_many_failures(spark):
     assert finders.cleaned(rows, now, most=5).count() == 5 and finders.cleaned(rows, now, most=4).count() == 0
 
 
+def test_finders(spark):
+    rows = spark.createDataFrame([(1, "local"), (2, "synced"), (3, None)], "uuid long, sync_status string")
+    assert [r["uuid"] for r in finders.unsynced(rows).collect()] == [1]
+    assert finders.by(rows, "uuid", uuid=[2, 3, 9]).count() == 2
+
+
 def test_tools(spark):
     registry = ToolRegistry()
     registry.register(Tool("task.list", lambda s, a: s.range(a["n"]), "lists", ("n",)))
