@@ -84,11 +84,15 @@ def item_tokens(items: DataFrame) -> DataFrame:
 
 
 def seed_filter(found: DataFrame) -> tuple[int, np.ndarray]:
-    """A bitmap of the seeds' leading bits; at most 2 ** MOST_FILTER_BITS bits reach the driver."""
+    """A bitmap with two places for each seed; at most 2 ** MOST_FILTER_BITS bits reach the driver.
+
+    A seed may match where both of its places are set.
+    """
     n = found.count()
-    bits = int(min(MOST_FILTER_BITS, max(18, np.ceil(np.log2(64 * max(n, 1))))))
-    place = F.shiftrightunsigned("seed", 64 - bits)
-    words = found.select((F.shiftright(place, 6)).alias("word"), F.expr("1L").alias("one"), (place % 64).cast("int").alias("bit"))
+    bits = int(min(MOST_FILTER_BITS, max(18, np.ceil(np.log2(512 * max(n, 1))))))
+    places = F.array(F.shiftrightunsigned("seed", 64 - bits), F.shiftrightunsigned("seed", 64 - 2 * bits).bitwiseAND((1 << bits) - 1))
+    place = F.col("place")
+    words = found.select(F.explode(places).alias("place")).select(F.shiftright(place, 6).alias("word"), F.expr("1L").alias("one"), (place % 64).cast("int").alias("bit"))
     words = words.groupBy("word").agg(F.expr("bit_or(shiftleft(one, bit))").alias("set")).toArrow()
     bitmap = np.zeros(1 << (bits - 6), np.int64)
     bitmap[np.asarray(words["word"])] = np.asarray(words["set"])
@@ -107,9 +111,11 @@ def hit_regions(docs: DataFrame, bits: int, bitmap: np.ndarray) -> DataFrame:
             tokens, rows = word_tokens(data[at[i] : at[j]], at[i : j + 1] - at[i])
             kept = []
             for start, seed in seeds(tokens, rows):
-                place = (seed >> np.uint64(64 - bits)).astype(np.int64)
-                hit = (shared.value[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1) == 1
-                kept.append((start[hit], seed[hit]))
+                for shift in (64 - bits, 64 - 2 * bits):
+                    place = ((seed >> np.uint64(shift)) & np.uint64((1 << bits) - 1)).astype(np.int64)
+                    hit = (shared.value[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1) == 1
+                    start, seed = start[hit], seed[hit]
+                kept.append((start, seed))
             start, seed = (np.concatenate(x) for x in zip(*kept))
             if not len(start):
                 continue

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,12 +31,13 @@ CHUNK = 1 << 20
 #: Bytes of text whose words are looked up together.
 PIECE = 2 << 20
 #: Distinct words that a task remembers at most.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 _DEPTH = 12  # of the spines: how often a piece may be split on one side
 _WORDS = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 _NEVER = np.iinfo(np.int32).max
 
 _loaded: dict[str, "Vocabulary"] = {}
+_outputs: dict[str, list[bytes]] = {}
 
 
 def merges(symbols: list[str], rank: dict[str, int]) -> tuple[list[str], tuple[str, str] | None]:
@@ -76,11 +78,6 @@ class Vocabulary:
         place = {s: k for k, s in enumerate(scores)}
         self.rank = {text[i]: place[model.get_score(i)] for i in plain}
         self.runs: dict[int, list[int]] = {}
-        self.output = [b""] * (size + 1)
-        for i in plain:
-            self.output[i] = text[i].replace(SPACE, " ").encode()
-        for b, i in self.bytes.items():
-            self.output[i] = bytes([b])
         # how each piece of a word comes about
         time = np.zeros(size + 1, np.int32)
         halves = np.full((2, size + 1), -1, np.int32)
@@ -227,8 +224,8 @@ class Vocabulary:
             lo[own], hi[own] = ends
         return order, lo, hi
 
-    def encode_words(self, words: list[str]) -> list[list[int]] | list[np.ndarray]:
-        """The ids of each word: letters without inner spaces, at most one space in front."""
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Offsets and ids of words: letters without inner spaces, at most one space in front."""
         sizes = np.array([len(w) for w in words], np.int64)
         points = np.frombuffer("\n".join(words).encode("utf-32-le", "surrogatepass") + b"\n\0\0\0", np.uint32)
         codes = self.letters[points]
@@ -292,17 +289,39 @@ class Vocabulary:
         ids = np.empty(ends[-1] if len(ends) else 0, np.int64)
         for step, (words, token) in enumerate(found):
             ids[ends[words] - 1 - step] = token
-        out = np.split(ids.astype(np.int32), ends[:-1]) if len(ends) else []
-        for w in set(strange):
+        starts_out, ids = np.concatenate([[0], ends]), ids.astype(np.int32)
+        if not strange:
+            return starts_out, ids
+        parts, sizes_out, done = [], np.diff(starts_out), 0
+        for w in sorted(set(strange)):
             at, expanded = int(starts[w]), []
-            for t in out[w].tolist():
+            for t in ids[starts_out[w] : starts_out[w + 1]].tolist():
                 if t == self.unknown:
                     expanded += [self.bytes[b] for b in chr(points[at]).encode("utf-8", "surrogatepass")]
                 else:
                     expanded.append(t)
                 at += int(self.lengths[t])
-            out[w] = np.array(expanded, np.int32)
-        return out
+            parts += [ids[done : starts_out[w]], np.array(expanded, np.int32)]
+            done, sizes_out[w] = starts_out[w + 1], len(expanded)
+        return np.concatenate([[0], np.cumsum(sizes_out)]), np.concatenate([*parts, ids[done:]])
+
+
+def outputs(name: str) -> list[bytes]:
+    """The bytes that each id stands for; none for control ids."""
+    if name not in _outputs:
+        import public_tokenizers
+        import sentencepiece
+
+        model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(name))
+
+        def of(i: int) -> bytes:
+            if model.is_byte(i):
+                return bytes([int(model.id_to_piece(i)[3:5], 16)])
+            silent = model.is_control(i) or model.is_unknown(i) or model.is_unused(i)
+            return b"" if silent else model.id_to_piece(i).replace(SPACE, " ").encode()
+
+        _outputs[name] = [of(i) for i in range(model.get_piece_size())]
+    return _outputs[name]
 
 
 def vocabulary(name: str) -> Vocabulary:
@@ -322,60 +341,55 @@ class Encoder:
 
     def _forget(self):
         self.place: dict[str, int] = {}
-        self.flat = np.zeros(1 << 16, np.int32)
-        self.ends = [0]
+        self.flat, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
-    def _add(self, word: str, ids) -> None:
-        a, b = self.ends[-1], self.ends[-1] + len(ids)
-        while b > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[a:b] = ids
-        self.place[word] = len(self.ends) - 1
-        self.ends.append(b)
+    def _add(self, words: list[str], at: np.ndarray, ids: np.ndarray) -> None:
+        self.place.update(zip(words, range(len(self.place), len(self.place) + len(words))))
+        self.ends = np.concatenate([self.ends, at[1:] + self.ends[-1]])
+        self.flat = np.concatenate([self.flat, ids])
 
     def _learn(self, words: list[str]) -> None:
-        v, plan, cores = self.vocabulary, [], {}
-        for w in words:
+        """Words as they come, spaces in front included; each must be new."""
+        v, double = self.vocabulary, SPACE * 2
+        special = [w for w in words if w.startswith(double) or w == SPACE or w == "\n"]
+        plain = words if not special else sorted(set(words).difference(special))
+        bounds = np.cumsum([len(w) for w in plain]) // CHUNK
+        for part in np.split(np.arange(len(plain)), np.flatnonzero(np.diff(bounds)) + 1):
+            if len(part):
+                chosen = plain[part[0] : part[-1] + 1]
+                self._add(chosen, *v.encode_words(chosen))
+        cores = {SPACE + w.lstrip(SPACE) for w in special if w.startswith(double)} - {SPACE}
+        if missing := sorted(cores.difference(self.place)):
+            self._learn(missing)
+        encoded = []
+        for w in special:
             core = w.lstrip(SPACE)
             n = len(w) - len(core)
-            core = SPACE * bool(n) + core if core else ""
-            plan.append((w, n, core))
-            if core and core != "\n":
-                cores[core] = None
-        todo, encoded, part, size = list(cores), {}, [], 0
-        for k, w in enumerate(todo):
-            part.append(w)
-            size += len(w)
-            if size > CHUNK or k == len(todo) - 1:
-                encoded.update(zip(part, v.encode_words(part)))
-                part, size = [], 0
-        alone = v.ids[SPACE]
-        for w, n, core in plan:
             if core == "\n":
                 ids = [v.bytes[10]]
             elif not core:
                 ids = v.spaces(n)
             else:
-                ids = encoded[core]
-                if n > 1:
-                    ids = [*v.spaces(n), *ids[1:]] if ids[0] == alone else [*v.spaces(n - 1), *ids]
-            self._add(w, ids)
+                k = self.place[SPACE + core]
+                ids = self.flat[self.ends[k] : self.ends[k + 1]].tolist()
+                ids = [*v.spaces(n), *ids[1:]] if ids[0] == v.ids[SPACE] else [*v.spaces(n - 1), *ids]
+            encoded.append(ids)
+        if special:
+            self._add(special, np.concatenate([[0], np.cumsum([len(x) for x in encoded])]), np.array(list(chain.from_iterable(encoded)), np.int32))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Offsets and ids of the texts."""
         found = [_WORDS.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
         if len(self.place) > REMEMBERED:
             self._forget()
-        fresh = {w for words in found for w in words if w not in self.place}
-        if fresh:
+        if fresh := set(chain.from_iterable(found)).difference(self.place):
             self._learn(sorted(fresh))
-        get = self.place.__getitem__
-        which = np.fromiter((k for words in found for k in map(get, words)), np.int64)
-        ends = np.array(self.ends)
-        sizes = np.diff(ends)[which]
+        counts = np.concatenate([[0], np.cumsum([len(w) for w in found])])
+        which = np.fromiter(map(self.place.__getitem__, chain.from_iterable(found)), np.int64, int(counts[-1]))
+        sizes = np.diff(self.ends)[which]
         total = np.concatenate([[0], np.cumsum(sizes)])
-        ids = self.flat[np.arange(total[-1]) - np.repeat(total[:-1] - ends[:-1][which], sizes)]
-        return total[np.concatenate([[0], np.cumsum([len(w) for w in found])])], ids
+        ids = self.flat[np.arange(total[-1]) - np.repeat(total[:-1] - self.ends[:-1][which], sizes)]
+        return total[counts], ids
 
 
 def encoded(docs: DataFrame, tokenizer: str = "piece_bpe_32k.model", out: str = "ids") -> DataFrame:
@@ -413,7 +427,7 @@ def decoded(docs: DataFrame, tokenizer: str = "piece_bpe_32k.model", ids: str =
     schema = docs.select(names).schema.add(out, "string")
 
     def run(batch):
-        table = vocabulary(tokenizer).output
+        table = outputs(tokenizer)
         column = batch.column(ids)
         flat, at = np.asarray(column.flatten()), np.concatenate([[0], np.cumsum(np.asarray(column.value_lengths().fill_null(0)))])
         texts = []

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit
-from .common import arrow_map, release, shared_folder, stored
+from .common import arrow_map, release, shared_folder
 
 LENGTH, GRAM = 50, 20
 #: Bytes of text in a block, about.
@@ -268,8 +268,8 @@ def _spread(strings: np.ndarray, ranges: int) -> np.ndarray:
 def _suffix_runs(bits: int, splitters: list[bytes]):
     """Front-coded runs of the block's suffixes at shared anchors; what the block itself covers.
 
-    Rows of runs have a range; rows of covered windows have range -1 and use the columns
-    rows, places (first) and ids (last).
+    Rows of runs have a range. Each block has a range below zero for its own covered
+    windows, which use the columns rows, places (first) and ids (last).
     """
     ranges = len(splitters) + 1
     bounds = np.array(splitters, f"S{GRAM}")
@@ -307,7 +307,7 @@ def _suffix_runs(bits: int, splitters: list[bytes]):
             r, first, last = (np.concatenate(x) for x in zip(*covered))
             if len(r):
                 base = block.at[r]
-                out.append((number, -1, b"", b"", b"", b"", b"", (last - base).astype("<i4").tobytes(), r.astype("<i4").tobytes(), (first - base).astype("<i4").tobytes()))
+                out.append((number, -1 - number, b"", b"", b"", b"", b"", (last - base).astype("<i4").tobytes(), r.astype("<i4").tobytes(), (first - base).astype("<i4").tobytes()))
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)] if out else [pa.array([], t) for t in kinds], names)
 
     return run
@@ -371,6 +371,8 @@ def merged(words: list[list[int]], sizes: list[int], lcps: list[int], bounds: li
 
 def _merged_range(table: pa.Table) -> pa.Table:
     """Windows of the range's suffixes that an earlier document has, by block."""
+    if table["range"][0].as_py() < 0:  # what a block covers by itself
+        return table.select(["block", "rows", "places", "ids"]).rename_columns(["block", "rows", "first", "last"])
     right, bounds = [], []
     raw = {c: _unzip(table[c]) for c in ("lcp", "size", "tails", "before", "lefts", "ids", "rows", "places")}
     for lcp, size, tails in zip(raw["lcp"], raw["size"], raw.pop("tails")):
@@ -499,11 +501,8 @@ def _covered(docs: DataFrame, hot: int) -> tuple[DataFrame, DataFrame]:
     grams = narrow.groupBy("__block").applyInArrow(_gram_runs(bits), "block int, range int, codes binary, many binary")
     masks = grams.groupBy("range").applyInArrow(_shared_grams(hot), "block int, range int, shared binary, hot binary")
     splitters = _splitters(narrow, count, blocks)
-    runs = stored(narrow.groupBy("__block").cogroup(masks.groupBy("block")).applyInArrow(_suffix_runs(bits, splitters), _RUN))
-    release(spark)
-    far = runs.filter("range >= 0").groupBy("range").applyInArrow(_merged_range, _COVER)
-    near = runs.filter("range < 0").select("block", "rows", F.col("places").alias("first"), F.col("ids").alias("last"))
-    return table, far.unionByName(near)
+    runs = narrow.groupBy("__block").cogroup(masks.groupBy("block")).applyInArrow(_suffix_runs(bits, splitters), _RUN)
+    return table, runs.groupBy("range").applyInArrow(_merged_range, _COVER)
 
 
 def removed(docs: DataFrame, hot: int = HOT) -> DataFrame:
