@@ -136,21 +136,36 @@ def hit_regions(docs: DataFrame, bits: int, bitmap: np.ndarray) -> DataFrame:
     return arrow_map(rows, run, "doc_id long, start int, tokens array<long>, pos array<int>, seed array<long>")
 
 
-def overlap(doc: np.ndarray, item: np.ndarray, shift: int, similarity: float = SIMILARITY) -> tuple[int, int, int]:
-    """First item token, length and agreeing tokens of the best overlap of `doc` and `item`.
-
-    Token i of the item faces token i + shift of the document. The best stretch has the
-    highest sum of rewards for agreement and penalties that balance at `similarity`.
+def _longest(sums: np.ndarray, equal: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[int, int]:
+    """Of the stretches from one of `starts` to one of `ends` whose sum is not negative the longest, then the one with most equal tokens."""
+    highest = np.maximum.accumulate(sums[ends][::-1])
+    last = len(ends) - 1 - np.searchsorted(highest, sums[starts])
+    starts, stops = starts[last >= 0], ends[last[last >= 0]]
+    n = stops - starts
+    if not len(n) or n.max() <= 0:
+        return 0, 0
+    k = np.lexsort((equal[stops] - equal[starts], n))[-1]
+    return int(starts[k]), int(stops[k])
+
+
+def overlap(doc: np.ndarray, item: np.ndarray, shift: int, similarity: float = SIMILARITY, least: int = LEAST_TOKENS) -> tuple[int, int, int]:
+    """First item token, length and agreeing tokens of the longest overlap of `doc` and `item`.
+
+    Token i of the item faces token i + shift of the document. Of the stretches with a
+    share of `similarity` agreeing tokens the longest that begins and ends with such a
+    token is taken, or where that has fewer than `least` tokens, the longest of all.
     """
     lo, hi = max(0, -shift), min(len(item), len(doc) - shift)
     if hi <= lo:
         return 0, 0, 0
     same = doc[lo + shift : hi + shift] == item[lo:hi]
+    equal = np.concatenate([[0], np.cumsum(same)])
     sums = np.concatenate([[0.0], np.cumsum(np.where(same, 1 - similarity, -similarity) + 1e-9)])
-    rise = sums[1:] - np.minimum.accumulate(sums[:-1])
-    end = int(rise.argmax()) + 1
-    begin = int(sums[:end].argmin())
-    return lo + begin, end - begin, int(same[begin:end].sum())
+    agreeing, places = np.flatnonzero(same), np.arange(len(sums))
+    begin, end = _longest(sums, equal, agreeing, agreeing + 1) if len(agreeing) else (0, 0)
+    if end - begin < min(least, len(item)):
+        begin, end = _longest(sums, equal, places, places)
+    return lo + begin, end - begin, int(equal[end] - equal[begin])
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = LEAST_TOKENS, similarity: float = SIMILARITY) -> DataFrame:
@@ -173,7 +188,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = LEAST_TOKENS, s
         shift, kept, found = np.asarray(batch.column("shift")), [], []
         for i in range(batch.num_rows):
             item = np.asarray(items_[i].values)
-            begin, n, equal = overlap(np.asarray(docs_[i].values), item, int(shift[i]), similarity)
+            begin, n, equal = overlap(np.asarray(docs_[i].values), item, int(shift[i]), similarity, least)
             if n >= min(least, len(item)) and equal >= similarity * n:
                 kept.append(i)
                 found.append((n, equal, begin + int(shift[i]), begin))

@@ -167,6 +167,35 @@ def test_overlaps_on_documents(spark, docs, benchmark, odd_docs):
     assert decontaminate.overlaps(odd_docs, benchmark).count() == 0
 
 
+def test_overlap_is_the_longest_stretch():
+    item = np.arange(16)
+    assert decontaminate.overlap(np.where(item == 12, -1, item), item, 0) == (0, 16, 15)
+    assert decontaminate.overlap(np.where(item == 11, -1, item)[:12], item[:12], 0) == (0, 12, 11)
+    assert decontaminate.overlap(item[:11], item[:12], 0)[1] < 12
+    rng = np.random.default_rng(4)
+    for _ in range(400):
+        n, shift = int(rng.integers(1, 50)), int(rng.integers(-3, 4))
+        item = np.arange(n)
+        doc = np.concatenate([np.full(max(shift, 0), -2), np.where(rng.random(n) < rng.uniform(0, 0.5), -1, item)[max(-shift, 0) :], np.full(int(rng.integers(0, 4)), -3)])
+        same = [0 <= i + shift < len(doc) and doc[i + shift] == i for i in range(n)]
+        faced = [i for i in range(n) if 0 <= i + shift < len(doc)]
+        lengths = [b - a for a in faced for b in range(a + 1, faced[-1] + 2) if 5 * sum(same[a:b]) >= 4 * (b - a)]
+        begin, m, equal = decontaminate.overlap(doc, item, shift)
+        need = min(decontaminate.LEAST_TOKENS, n)
+        assert (m >= need) == (max(lengths, default=0) >= need)
+        assert equal == sum(same[begin : begin + m]) and 5 * equal >= 4 * m
+
+
+def test_overlaps_with_a_substitution_near_the_end(spark):
+    other = " ".join(f"v{i}" for i in range(100))
+    item, short = [f"w{i}" for i in range(16)], [f"s{i}" for i in range(12)]
+    docs = [(1, " ".join([other, *item[:12], "X", *item[13:], other])), (2, " ".join([other, *short[:11], "X", other])), (3, " ".join([other, *short[:9], "X", "X", "X", other]))]
+    docs, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(8, " ".join(item)), (9, " ".join(short))], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["n_tokens"], r["n_equal"]) for r in decontaminate.overlaps(docs, items).collect()}
+    assert got == {(1, 8): (16, 15), (2, 9): (12, 11)}
+    assert [r["doc_id"] for r in decontaminate.clean(docs, items).collect()] == [3]
+
+
 # 5, 7 Classifiers --------------------------------------------------------------------
 
 
