@@ -43,6 +43,13 @@ def ev_chain_complete(spark, sf_dir):
     return stats.complete_chains(part, "user_id", "event_type", ["signup", "view", "purchase"])
 
 
+@query("""SELECT user_id FROM events WHERE event_type IN ('signup', 'view', 'purchase')
+    GROUP BY user_id HAVING count(DISTINCT event_type) = 3""")
+def ev_chain_complete_all(spark, sf_dir):
+    """ev_chain_complete over all events."""
+    return stats.complete_chains(table(spark, sf_dir, "events"), "user_id", "event_type", ["signup", "view", "purchase"])
+
+
 @query("""SELECT event_id, user_id, event_type, before FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events)
     WHERE before IS DISTINCT FROM event_type""")
 def ev_state_changes(spark, sf_dir):
