@@ -121,6 +121,13 @@ def turn_marked_desc(spark, sf_dir):
     return marked.orderBy(F.col("marked_at").desc_nulls_first(), "uuid").select("uuid", "marked_at").limit(50)
 
 
+@query("SELECT conversation_id, uuid, marked_at FROM turns WHERE marked_for_feedback ORDER BY conversation_id, marked_at DESC NULLS FIRST, uuid")
+def turn_marked_by_conv(spark, sf_dir):
+    """All marked turns, ordered within their conversation."""
+    marked = view(spark, sf_dir, "turns").filter("marked_for_feedback")
+    return marked.orderBy("conversation_id", F.col("marked_at").desc_nulls_first(), "uuid").select("conversation_id", "uuid", "marked_at")
+
+
 @query("SELECT result, failure_component, count(*) AS n FROM turns GROUP BY result, failure_component")
 def turn_results(spark, sf_dir):
     return view(spark, sf_dir, "turns").groupBy("result", "failure_component").agg(F.count("*").alias("n"))

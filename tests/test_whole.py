@@ -12,3 +12,10 @@ def test_chains_see_all_events(spark):
     got = [r["user_id"] for r in QUERIES["ev_chain_complete_all"](spark, SF).collect()]
     part = {r["user_id"] for r in QUERIES["ev_chain_complete"](spark, SF).collect()}
     assert sorted(got) == sorted(want) and part < want
+
+
+def test_all_marked_turns_come_in_order(spark):
+    want = spark.read.parquet(f"{SF}/conversations.parquet").filter("turn % 3 = 0").count()
+    got = QUERIES["turn_marked_by_conv"](spark, SF).collect()
+    assert len(got) == want > 50 == QUERIES["turn_marked_desc"](spark, SF).count()
+    assert got == sorted(got, key=lambda r: (r["conversation_id"], r["marked_at"] is not None, -(r["marked_at"] or 0), r["uuid"]))
