@@ -1,4 +1,4 @@
-"""Exact vector search by top-k; queries are few, vectors are many."""
+"""Exact vector search by top-k."""
 
 from __future__ import annotations
 
@@ -7,21 +7,18 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors
 
-#: Query vectors that are shipped to every task at most.
-MAX_QUERIES = 10_000
+#: Query vectors of a block; a task meets some items with one block.
+BLOCK = 1_000
 
 _METRICS = {"cosine": vectors.cosine_distance, "euclidean": vectors.euclidean_distance}
 
 
 def _paired(queries: DataFrame, items: DataFrame, metric: str) -> DataFrame:
-    """Each item with all queries in one array, so that nothing is joined or shuffled."""
-    rows = queries.select("query_id", vectors.doubles(F.col("vector")).alias("q")).limit(MAX_QUERIES + 1).collect()
-    if len(rows) > MAX_QUERIES:
-        raise ValueError(f"at most {MAX_QUERIES} queries at a time; search in blocks")
-    spark = items.sparkSession
-    lists = spark.createDataFrame(rows, "query_id long, q array<double>")
+    """Each item with each query. The queries are dealt into blocks, so that no task and no driver holds all of them."""
+    blocks = max(1, -(-queries.count() // BLOCK))
+    dealt = queries.select("query_id", vectors.doubles(F.col("vector")).alias("q")).repartition(blocks)
     d = _METRICS[metric](F.col("q"), vectors.doubles(F.col("vector")))
-    return items.join(F.broadcast(lists), F.lit(True)).select("query_id", "item_id", d.alias("distance"))
+    return items.crossJoin(dealt.hint("shuffle_replicate_nl")).select("query_id", "item_id", d.alias("distance"))
 
 
 def nearest(items: DataFrame, query: list[float], k: int = 10, metric: str = "cosine", least_similarity: float | None = None) -> DataFrame:
@@ -36,8 +33,8 @@ def nearest(items: DataFrame, query: list[float], k: int = 10, metric: str = "co
 def nearest_each(items: DataFrame, queries: DataFrame, k: int, metric: str = "cosine") -> DataFrame:
     """query_id, item_id, distance, rank of the k nearest items of each query.
 
-    The queries are bounded and broadcast. Ranks are cut in every task before the
-    shuffle (Spark pushes a rank limit below the exchange), so a query moves k rows a task.
+    Any number of queries. Ranks are cut in every task before the shuffle (Spark pushes
+    a rank limit below the exchange), so a query moves k rows a task.
     """
     pairs = _paired(queries, items, metric)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "item_id"))
