@@ -31,8 +31,10 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with their piece ids and how many these are."""
-    return sentencepieces.encoded(docs, out="piece_ids").withColumn("n_pieces", F.size("piece_ids"))
+    """The documents with their piece ids, how many these are, and whether they decode to the text (round_trip)."""
+    found = sentencepieces.decoded(sentencepieces.encoded(docs, out="piece_ids"), ids="piece_ids", out="__decoded")
+    same = F.col("__decoded") == F.translate(F.coalesce("text", F.lit("")), sentencepieces.SPACE, " ")
+    return found.select(*docs.columns, same.alias("round_trip"), "piece_ids", F.size("piece_ids").alias("n_pieces"))
 
 
 STAGES = [

@@ -3,6 +3,7 @@
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quern.llm import quality_classifier
@@ -49,3 +50,13 @@ def test_stages(spark, tmp_path):
 def test_run_equals_stages(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.columns[-2:] == ["piece_ids", "n_pieces"] and out.count() > 0
+
+
+def test_last_stage_decodes(spark, odd_docs, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for rows in (docs, odd_docs):
+        out = corpus_pipeline.pieces(spark, rows, SF)
+        assert out.count() == rows.count() == out.filter("round_trip").count()
+    encoded = corpus_pipeline.sentencepieces.encoded
+    monkeypatch.setattr(corpus_pipeline.sentencepieces, "encoded", lambda d, out: encoded(d, out=out).withColumn(out, F.array_append(out, F.lit(300))))
+    assert corpus_pipeline.pieces(spark, docs, SF).filter("round_trip").count() == 0
