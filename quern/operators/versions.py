@@ -86,7 +86,8 @@ def pruned(versions: DataFrame, keep: int, frequency: int = FREQUENCY) -> DataFr
     if keep < 1:
         raise ValueError("at least one snapshot must be kept")
     snaps = versions.filter(is_snapshot(F.col("version_number"), frequency))
-    newest = F.slice(F.sort_array(F.collect_list("version_number"), asc=False), 1, keep)
-    oldest = snaps.groupBy("entity_uuid").agg(F.array_min(newest).alias("oldest"), F.count("*").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("entity_uuid").orderBy(F.col("version_number").desc()))
+    newest = snaps.select("entity_uuid", "version_number", rank.alias("rank")).filter(F.col("rank") <= keep + 1)  # cut before the shuffle
+    oldest = newest.groupBy("entity_uuid").agg(F.min(F.when(F.col("rank") <= keep, F.col("version_number"))).alias("oldest"), F.count("*").alias("n"))
     joined = versions.join(oldest, "entity_uuid", "left")
     return joined.filter((F.coalesce("n", F.lit(0)) <= keep) | (F.col("version_number") >= F.col("oldest"))).select(versions.columns)

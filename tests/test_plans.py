@@ -40,3 +40,8 @@ def test_no_cross_join_and_little_python(spark, name):
     assert not re.search("BatchEvalPython", text)
     if not name.startswith(("txt_chunks", "txt_embed", "ver_reconstruct")):
         assert not re.search("Python|Pandas|Arrow", text)
+
+
+def test_pruning_gathers_no_snapshots(spark):
+    text = plan(QUERIES["ver_prune_keep2"](spark, SF))
+    assert "WindowGroupLimit" in text and "collect_list" not in text
