@@ -14,16 +14,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit
-from .common import arrow_map, stored
+from .common import Bitmap, arrow_map, fresh, stored
 
 #: Positions of a window that count (fixed values; six tokens each).
 MASKS = ("111010011", "1101100101", "1100101011", "10110010011")
 #: Tokens of an overlap at least (an item with fewer must be whole), and the share that must agree.
 LEAST_TOKENS, SIMILARITY = 13, 0.8
-#: Tokens of context kept on either side of a hit.
+#: Tokens of context kept before the first and behind the last of neighbouring hits. An
+#: overlap is measured within them: one that goes on for longer without any seed is found,
+#: but n_tokens counts no more than these.
 REACH = 64
-#: The seed filter has 2 ** 27 bits (16 MB) at most, however large the benchmark.
-MOST_FILTER_BITS = 27
 
 _OFFSETS = [np.flatnonzero([c == "1" for c in m]) for m in MASKS]
 _ODD = [np.uint64(pow(0xD1B54A32D192ED03, 2 * i + 1, 1 << 64)) for i in range(16)]
@@ -58,64 +58,82 @@ def seeds(tokens: np.ndarray, at: np.ndarray) -> list[tuple[np.ndarray, np.ndarr
     return found
 
 
-def benchmark_seeds(items: DataFrame) -> DataFrame:
-    """item_id, seed, pos of every window of every item."""
+def _content(tokens: str):
+    """128 bits that stand for an array of tokens."""
+    return F.concat_ws(":", F.xxhash64(tokens), F.xxhash64(F.lit(1), tokens))
+
+
+def _by_seed(seed: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct seeds, where the positions of each begin, and the positions."""
+    order = np.lexsort((pos, seed))
+    seed, pos = seed[order], pos[order]
+    first = np.flatnonzero(np.concatenate([[True], seed[1:] != seed[:-1]])) if len(seed) else np.zeros(0, np.int64)
+    return seed[first], first, pos
 
-    def run(batch):
-        data, at = packed(batch.column("text"))
-        tokens, rows = word_tokens(data, at)
-        ids = np.asarray(batch.column("item_id"))
-        found = seeds(tokens, rows)
-        start, seed = (np.concatenate(x) for x in zip(*found))
-        row = np.searchsorted(rows, start, "right") - 1
-        return pa.record_batch([pa.array(ids[row]), pa.array(seed.view(np.int64)), pa.array((start - rows[row]).astype(np.int32))], ["item_id", "seed", "pos"])
 
-    return arrow_map(items, run, "item_id long, seed long, pos int")
+class _Lists:
+    """Gathers (seeds, positions of each seed) row by row, as columns of lists."""
+
+    def __init__(self):
+        self.seeds, self.rows, self.starts, self.at, self.n = [], [0], [], [], 0
+
+    def add(self, seed: np.ndarray, pos: np.ndarray) -> None:
+        seeds, first, pos = _by_seed(seed, pos)
+        self.seeds.append(seeds.view(np.int64))
+        self.rows.append(self.rows[-1] + len(seeds))
+        self.starts.append(first + self.n)
+        self.at.append(pos.astype(np.int32))
+        self.n += len(pos)
+
+    def columns(self) -> list[pa.Array]:
+        inner = pa.ListArray.from_arrays(pa.array(np.append(np.concatenate(self.starts), self.n).astype(np.int32)), pa.array(np.concatenate(self.at)))
+        rows = pa.array(self.rows, pa.int32())
+        return [pa.ListArray.from_arrays(rows, pa.array(np.concatenate(self.seeds))), pa.ListArray.from_arrays(rows, inner)]
 
 
 def item_tokens(items: DataFrame) -> DataFrame:
+    """item_id, item (hashes of its words), itag (stands for these) of every item."""
+
     def run(batch):
         data, at = packed(batch.column("text"))
         tokens, rows = word_tokens(data, at)
         lists = pa.ListArray.from_arrays(pa.array(rows, pa.int32()), pa.array(tokens.view(np.int64)))
         return pa.record_batch([batch.column("item_id"), lists], ["item_id", "item"])
 
-    return arrow_map(items, run, "item_id long, item array<long>")
+    return arrow_map(items, run, "item_id long, item array<long>").withColumn("itag", _content("item"))
 
 
-def seed_filter(found: DataFrame) -> tuple[int, np.ndarray]:
-    """A bitmap with two places for each seed; at most 2 ** MOST_FILTER_BITS bits reach the driver.
+def benchmark_seeds(items: DataFrame) -> DataFrame:
+    """itag, seed, pos (all its window starts) of each item (itag, item)."""
 
-    A seed may match where both of its places are set.
-    """
-    n = found.count()
-    bits = int(min(MOST_FILTER_BITS, max(18, np.ceil(np.log2(512 * max(n, 1))))))
-    places = F.array(F.shiftrightunsigned("seed", 64 - bits), F.shiftrightunsigned("seed", 64 - 2 * bits).bitwiseAND((1 << bits) - 1))
-    place = F.col("place")
-    words = found.select(F.explode(places).alias("place")).select(F.shiftright(place, 6).alias("word"), F.expr("1L").alias("one"), (place % 64).cast("int").alias("bit"))
-    words = words.groupBy("word").agg(F.expr("bit_or(shiftleft(one, bit))").alias("set")).toArrow()
-    bitmap = np.zeros(1 << (bits - 6), np.int64)
-    bitmap[np.asarray(words["word"])] = np.asarray(words["set"])
-    return bits, bitmap.view(np.uint64)
+    def run(batch):
+        column, tags, lists = batch.column("item"), [], _Lists()
+        for i in range(batch.num_rows):
+            tokens = np.asarray(column[i].values).view(np.uint64)
+            start, seed = (np.concatenate(x) for x in zip(*seeds(tokens, np.array([0, len(tokens)]))))
+            if len(start):
+                tags.append(batch.column("itag")[i].as_py())
+                lists.add(seed, start)
+        return pa.record_batch([pa.array(tags, pa.string()), *lists.columns()], ["itag", "seeds", "at"]) if tags else None
 
+    rows = arrow_map(items.select("itag", "item"), run, "itag string, seeds array<long>, at array<array<int>>")
+    return rows.select("itag", F.explode(F.arrays_zip("seeds", "at")).alias("s")).select("itag", F.col("s.seeds").alias("seed"), F.col("s.at").alias("pos"))
 
-def hit_regions(docs: DataFrame, bits: int, bitmap: np.ndarray) -> DataFrame:
-    """doc_id, start, tokens, hits of the stretches of documents around seeds in the filter."""
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)  # 16 MB at most
+
+def hit_regions(docs: DataFrame, known: Bitmap) -> DataFrame:
+    """doc_id, start, tokens, seeds, at of the stretches of documents around seeds that may be known."""
+    shared = docs.sparkSession.sparkContext.broadcast(known)  # 16 MB at most
 
     def run(batch):
         data, at = packed(batch.column("text"))
         ids = np.asarray(batch.column("doc_id"))
-        out = []
+        out, lists = [], _Lists()
         for i, j in textkit.pieces(at):
             tokens, rows = word_tokens(data[at[i] : at[j]], at[i : j + 1] - at[i])
             kept = []
             for start, seed in seeds(tokens, rows):
-                for shift in (64 - bits, 64 - 2 * bits):
-                    place = ((seed >> np.uint64(shift)) & np.uint64((1 << bits) - 1)).astype(np.int64)
-                    hit = (shared.value[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1) == 1
-                    start, seed = start[hit], seed[hit]
-                kept.append((start, seed))
+                hit = shared.value.may_have(seed)
+                kept.append((start[hit], seed[hit]))
             start, seed = (np.concatenate(x) for x in zip(*kept))
             if not len(start):
                 continue
@@ -125,15 +143,33 @@ def hit_regions(docs: DataFrame, bits: int, bitmap: np.ndarray) -> DataFrame:
             cut = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (start[1:] - start[:-1] > 2 * REACH)]))
             for a, b in zip(cut, np.append(cut[1:], len(start))):
                 lo, hi = max(rows[row[a]], start[a] - REACH), min(rows[row[a] + 1], start[b - 1] + len(MASKS[-1]) + REACH)
-                out.append((int(ids[i + row[a]]), int(lo - rows[row[a]]), tokens[lo:hi].view(np.int64), (start[a:b] - lo).astype(np.int32), seed[a:b].view(np.int64)))
+                out.append((int(ids[i + row[a]]), int(lo - rows[row[a]]), tokens[lo:hi].view(np.int64)))
+                lists.add(seed[a:b], start[a:b] - lo)
         if not out:
             return None
-        doc, lo, toks, pos, seed = zip(*out)
-        lists = lambda x: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]), pa.int32()), pa.array(np.concatenate(x)))
-        return pa.record_batch([pa.array(doc, pa.int64()), pa.array(lo, pa.int32()), lists(toks), lists(pos), lists(seed)], ["doc_id", "start", "tokens", "pos", "seed"])
+        doc, lo, words = zip(*out)
+        tokens = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, words)]), pa.int32()), pa.array(np.concatenate(words)))
+        return pa.record_batch([pa.array(doc, pa.int64()), pa.array(lo, pa.int32()), tokens, *lists.columns()], ["doc_id", "start", "tokens", "seeds", "at"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    return arrow_map(rows, run, "doc_id long, start int, tokens array<long>, pos array<int>, seed array<long>")
+    return arrow_map(rows, run, "doc_id long, start int, tokens array<long>, seeds array<long>, at array<array<int>>")
+
+
+def _shifts(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The distinct differences of the positions `at` and `pos` of each row."""
+    at, pos, out = batch.column("at"), batch.column("pos"), []
+    for i in range(batch.num_rows):
+        a, p = np.asarray(at[i].values), np.asarray(pos[i].values)
+        if len(a) == 1 or len(p) == 1:
+            out.append(a - p)
+            continue
+        low = int(a.min()) - int(p.max())
+        marks = np.zeros(int(a.max()) - int(p.min()) - low + 1, bool)
+        for x in a if len(a) < len(p) else p:
+            marks[(x - p if len(a) < len(p) else a - x) - low] = True
+        out.append((np.flatnonzero(marks) + low).astype(np.int32))
+    lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, out)]), pa.int32()), pa.array(np.concatenate(out).astype(np.int32)))
+    return pa.record_batch([batch.column("tag"), batch.column("itag"), lists], ["tag", "itag", "shifts"])
 
 
 def _longest(sums: np.ndarray, equal: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[int, int]:
@@ -171,39 +207,54 @@ def overlap(doc: np.ndarray, item: np.ndarray, shift: int, similarity: float = S
 def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = LEAST_TOKENS, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, item_id, n_tokens, n_equal, doc_token, item_token: the longest verified overlap of each pair.
 
-    Only pairs that overlap are returned. Overlaps keep their alignment: an insertion
-    starts another one. Items shorter than the shortest mask, null texts and null ids
-    match nothing; of repeated rows each counts, the longest overlap is kept.
+    Only pairs that overlap are returned; of equally long ones the overlap with most equal
+    tokens, then the one latest in the document. Overlaps keep their alignment: an insertion
+    starts another one. Items shorter than the shortest mask (9 words), null texts and null
+    ids match nothing; rows that repeat an id count as parts of one document or item. Very
+    long texts are read whole; a stretch of them is one row as long as hits follow each
+    other. No other columns are read.
+
+    Equal stretches and equal items are verified once, however many documents have them,
+    each pair of a stretch and an item in one row with all alignments that share a seed.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id IS NOT NULL AND text IS NOT NULL")
-    wanted = stored(benchmark_seeds(items))
-    regions = stored(hit_regions(docs, *seed_filter(wanted)).withColumn("tag", F.xxhash64("tokens")))
-    hits = regions.select("doc_id", "start", "tag", F.explode(F.arrays_zip("pos", "seed")).alias("hit"))
-    hits = hits.select("doc_id", "start", "tag", F.col("hit.seed").alias("seed"), F.col("hit.pos").alias("at"))
-    pairs = hits.join(wanted, "seed").select("doc_id", "start", "tag", "item_id", (F.col("at") - F.col("pos")).alias("shift")).distinct()
-    faced = pairs.join(regions.select("doc_id", "start", "tag", "tokens"), ["doc_id", "start", "tag"]).join(item_tokens(items), "item_id")
+    tokens = stored(item_tokens(items))
+    faces = tokens.groupBy("itag").agg(F.first("item").alias("item"))
+    wanted = stored(benchmark_seeds(faces))
+    regions = stored(hit_regions(docs, Bitmap(wanted.select("seed").distinct(), "seed")).withColumn("tag", _content("tokens")))
+    stretches = stored(regions.groupBy("tag").agg(F.first(F.struct("tokens", "seeds", "at")).alias("s")).select("tag", "s.*"))
+    hits = stretches.select("tag", F.explode(F.arrays_zip("seeds", "at")).alias("s")).select("tag", F.col("s.seeds").alias("seed"), F.col("s.at").alias("at"))
+    pairs = arrow_map(hits.join(wanted, "seed").select("tag", "itag", "at", "pos"), _shifts, "tag string, itag string, shifts array<int>")
+    pairs = pairs.select("tag", "itag", F.explode("shifts").alias("shift")).groupBy("tag", "itag").agg(F.collect_set("shift").alias("shifts"))
+    faced = pairs.join(faces, "itag").join(stretches.select("tag", "tokens"), "tag")
 
     def verify(batch):
-        docs_, items_ = batch.column("tokens"), batch.column("item")
-        shift, kept, found = np.asarray(batch.column("shift")), [], []
+        docs_, items_, shifts, found = batch.column("tokens"), batch.column("item"), batch.column("shifts"), []
         for i in range(batch.num_rows):
-            item = np.asarray(items_[i].values)
-            begin, n, equal = overlap(np.asarray(docs_[i].values), item, int(shift[i]), similarity, least)
-            if n >= min(least, len(item)) and equal >= similarity * n:
-                kept.append(i)
-                found.append((n, equal, begin + int(shift[i]), begin))
-        if not kept:
+            doc, item, best = np.asarray(docs_[i].values), np.asarray(items_[i].values), None
+            for shift in shifts[i].values.to_pylist():
+                begin, n, equal = overlap(doc, item, shift, similarity, least)
+                if n >= min(least, len(item)) and equal >= similarity * n:
+                    best = max(best or (), (n, equal, begin + shift, begin))
+            if best:
+                found.append((i, *best))
+        if not found:
             return None
-        n, equal, doc_at, item_at = (pa.array(x, pa.int32()) for x in zip(*found))
-        taken = pa.array(kept)
-        return pa.record_batch([batch.column("doc_id").take(taken), batch.column("item_id").take(taken), batch.column("start").take(taken), n, equal, doc_at, item_at], ["doc_id", "item_id", "start", "n", "equal", "doc_at", "item_at"])
+        i, n, equal, doc_at, item_at = (pa.array(x, pa.int32()) for x in zip(*found))
+        return pa.record_batch([batch.column("tag").take(i), batch.column("itag").take(i), n, equal, doc_at, item_at], ["tag", "itag", "n", "equal", "doc_at", "item_at"])
 
-    rows = arrow_map(faced, verify, "doc_id long, item_id long, start int, n int, equal int, doc_at int, item_at int")
+    same = stored(arrow_map(faced.select("tag", "itag", "shifts", "tokens", "item"), verify, "tag string, itag string, n int, equal int, doc_at int, item_at int"))
+    rows = same.join(tokens.select("itag", "item_id").distinct(), "itag").join(regions.select("tag", "doc_id", "start"), "tag")
     best = F.max(F.struct("n", "equal", (F.col("start") + F.col("doc_at")).alias("doc_token"), F.col("item_at").alias("item_token"))).alias("b")
     return rows.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", F.col("b.n").alias("n_tokens"), F.col("b.equal").alias("n_equal"), "b.doc_token", "b.item_token")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of docs that overlap no benchmark item, all columns unchanged."""
-    dirty = overlaps(docs, benchmark, **options).select(F.col("doc_id").alias("__dirty")).distinct()
-    return docs.join(dirty, docs["doc_id"] == dirty["__dirty"], "left_anti")
+    """The rows of docs that overlap no benchmark item, all columns unchanged.
+
+    Whatever the columns are called; rows with a null id or text stay. Of an id with
+    several rows all go where one overlaps.
+    """
+    name = fresh("dirty", docs)
+    dirty = overlaps(docs, benchmark, **options).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(dirty, docs["doc_id"] == dirty[name], "left_anti")

@@ -119,10 +119,12 @@ def viterbi(scores: np.ndarray, at: np.ndarray, penalty: float) -> np.ndarray:
 def fit(docs: DataFrame, most: int = MAX_TRAINING_ROWS) -> LanguageModel:
     """Learn from text and non-null lang of documents outside fold 0, about `most` at most.
 
-    What reaches the driver is a count for each language and hashed feature.
+    Rows are chosen by id and text, so that repeated ids are no more than other rows; equal
+    rows are chosen together, but only counted. What reaches the driver is a count for each
+    language and hashed feature.
     """
     rows = docs.select("doc_id", "text", "lang").filter("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").filter(fold() != 0)
-    rows = bounded(rows, most, "doc_id")
+    rows = bounded(rows, most, "doc_id", "text")
     size = 2 << BITS
 
     def count(batch):
@@ -161,7 +163,8 @@ def identify(docs: DataFrame, model: LanguageModel, penalty: float = SWITCH, spa
 
     lang_pred labels most words (the first in order of name of equals), score is the
     share of words it labels. A text that is null or has no letter is `und` with score
-    0. spans: array of (start, end, lang), byte offsets into the UTF-8 text.
+    0. Repeated rows and null ids give a row each, very long texts are labelled whole, other
+    columns are not read. spans: array of (start, end, lang), byte offsets into the UTF-8 text.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2 ** (BITS + 1) values for each language
 

@@ -45,7 +45,11 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, *
 
 
 def kept(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **options) -> DataFrame:
-    """The rows of docs that the classifier does not reject, all columns unchanged."""
+    """The rows of docs that the classifier does not reject, all columns unchanged.
+
+    Columns may have any name; the verdict on a row depends on its text alone, a null one
+    counts as empty, repeated rows stay or go together.
+    """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, **options))
 
     def run(batches):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import decontaminate, language_id, quality_classifier, quality_rules, sentencepieces, simhash, suffix_dedup, token_counts, toxicity, url_filters
-from .common import documents, fold, labels
+from .common import documents, fold, labels, prepare
 
 
 def _scored(df: DataFrame) -> DataFrame:
@@ -54,6 +54,20 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.grouped(documents(spark, sf_dir))
 
 
+def quality_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statistics that quality rules test, and the base rule on them; SQL can express these."""
+    stats = quality_rules.statistics(documents(spark, sf_dir))
+    return stats.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", quality_rules.base_failed().alias("base_failed"))
+
+
+def _prepared(query):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        prepare(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_sentencepiece": op2_sentencepiece,
@@ -65,9 +79,11 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_simhash": op10_simhash,
+    "quality_statistics": quality_statistics,
 }
+QUERIES = {name: _prepared(query) for name, query in QUERIES.items()}
 
-_LONG = "|".join(x.replace(".", "\\.") for x in url_filters.LONG_SUFFIXES)
+_LONG = url_filters.LONG_SUFFIX
 
 
 def _rule_cases(pick: int) -> str:
@@ -88,7 +104,8 @@ _URL_FILTERS = rf"""WITH parts AS (SELECT page_id, translate(regexp_extract(coal
         regexp_extract(coalesce(url, ''), '://([^/?#]*)([^?#]*)', 2) AS path, regexp_replace(regexp_replace(html, '<[^>]*>', '', 'g'), '&[a-z]+;', '&', 'g') AS txt FROM pages),
     rows_ AS (SELECT page_id, host, path, CAST((length(txt) - length(translate(txt, '#*$%&|!', ''))) * 100 > length(txt) * 3 AS INT) AS bad FROM parts),
     named AS (SELECT *, regexp_replace(host, ':[0-9]*$', '') AS name FROM rows_ WHERE bad IS NOT NULL),
-    hosts AS (SELECT host, regexp_extract(name, '(?:^|\.)([^.]*\.(?:{_LONG})|[^.]*\.[^.]*|[^.]*)$', 1) AS domain, regexp_extract(name, '(?:^|\.)({_LONG}|[^.]*)$', 1) AS suffix,
+    hosts AS (SELECT host, CASE WHEN regexp_matches(name, '{url_filters.ADDRESS}') THEN name ELSE regexp_extract(name, '(?:^|\.)([^.]*\.{_LONG}|[^.]*\.[^.]*|[^.]*)$', 1) END AS domain,
+        CASE WHEN regexp_matches(name, '{url_filters.ADDRESS}') THEN name ELSE regexp_extract(name, '(?:^|\.)({_LONG}|[^.]*)$', 1) END AS suffix,
         count(*) AS n, sum(bad) AS bad FROM named GROUP BY ALL),
     domains AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY ALL),
     s0 AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, (SELECT sum(bad) / sum(n) FROM hosts) AS above FROM domains GROUP BY suffix),
@@ -101,5 +118,17 @@ _URL_FILTERS = rf"""WITH parts AS (SELECT page_id, translate(regexp_extract(coal
     SELECT page_id, host, path, {_rule_cases(1)} AS rule, coalesce({_rule_cases(0)}, CASE WHEN blocked THEN 'block' ELSE 'allow' END) AS verdict,
         CAST(coalesce(n, 0) AS BIGINT) AS n, CAST(coalesce(judged.bad, 0) AS BIGINT) AS n_bad FROM rows_ LEFT JOIN judged USING (host)"""
 
+_STATISTICS = r"""WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+    listed AS (SELECT r, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM docs),
+    spans AS (SELECT r, unnest(range(1, len(w) - 1)) AS i, w FROM listed WHERE len(w) > 2),
+    named AS (SELECT r, i, count(*) OVER (PARTITION BY r, w[i], w[i + 1], w[i + 2]) AS n FROM spans),
+    inside AS (SELECT r, count(DISTINCT i + k) AS n FROM named, range(3) AS ks(k) WHERE n > 1 GROUP BY r),
+    lines AS (SELECT r, l, count(*) AS n FROM (SELECT r, unnest(string_split(t, chr(10))) AS l FROM docs) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY r, l),
+    twice AS (SELECT r, sum(n - 1) AS n FROM lines GROUP BY r),
+    counted AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+        CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols, CAST(coalesce(twice.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(inside.n, 0) AS BIGINT) AS n_repeat_words
+        FROM listed LEFT JOIN twice USING (r) LEFT JOIN inside USING (r))
+    SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counted"""
+
 #: The other operators learn a model or work on bytes; tests/llm has their brute force.
-ORACLES: dict[str, str] = {"op3_url_filters": _URL_FILTERS}
+ORACLES: dict[str, str] = {"op3_url_filters": _URL_FILTERS, "quality_statistics": _STATISTICS}

@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import linear, textkit
-from .common import MAX_TRAINING_ROWS, arrays, arrow_map, bounded, fold, stored
+from .common import MAX_TRAINING_ROWS, arrays, arrow_map, fold, labelled, stored
 
 #: Features are hashed to this many bits.
 BITS = 20
@@ -19,9 +20,9 @@ BITS = 20
 Keys = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
-def features(batch: pa.RecordBatch, keys: Keys) -> tuple[np.ndarray, np.ndarray]:
-    """Row offsets and features of the batch's texts (column `text`)."""
-    data, at = textkit.packed(batch.column("text"))
+def features(batch: pa.RecordBatch, keys: Keys) -> np.ndarray:
+    """Distinct `row << BITS | feature` of the batch's lower-cased texts (column `text`)."""
+    data, at = textkit.packed(pc.utf8_lower(batch.column("text")))
     found = [np.zeros(0, np.int64)]
     for i, j in textkit.pieces(at):
         found.append(keys(data[at[i] : at[j]], at[i : j + 1] - at[i]) + (i << BITS))
@@ -31,16 +32,16 @@ def features(batch: pa.RecordBatch, keys: Keys) -> tuple[np.ndarray, np.ndarray]
 def train(docs: DataFrame, labels: DataFrame, label: str, keys: Keys, cost: float, most: int = MAX_TRAINING_ROWS) -> linear.LinearModel:
     """A model of `labels.<label>` from rows outside fold 0.
 
-    At most about `most` labelled rows are used (a documented bound); a document with
-    several labels counts once for each, one without text counts as empty. Features are
-    counted on the executors; what reaches the driver are 2 ** BITS counts at most, then
-    the rows' features that the log-count ratios keep.
+    At most about `most` labelled ids are used (a documented bound, in expectation), one
+    row each: an id's label is that of most of its label rows, its text the least of its
+    rows' texts, an empty one where none has a text. Features are counted on the executors;
+    what reaches the driver are 2 ** BITS counts at most, then the features of at most
+    about `most` rows that the log-count ratios keep.
     """
-    rows = labels.select(F.col("doc_id").alias("k"), F.col(label).cast("int").alias("y"))
-    rows = rows.filter(F.col("k").isNotNull() & F.col("y").isNotNull() & (fold("k") != 0))
-    rows = bounded(rows, most, "k").withColumn("tune", F.pmod(F.xxhash64("k", F.lit("tune")), F.lit(5)) == 0)
-    texts = docs.select(F.col("doc_id").alias("k"), "text")
-    sample = stored(texts.join(F.broadcast(rows), "k").select("text", "y", "tune"))  # at most about `most` short rows
+    rows = labelled(labels.filter(fold() != 0), label, most)
+    rows = rows.withColumn("tune", F.pmod(F.xxhash64("k", F.lit("tune")), F.lit(5)) == 0)
+    texts = docs.select(F.col("doc_id").cast("long").alias("k"), "text").join(F.broadcast(rows), "k")  # one row an id, about `most`
+    sample = stored(texts.groupBy("k", "y", "tune").agg(F.min("text").alias("text")).select("text", "y", "tune"))
     n = {(bool(r["tune"]), r["y"] == 1): r["count"] for r in sample.groupBy("tune", (F.col("y") == 1).alias("y")).count().collect()}
     some = n.get((False, True), 0) and n.get((False, False), 0)
 
@@ -86,7 +87,8 @@ def score(docs: DataFrame, model: linear.LinearModel, keys: Keys, threshold: flo
     """doc_id, score and predicted of every document.
 
     Each row of `docs` gives one row, repeated ids and null ids included; a null or
-    empty text is scored from the bias alone. Other columns are not read.
+    empty text is scored from the bias alone, a very long one as a whole. Equal texts have
+    equal scores, a score at the threshold counts as above it. Other columns are not read.
     """
     broadcast = docs.sparkSession.sparkContext.broadcast(model)  # 2 ** BITS weights, whatever the input
 

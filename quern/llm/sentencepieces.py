@@ -1,19 +1,21 @@
 """SentencePiece encoding and decoding by suffix-array matching.
 
-The distinct words of a batch are concatenated and indexed by a suffix array. Every piece
-of the vocabulary is binary-searched for its range of occurrences; the occurrences are
-edges, which are sorted by position and relaxed from left to right. A prefix's encoding
-ends in the one edge that is compatible with the encoding before it: no merge across the
-two would have come first. That gives the byte-pair encoding itself, id for id.
+The words of a batch of texts, each distinct one once, are concatenated and indexed by a
+suffix array. Every piece of the vocabulary is binary-searched for its range of
+occurrences; the occurrences are edges, which are sorted by position and relaxed from left
+to right. A prefix's encoding ends in the one edge that is compatible with the encoding
+before it: no merge across the two would have come first. That gives the byte-pair
+encoding itself, id for id.
 
 Pieces never reach over a space into the next word, so words are encoded by themselves;
-runs of spaces have pieces of their own.
+runs of spaces have pieces of their own. Nothing is kept from one batch to the next.
 """
 
 from __future__ import annotations
 
 import heapq
 import re
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
@@ -23,15 +25,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
 from . import textkit
-from .common import arrow_bounds, arrow_map
+from .common import arrow_map
 
 SPACE = "▁"
 #: Characters of distinct words that one suffix array indexes, about.
 CHUNK = 1 << 20
-#: Bytes of text whose words are looked up together.
-PIECE = 2 << 20
-#: Distinct words that a task remembers at most.
-REMEMBERED = 250_000
+#: Bytes of text that are encoded together, about (a longer single text is by itself).
+PIECE = 8 << 20
+#: Longer words are encoded in segments that overlap, side by side.
+LONG, SEGMENT, OVERLAP = 2048, 1024, 128
 _DEPTH = 12  # of the spines: how often a piece may be split on one side
 _WORDS = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 _NEVER = np.iinfo(np.int32).max
@@ -129,6 +131,8 @@ class Vocabulary:
                 if d + 1 < _DEPTH:
                     gone[side, :, d + 1] = np.where(part >= 0, time[part], 0)
                 part = inner.astype(np.int32)
+            if (part >= 0).any():
+                raise ValueError(f"pieces of this model are merged on one side more than {_DEPTH} times")
         made = np.where(spine >= 0, time[spine], _NEVER)
         return made, gone, spine
 
@@ -224,8 +228,11 @@ class Vocabulary:
             lo[own], hi[own] = ends
         return order, lo, hi
 
-    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Offsets and ids of words: letters without inner spaces, at most one space in front."""
+    def encode_words(self, words: list[str], raw: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Offsets and ids of words: letters without inner spaces, at most one space in front.
+
+        raw: a character without a piece gives `unknown`, else the ids of its bytes.
+        """
         sizes = np.array([len(w) for w in words], np.int64)
         points = np.frombuffer("\n".join(words).encode("utf-32-le", "surrogatepass") + b"\n\0\0\0", np.uint32)
         codes = self.letters[points]
@@ -267,9 +274,57 @@ class Vocabulary:
             check = np.flatnonzero(~good & (before >= 0))
             good[check] = self.compatible(before[check], now[check])
             last[end[a:b][good]] = now[good]
-        return self._walk(last, starts, sizes, points)
-
-    def _walk(self, last, starts, sizes, points):
+        return self._walk(last, starts, sizes, points, raw)
+
+    def encode_long(self, word: str) -> np.ndarray:
+        """The ids of one long word, from segments that are encoded side by side.
+
+        Neighbouring segments overlap. Where both encodings have the same token at the same
+        place they are joined there: all neighbours of the whole are then compatible, and
+        only one sequence of tokens is. Segments that share no token in their overlap begin
+        a little later, in the last resort the word is encoded in one go.
+        """
+        begins = range(0, len(word) - OVERLAP, SEGMENT)
+        tried: dict[int, list[np.ndarray]] = {}
+
+        def chains(shift: int) -> list[np.ndarray]:
+            if shift not in tried:
+                parts, per = [word[a + (shift if a else 0) : a + SEGMENT + OVERLAP] for a in begins], CHUNK // (SEGMENT + OVERLAP)
+                tried[shift] = []
+                for i in range(0, len(parts), per):
+                    at, ids = self.encode_words(parts[i : i + per], raw=True)
+                    tried[shift] += [ids[x:y] for x, y in zip(at, at[1:])]
+            return tried[shift]
+
+        def placed(start: int, ids: np.ndarray) -> np.ndarray:
+            ends = start + np.cumsum(self.lengths[ids])
+            return (ends - self.lengths[ids]) * (self.size + 1) + ids
+
+        now, out = placed(0, chains(0)[0]), []
+        for k in range(1, len(begins)):
+            for shift in range(self.spelled.shape[1]):
+                then = placed(begins[k] + shift, chains(shift)[k])
+                common = np.intersect1d(now, then, assume_unique=True)
+                if len(common):
+                    break
+            else:
+                return self._expanded(self.encode_words([word], raw=True)[1], word)
+            out.append(now[now <= common[0]])
+            now = then[then > common[0]]
+        return self._expanded(np.concatenate([*out, now]) % (self.size + 1), word)
+
+    def _expanded(self, ids: np.ndarray, word: str) -> np.ndarray:
+        """`ids` with the bytes of the characters that are unknown."""
+        odd = np.flatnonzero(ids == self.unknown)
+        if not len(odd):
+            return ids.astype(np.int32)
+        at, parts, done = np.cumsum(self.lengths[ids]) - self.lengths[ids], [], 0
+        for k in odd.tolist():
+            parts += [ids[done:k], np.array([self.bytes[b] for b in word[int(at[k])].encode("utf-8", "surrogatepass")])]
+            done = k + 1
+        return np.concatenate([*parts, ids[done:]]).astype(np.int32)
+
+    def _walk(self, last, starts, sizes, points, raw):
         """From each word's end back to its start."""
         here, alive = starts + sizes, np.flatnonzero(sizes > 0)
         found, strange = [], []
@@ -290,7 +345,7 @@ class Vocabulary:
         for step, (words, token) in enumerate(found):
             ids[ends[words] - 1 - step] = token
         starts_out, ids = np.concatenate([[0], ends]), ids.astype(np.int32)
-        if not strange:
+        if not strange or raw:
             return starts_out, ids
         parts, sizes_out, done = [], np.diff(starts_out), 0
         for w in sorted(set(strange)):
@@ -333,7 +388,7 @@ def vocabulary(name: str) -> Vocabulary:
 
 
 class Encoder:
-    """Encodes texts of one task; remembers the words it has seen, up to a bound."""
+    """Encodes batches of texts, each by itself: what is kept of one goes before the next."""
 
     def __init__(self, name: str):
         self.vocabulary = vocabulary(name)
@@ -353,6 +408,11 @@ class Encoder:
         v, double = self.vocabulary, SPACE * 2
         special = [w for w in words if w.startswith(double) or w == SPACE or w == "\n"]
         plain = words if not special else sorted(set(words).difference(special))
+        long = [w for w in plain if len(w) > LONG]
+        if long:
+            found = [v.encode_long(w) for w in long]
+            self._add(long, np.cumsum([0, *map(len, found)]), np.concatenate(found))
+            plain = [w for w in plain if len(w) <= LONG]
         bounds = np.cumsum([len(w) for w in plain]) // CHUNK
         for part in np.split(np.arange(len(plain)), np.flatnonzero(np.diff(bounds)) + 1):
             if len(part):
@@ -380,8 +440,7 @@ class Encoder:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Offsets and ids of the texts."""
         found = [_WORDS.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        if len(self.place) > REMEMBERED:
-            self._forget()
+        self._forget()
         if fresh := set(chain.from_iterable(found)).difference(self.place):
             self._learn(sorted(fresh))
         counts = np.concatenate([[0], np.cumsum([len(w) for w in found])])
@@ -392,18 +451,52 @@ class Encoder:
         return total[counts], ids
 
 
-def encoded(docs: DataFrame, tokenizer: str = "piece_bpe_32k.model", out: str = "ids") -> DataFrame:
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of PIECE bytes of text or more."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.column("text").nbytes
+        if size >= PIECE:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+def _decoded(column: pa.Array, name: str) -> pa.Array:
+    table, texts = outputs(name), []
+    flat, at = np.asarray(column.flatten()), np.concatenate([[0], np.cumsum(np.asarray(column.value_lengths().fill_null(0)))])
+    for k in range(len(column)):
+        if not column[k].is_valid:
+            texts.append(None)
+            continue
+        raw = b"".join([table[i] if 0 <= i < len(table) else b"" for i in flat[at[k] : at[k + 1]].tolist()])
+        texts.append(raw.removeprefix(b" ").decode("utf-8", "replace"))
+    return pa.array(texts, pa.string())
+
+
+def _others(docs: DataFrame, *names: str) -> list[str]:
+    return [c for c in docs.columns if c.lower() not in {n.lower() for n in names}]
+
+
+def encoded(docs: DataFrame, tokenizer: str = "piece_bpe_32k.model", out: str = "ids", back: str | None = None) -> DataFrame:
     """docs with a column `out` of piece ids (array of int), as the model's library gives them.
 
-    Whole texts, without begin or end. A null text has no ids (an empty array), as an
-    empty one. Other columns are passed through; one called `out` is replaced.
+    Whole texts, without begin or end, however long these or their words are. A null text
+    has no ids (an empty array), as an empty one. Other columns are passed through; those
+    called `out` or `back` in any case are replaced. back: a further column with the text
+    that the ids decode to, without a second pass.
     """
-    names = [c for c in docs.columns if c != out]
+    added = [out, back] if back else [out]
+    names = _others(docs, *added)
     schema = docs.select(names).schema.add(out, ArrayType(IntegerType()))
+    if back:
+        schema = schema.add(back, "string")
 
     def run(batches):
         encoder = Encoder(tokenizer)
-        for batch in batches:
+        for batch in _gathered(batches):
             text, at = batch.column("text"), textkit.packed(batch.column("text"))[1]
             offsets, ids = [np.zeros(1, np.int64)], [np.zeros(0, np.int32)]
             for i, j in textkit.pieces(at, PIECE):
@@ -411,9 +504,9 @@ def encoded(docs: DataFrame, tokenizer: str = "piece_bpe_32k.model", out: str =
                 offsets.append(a[1:] + offsets[-1][-1])
                 ids.append(b)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate(offsets), pa.int32()), pa.array(np.concatenate(ids)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*names, out])
+            columns = [*batch.columns, lists, _decoded(lists, tokenizer)] if back else [*batch.columns, lists]
+            yield pa.RecordBatch.from_arrays(columns, names=[*names, *added])
 
-    arrow_bounds(docs.sparkSession)
     return docs.select(names).mapInArrow(run, schema)
 
 
@@ -421,23 +514,13 @@ def decoded(docs: DataFrame, tokenizer: str = "piece_bpe_32k.model", ids: str =
     """docs with a column `out`: the text of the piece ids, without the space put in front.
 
     Ids that are no pieces give nothing; bytes that are no UTF-8 become U+FFFD. Null ids
-    give null.
+    give null. Other columns are passed through; one called `out` in any case is replaced.
     """
-    names = [c for c in docs.columns if c != out]
+    names = _others(docs, out)
     schema = docs.select(names).schema.add(out, "string")
 
     def run(batch):
-        table = outputs(tokenizer)
-        column = batch.column(ids)
-        flat, at = np.asarray(column.flatten()), np.concatenate([[0], np.cumsum(np.asarray(column.value_lengths().fill_null(0)))])
-        texts = []
-        for k in range(len(column)):
-            if not column[k].is_valid:
-                texts.append(None)
-                continue
-            raw = b"".join([table[i] if 0 <= i < len(table) else b"" for i in flat[at[k] : at[k + 1]].tolist()])
-            texts.append(raw.removeprefix(b" ").decode("utf-8", "replace"))
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*names, out])
+        return pa.RecordBatch.from_arrays([*batch.columns, _decoded(batch.column(ids), tokenizer)], names=[*names, out])
 
     return arrow_map(docs.select(names), run, schema)
 
@@ -446,10 +529,10 @@ def round_trips(docs: DataFrame, tokenizer: str = "piece_bpe_32k.model") -> Data
     """doc_id, n_bytes, n_pieces, ids_hash, round_trip of every row of docs.
 
     round_trip: the decoded ids are the text (with U+2581 as a space, which the model
-    does not tell apart).
+    does not tell apart). Repeated and null ids give a row each; other columns are not read.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    rows = decoded(encoded(rows, tokenizer), tokenizer)
+    rows = encoded(rows, tokenizer, back="decoded")
     same = F.col("decoded") == F.translate("text", SPACE, " ")
     return rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), same.alias("round_trip"))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit
-from .common import arrow_map, stored
+from .common import arrow_map, fresh, joined, stored
 from .components import components
 
 #: Differing bits up to which two fingerprints are linked.
@@ -185,7 +185,9 @@ def links(distinct: DataFrame, cell: int = CELL) -> DataFrame:
     A key with more than `cell` fingerprints is dealt in cells: each pair of its blocks
     meets in one, each probe meets every block, so that nothing is left out.
     """
-    keyed = arrow_map(distinct.select("fp"), _ring_keys, "key long, kind byte, fp long")
+    parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = distinct.select("fp").repartition(parts, "fp")  # stored rows may lie in few files; each becomes seventy
+    keyed = arrow_map(spread, _ring_keys, "key long, kind byte, fp long")
     heavy = stored(keyed.filter("kind = 0").groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > cell))
     if heavy.isEmpty():
         dealt = keyed.withColumn("cell", F.lit(0).cast("long"))
@@ -203,28 +205,33 @@ def grouped(docs: DataFrame, cell: int = CELL) -> DataFrame:
     """doc_id, fingerprint, component_id of every row of docs.
 
     Equal fingerprints are one node, so copies are never paired with each other. A row
-    with a null id is linked like others but never names a component, unless no other
-    row is in it; repeated rows share their component.
+    with a null id is linked like others but never names a component: one of such rows
+    only has a null component_id. Repeated rows share their component, equal distances need
+    no rule: all links within BITS count. Very long texts are read whole, other columns not.
     """
     prints = stored(fingerprints(docs))
     distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(links(distinct, cell), "a", "b")
-    named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    named = stored(distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.join(least, "root").select("fp", "component_id")
+    named = joined(named, least, "root").select("fp", "component_id")
     text = F.lpad(F.lower(F.hex("fp")), 16, "0")
-    return prints.join(named, "fp").select("doc_id", text.alias("fingerprint"), "component_id")
+    return joined(prints, stored(named), "fp").select("doc_id", text.alias("fingerprint"), "component_id")
 
 
 def representatives(docs: DataFrame, cell: int = CELL) -> DataFrame:
     """One document of each group: the rows of docs that name their component, all columns.
 
-    Of several rows with one id one stays. Rows with a null id cannot be named and stay.
+    Of several rows with one id the one with the least text stays (a null text comes
+    first), of equal texts the one with the least hash of all columns. Rows with a null id
+    cannot be named and stay. Input columns may have any name.
     """
-    names = grouped(docs, cell).filter("doc_id = component_id").groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__rows"))
-    names = stored(names)
-    kept = docs.join(names, docs["doc_id"] == names["__id"], "left").filter(F.col("__id").isNotNull() | F.col("doc_id").isNull())
-    if names.filter("__rows > 1").isEmpty():
+    name, rows = fresh("id", docs), fresh("rows", docs)
+    names = stored(grouped(docs, cell).filter("doc_id = component_id").groupBy(F.col("doc_id").alias(name)).agg(F.count("*").alias(rows)))
+    kept = docs.join(names, docs["doc_id"] == names[name], "left").filter(F.col(name).isNotNull() | F.col("doc_id").isNull())
+    if names.filter(F.col(rows) > 1).isEmpty():
         return kept.select(docs.columns)
-    once = kept.filter(F.coalesce("__rows", F.lit(1)) <= 1).select(docs.columns)
-    return once.unionByName(kept.filter("__rows > 1").select(docs.columns).dropDuplicates(["doc_id"]))
+    once = kept.filter(F.coalesce(rows, F.lit(1)) <= 1).select(docs.columns)
+    whole = F.struct(*docs.columns)
+    chosen = F.min_by(whole, F.struct("text", F.xxhash64(F.to_json(whole)))).alias("row")
+    return once.unionByName(kept.filter(F.col(rows) > 1).groupBy(name).agg(chosen).select("row.*"))

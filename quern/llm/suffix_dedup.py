@@ -5,13 +5,16 @@ anchor: equal strings have it at the same offset. Suffixes are therefore sorted
 anchors only, with the bytes before them as payload, and only where two documents share
 the anchor's gram:
 
-1. Documents are dealt into blocks and written as a bucketed table. Every block sends
-   the sorted digests of its grams by range; each range answers which are shared.
-2. Every block sorts its suffixes at shared anchors into runs, cut at sampled splitters
-   and front-coded: a suffix carries what it doesn't share with its predecessor.
-3. Each range merges its runs with a loser tree. Contenders carry the prefix they share
-   with the last winner, and a comparison starts behind it. The prefixes that neighbours
-   share then tell which strings around an anchor are equal.
+1. Documents are dealt into blocks and written as a bucketed table. Every block gives the
+   digests of its grams as rows; a window over each digest tells which are shared.
+2. Every block sorts its suffixes at shared anchors into runs, one for each range it sends
+   to, and front-codes them: a suffix carries what it doesn't share with its predecessor.
+   Ranges are cut at sampled splitters and, where there are many, dealt on by gram.
+3. Runs are merged with loser trees. Contenders carry the prefix they share with the last
+   winner, and a comparison starts behind it. With many blocks this takes several levels:
+   a level merges the runs of some FANOUT neighbours and cuts the result for the next, so
+   that the runs exchanged grow with the text and not with its square. In the last level
+   the prefixes that neighbours share tell which strings around an anchor are equal.
 4. Blocks gather the covered stretches of their documents.
 
 Equal suffixes of one block are sent once, with the smallest id; the block itself covers
@@ -23,27 +26,31 @@ from __future__ import annotations
 
 import hashlib
 import math
-import uuid
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkit
-from .common import arrow_map, release, shared_folder
+from .common import arrow_map, bucketed, fresh, release
 
 LENGTH, GRAM = 50, 20
 #: Bytes of text in a block, about.
-BLOCK = 8 << 20
+BLOCK = 4 << 20
+#: Buckets of the table of blocks at most (Spark's own bound); a bucket may hold several blocks.
+MOST_BUCKETS = 100_000
 #: A gram that more documents share is dealt by whole strings.
 HOT = 4096
-#: Grams from which splitters are chosen, in all.
-SAMPLE = 65_536
-#: Digest bits beside those of the range.
-_BITS = 40
+#: Grams from which splitters are chosen, and splitters at most; both only balance.
+SAMPLE, SPLITTERS = 65_536, 4096
+#: Runs that one level merges, and ranges that it cuts a run into, at most about.
+FANOUT = 512
+#: Bits of a gram's digest. A clash only makes a suffix travel needlessly: at 100 TB of text
+#: one in fifty.
+_BITS = 48
 _WIDE = 56  # bytes of a padded suffix, whole words
 
 
@@ -78,9 +85,10 @@ def anchors(data: np.ndarray, at: np.ndarray):
 class Block:
     """The rows of one block in order of id and text, with their anchors."""
 
-    def __init__(self, table: pa.Table):
+    def __init__(self, table: pa.Table, of_block: str = "block"):
         ids = pc.fill_null(table["doc_id"], (1 << 63) - 1).to_pylist()
         texts = pc.fill_null(table["text"].cast(pa.large_binary()), b"").to_pylist()
+        self.number = table[of_block][0].as_py()
         self.order = sorted(range(len(ids)), key=lambda i: (ids[i], texts[i]))
         self.ids = np.array([ids[i] for i in self.order], np.int64)
         self.bytes = b"".join(texts[i] for i in self.order)
@@ -96,67 +104,28 @@ class Block:
         return [np.concatenate(x) for x in zip(*parts)] if parts else [np.zeros(0, np.int64)] * 4 + [np.zeros(0, np.uint64)]
 
 
-def _digests(h: np.ndarray, bits: int) -> np.ndarray:
-    """The leading bits of the hashes: `bits` for the range, _BITS within it."""
-    return (h >> np.uint64(64 - _BITS - bits)).astype(np.int64)
-
-
-def _as_bytes(codes: np.ndarray) -> bytes:
-    return codes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : _BITS // 8].tobytes()
-
-
-def _from_bytes(raw: bytes) -> np.ndarray:
-    wide = np.zeros((len(raw) * 8 // _BITS, 8), np.uint8)
-    wide[:, : _BITS // 8] = np.frombuffer(raw, np.uint8).reshape(-1, _BITS // 8)
-    return wide.view("<i8").ravel()
-
-
-def _gram_runs(bits: int):
-    """Sorted distinct digests of a block by range, and in how many documents each is."""
-
-    def run(table: pa.Table) -> pa.Table:
-        block, number = Block(table), table["__block"][0].as_py()
-        p, _, _, row, h = block.anchors()
-        code = _digests(h, bits)
-        order = np.argsort(code, kind="stable")
-        code = code[order]
-        first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(0, np.int64)
-        ids = block.ids[row[order]]
-        alone = np.minimum.reduceat(ids, first) == np.maximum.reduceat(ids, first) if len(first) else first
-        many = np.where(alone, 1, np.minimum(np.diff(np.append(first, len(code))), 65_535)).astype("<u2")
-        code = code[first]
-        edges = np.searchsorted(code, np.arange((1 << bits) + 1) << _BITS)
-        rows = [(number, k, _as_bytes(code[a:b]), many[a:b].tobytes()) for k, (a, b) in enumerate(zip(edges, edges[1:])) if a < b]
-        kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)] if rows else [pa.array([], t) for t in kinds], ["block", "range", "codes", "many"])
+def _digests(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - _BITS)).astype(np.int64)
 
-    return run
-
-
-def _shared_grams(hot: int):
-    """For each block, which of the digests it sent to a range are shared, and which hot."""
-
-    def run(table: pa.Table) -> pa.Table:
-        codes = [_from_bytes(x) for x in table["codes"].to_pylist()]
-        many = np.concatenate([np.frombuffer(x, "<u2") for x in table["many"].to_pylist()]).astype(np.int64)
-        edges = np.concatenate([[0], np.cumsum([len(c) for c in codes])])
-        code = np.concatenate(codes)
-        order = np.argsort(code, kind="stable")
-        first = np.flatnonzero(np.concatenate([[True], code[order][1:] != code[order][:-1]]))
-        total = np.add.reduceat(many[order], first)
-        spread = np.empty(len(code), np.int64)
-        spread[order] = np.repeat(total, np.diff(np.append(first, len(code))))
-        masks = [[np.packbits(spread[a:b] > limit).tobytes() for a, b in zip(edges, edges[1:])] for limit in (1, hot)]
-        return pa.Table.from_arrays([table["block"].combine_chunks(), table["range"].combine_chunks(), *(pa.array(m, pa.binary()) for m in masks)], ["block", "range", "shared", "hot"])
 
-    return run
+def _grams(table: pa.Table) -> pa.Table:
+    """The distinct digests of a block's grams, and in how many documents each is (1, or more)."""
+    block = Block(table)
+    _, _, _, row, h = block.anchors()
+    code = _digests(h)
+    order = np.argsort(code, kind="stable")
+    code, ids = code[order], block.ids[row[order]]
+    first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(0, np.int64)
+    alone = np.minimum.reduceat(ids, first) == np.maximum.reduceat(ids, first) if len(first) else first
+    many = np.where(alone, 1, np.diff(np.append(first, len(code))))
+    return pa.table({"code": code[first], "block": np.full(len(first), block.number, np.int32), "many": many.astype(np.int32)})
 
 
 def _splitters(docs: DataFrame, count: int, parts: int) -> list[bytes]:
     """Grams that cut the order of suffixes in `parts` about equal ranges, from SAMPLE grams.
 
-    They are taken from about SAMPLE / 32 documents; they balance the ranges and have no
-    influence on what is found.
+    They are taken from about SAMPLE / 32 documents and reach the driver; they balance the
+    ranges and have no influence on what is found.
     """
     every = max(1, count * 32 // SAMPLE)
     some = docs.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(every)) == 0)
@@ -184,7 +153,8 @@ def _unzip(columns: pa.ChunkedArray) -> list[bytes]:
     return [zstandard.ZstdDecompressor().decompress(x) for x in columns.to_pylist()]
 
 
-_RUN = "block int, range int, lcp binary, size binary, tails binary, before binary, lefts binary, ids binary, rows binary, places binary"
+_PACKED = ("lcp", "size", "tails", "before", "lefts", "ids", "blocks", "rows", "places")
+_RUN = "part int, range long, " + ", ".join(f"{c} binary" for c in _PACKED)
 _COVER = "block int, rows binary, first binary, last binary"
 
 
@@ -239,22 +209,44 @@ class _Suffixes:
         for name in ("place", "row", "ids", "size", "before"):
             setattr(self, name, getattr(self, name)[stays])
 
-    def runs(self, block: Block, number: int, ranges: np.ndarray) -> list[tuple]:
-        """Front-coded runs, one for each range: common prefixes, then what each suffix adds."""
-        by = np.argsort(ranges, kind="stable")
-        cuts = np.flatnonzero(np.concatenate([[True], ranges[by][1:] != ranges[by][:-1]])) if len(by) else by
-        out = []
-        for a, b in zip(cuts, np.append(cuts[1:], len(by))):
-            own = by[a:b]
-            right, size, before = self.right[own], self.size[own], self.before[own]
-            lcp = _common(right, size)
-            column = np.arange(LENGTH)
-            tails = right[(column >= lcp[:, None]) & (column < size[:, None])]
-            lefts = self.left[own][column < before[:, None]]
-            row = self.row[own]
-            columns = (lcp.astype(np.uint8), size.astype(np.uint8), tails, before.astype(np.uint8), lefts, self.ids[own].astype("<i8"), row.astype("<i4"), (self.place[own] - block.at[row]).astype("<i4"))
-            out.append((number, int(ranges[own[0]]), *map(_zip, columns)))
-        return out
+    def runs(self, block: Block, ranges: np.ndarray, fanout: int) -> list[tuple]:
+        """One front-coded run for each of `ranges`, for the first of the merges of `fanout` blocks."""
+        lcp = _common(self.right, self.size)
+        starts = np.cumsum(self.before) - self.before
+        lefts = self.left[np.arange(LENGTH) < self.before[:, None]]
+        blocks = np.full(len(self.row), block.number, np.int32)
+        return _coded(block.number // fanout, ranges, self.right, lcp, self.size, self.before, lefts, starts, self.ids, blocks, self.row, self.place - block.at[self.row])
+
+
+def _coded(part, ranges, right, lcp, size, before, lefts, starts, ids, blocks, rows, places) -> list[tuple]:
+    """Sorted suffixes dealt by range into runs, front-coded: common prefixes, then what each adds.
+
+    lcp: bytes shared with the one before in the whole order; within a range, a suffix
+    shares with its predecessor the least of those in between.
+    """
+    by, out = np.argsort(ranges, kind="stable"), []
+    cuts = np.flatnonzero(np.concatenate([[True], ranges[by][1:] != ranges[by][:-1]])) if len(by) else by
+    for a, b in zip(cuts, np.append(cuts[1:], len(by))):
+        own = by[a:b]
+        same = np.zeros(len(own), np.int64)
+        if len(own) > 1:
+            same[1:] = np.minimum.reduceat(lcp[: own[-1] + 1], own[:-1] + 1)
+        column = np.arange(LENGTH)
+        tails = right[own][:, :LENGTH][(column >= same[:, None]) & (column < size[own][:, None])]
+        n = before[own]
+        left = lefts[np.arange(n.sum()) + np.repeat(starts[own] - (np.cumsum(n) - n), n)]
+        columns = (same.astype(np.uint8), size[own].astype(np.uint8), tails, n.astype(np.uint8), left)
+        columns += (ids[own].astype("<i8"), blocks[own].astype("<i4"), rows[own].astype("<i4"), places[own].astype("<i4"))
+        out.append((part, int(ranges[own[0]]), *map(_zip, columns)))
+    return out
+
+
+def _table(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.Table:
+    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)] if rows else [pa.array([], t) for t in kinds], names)
+
+
+def _run_table(rows: list[tuple]) -> pa.Table:
+    return _table(rows, ["part", "range", *_PACKED], [pa.int32(), pa.int64(), *[pa.binary()] * len(_PACKED)])
 
 
 def _spread(strings: np.ndarray, ranges: int) -> np.ndarray:
@@ -265,50 +257,43 @@ def _spread(strings: np.ndarray, ranges: int) -> np.ndarray:
     return (textkit.mix(h) % np.uint64(ranges)).astype(np.int64)
 
 
-def _suffix_runs(bits: int, splitters: list[bytes]):
+def _suffix_runs(layout: "_Layout"):
     """Front-coded runs of the block's suffixes at shared anchors; what the block itself covers.
 
     Rows of runs have a range. Each block has a range below zero for its own covered
     windows, which use the columns rows, places (first) and ids (last).
     """
-    ranges = len(splitters) + 1
-    bounds = np.array(splitters, f"S{GRAM}")
+    width = layout.widths[0]
 
-    def run(table: pa.Table, masks: pa.Table) -> pa.Table:
-        kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 8]
-        names = ["block", "range", "lcp", "size", "tails", "before", "lefts", "ids", "rows", "places"]
+    def run(table: pa.Table, shared: pa.Table) -> pa.Table:
         out: list[tuple] = []
-        if table.num_rows and masks.num_rows:
-            number = table["__block"][0].as_py()
+        if table.num_rows and shared.num_rows:
             block = Block(table)
             p, lo, hi, row, h = block.anchors()
-            code = _digests(h, bits)
-            known = textkit.distinct(code)
-            edges = np.searchsorted(known, np.arange((1 << bits) + 1) << _BITS)
-            flags = np.zeros((2, len(known)), bool)
-            for k, *sets in zip(masks["range"].to_pylist(), masks["shared"].to_pylist(), masks["hot"].to_pylist()):
-                a, b = edges[k], edges[k + 1]
-                for i, raw in enumerate(sets):
-                    flags[i, a:b] = np.unpackbits(np.frombuffer(raw, np.uint8), count=b - a)
-            at = np.searchsorted(known, code)
-            hot, plain = (np.flatnonzero(x) for x in (flags[1][at], flags[0][at] & ~flags[1][at]))
-            del h, code, known, at
-            found = _Suffixes(block, p[plain], lo[plain], hi[plain], row[plain])
-            grams = np.ascontiguousarray(found.right[:, :GRAM]).view(f"S{GRAM}").ravel()
-            out = found.runs(block, number, np.searchsorted(bounds, grams, "right"))
-            covered = [found.covered]
+            code = _digests(h)
+            known = np.asarray(shared["code"])
+            order = np.argsort(known)
+            known, is_hot = known[order], np.asarray(shared["hot"])[order]
+            at = np.minimum(np.searchsorted(known, code), len(known) - 1)
+            found = known[at] == code
+            hot, plain = np.flatnonzero(found & is_hot[at]), np.flatnonzero(found & ~is_hot[at])
+            del h, code, known, at, found
+            suffixes = _Suffixes(block, p[plain], lo[plain], hi[plain], row[plain])
+            out = suffixes.runs(block, layout.by_order(suffixes.right) // width, layout.fanout)
+            covered = [suffixes.covered]
             windows = hi[hot] - lo[hot] + 1
             start = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows - lo[hot], windows)
             owner = np.repeat(row[hot], windows)
-            del found, p, lo, hi, row
-            found = _Suffixes(block, start, start, start, owner)
-            out += found.runs(block, number, ranges + _spread(found.right, ranges))
-            covered.append(found.covered)
+            del suffixes, p, lo, hi, row
+            suffixes = _Suffixes(block, start, start, start, owner)
+            out += suffixes.runs(block, layout.by_string(suffixes.right) // width, layout.fanout)
+            covered.append(suffixes.covered)
             r, first, last = (np.concatenate(x) for x in zip(*covered))
             if len(r):
                 base = block.at[r]
-                out.append((number, -1 - number, b"", b"", b"", b"", b"", (last - base).astype("<i4").tobytes(), r.astype("<i4").tobytes(), (first - base).astype("<i4").tobytes()))
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)] if out else [pa.array([], t) for t in kinds], names)
+                own = {"ids": last - base, "rows": r, "places": first - base}
+                out.append((block.number // layout.fanout, -1 - block.number, *(own[c].astype("<i4").tobytes() if c in own else b"" for c in _PACKED)))
+        return _run_table(out)
 
     return run
 
@@ -369,36 +354,87 @@ def merged(words: list[list[int]], sizes: list[int], lcps: list[int], bounds: li
     return order, shared
 
 
+class _Merged:
+    """The suffixes of several runs in order, with what each shares with the one before."""
+
+    def __init__(self, table: pa.Table):
+        raw = {c: _unzip(table[c]) for c in _PACKED}
+        right, bounds = [], []
+        for lcp, size, tails in zip(raw["lcp"], raw["size"], raw.pop("tails")):
+            at, last, begin = 0, b"", len(right)
+            for k, n in zip(lcp, size):
+                last = last[:k] + tails[at : at + n - k]
+                at += n - k
+                right.append(last)
+            bounds.append((begin, len(right)))
+        padded = np.frombuffer(b"".join(r.ljust(_WIDE, b"\0") for r in right), np.uint8).reshape(-1, _WIDE)
+        sizes = np.array([len(r) for r in right])
+        del right
+        lcps = np.frombuffer(b"".join(raw["lcp"]), np.uint8).tolist()
+        order, shared = merged([w.tolist() for w in padded.view(">u8").astype(np.uint64).T], sizes.tolist(), lcps, bounds)
+        order = np.array(order, np.int64)
+        joined = lambda name, kind: np.frombuffer(b"".join(raw[name]), kind)[order]
+        self.shared, self.right, self.size = np.array(shared, np.int64), padded[order], sizes[order]
+        self.ids, self.blocks, self.rows = joined("ids", "<i8"), joined("blocks", "<i4"), joined("rows", "<i4")
+        self.places, self.before = joined("places", "<i4").astype(np.int64), joined("before", np.uint8).astype(np.int64)
+        lengths = np.frombuffer(b"".join(raw["before"]), np.uint8).astype(np.int64)
+        self.lefts, self.starts = np.frombuffer(b"".join(raw["lefts"]), np.uint8), (np.cumsum(lengths) - lengths)[order]
+
+
+class _Layout:
+    """Where suffixes go: `count` ranges by order, as many by whole string, and the levels of the merge.
+
+    Range r of a level's runs is range r // width of the last level. Ranges of whole strings
+    begin at `base`, where a new one begins in every level.
+    """
+
+    def __init__(self, blocks: int, fanout: int, splitters: list[bytes]):
+        self.bounds = np.array(splitters, f"S{GRAM}")
+        self.deal = max(1, math.ceil(blocks / (len(splitters) + 1)))
+        self.count = (len(splitters) + 1) * self.deal
+        self.levels = max(1, math.ceil(math.log(blocks) / math.log(fanout)))
+        self.fanout = max(2, math.ceil(blocks ** (1 / self.levels)))
+        self.widths = [self.fanout ** (self.levels - 1 - k) for k in range(self.levels)]
+        self.base = math.ceil(self.count / self.widths[0]) * self.widths[0]
+
+    def by_order(self, right: np.ndarray) -> np.ndarray:
+        """By the splitters, and within these by the gram."""
+        grams = np.ascontiguousarray(right[:, :GRAM])
+        coarse = np.searchsorted(self.bounds, grams.view(f"S{GRAM}").ravel(), "right")
+        return coarse * self.deal + _spread(grams, self.deal) if self.deal > 1 else coarse
+
+    def by_string(self, right: np.ndarray) -> np.ndarray:
+        return self.base + _spread(right[:, :LENGTH], self.count)
+
+
+def _merged_level(layout: _Layout, level: int):
+    """One run of several neighbours', cut anew for the next level."""
+    above, width = layout.widths[level - 1], layout.widths[level]
+
+    def run(key, table: pa.Table) -> pa.Table:
+        part, at = (k.as_py() for k in key)
+        part //= layout.fanout
+        if at < 0:  # what blocks cover by themselves
+            return table.set_column(0, "part", pa.array([part] * table.num_rows, pa.int32()))
+        m = _Merged(table)
+        ranges = layout.by_order(m.right) if at * above < layout.base else layout.by_string(m.right)
+        return _run_table(_coded(part, ranges // width, m.right, m.shared, m.size, m.before, m.lefts, m.starts, m.ids, m.blocks, m.rows, m.places))
+
+    return run
+
+
 def _merged_range(table: pa.Table) -> pa.Table:
     """Windows of the range's suffixes that an earlier document has, by block."""
-    if table["range"][0].as_py() < 0:  # what a block covers by itself
-        return table.select(["block", "rows", "places", "ids"]).rename_columns(["block", "rows", "first", "last"])
-    right, bounds = [], []
-    raw = {c: _unzip(table[c]) for c in ("lcp", "size", "tails", "before", "lefts", "ids", "rows", "places")}
-    for lcp, size, tails in zip(raw["lcp"], raw["size"], raw.pop("tails")):
-        at, last, begin = 0, b"", len(right)
-        for k, n in zip(lcp, size):
-            last = last[:k] + tails[at : at + n - k]
-            at += n - k
-            right.append(last)
-        bounds.append((begin, len(right)))
-    padded = np.frombuffer(b"".join(r.ljust(_WIDE, b"\0") for r in right), np.uint8).reshape(-1, _WIDE)
-    sizes = np.array([len(r) for r in right])
-    del right
-    lcps = np.frombuffer(b"".join(raw["lcp"]), np.uint8).tolist()
-    words = padded.view(">u8").astype(np.uint64).T
-    order, shared = merged([w.tolist() for w in words], sizes.tolist(), lcps, bounds)
-    order, shared = np.array(order, np.int64), np.array(shared, np.int64)
-    joined = lambda name, kind: np.frombuffer(b"".join(raw[name]), kind)[order]
-    ids, rows, places, before = joined("ids", "<i8"), joined("rows", "<i4"), joined("places", "<i4").astype(np.int64), joined("before", np.uint8).astype(np.int64)
-    blocks = np.repeat(table["block"].to_numpy(), [b - a for a, b in bounds])[order]
-    sizes = sizes[order]
+    at = table["range"][0].as_py()
+    if at < 0:  # what a block covers by itself
+        block = pa.array([-1 - at] * table.num_rows, pa.int32())
+        return pa.table([block, table["rows"], table["places"], table["ids"]], ["block", "rows", "first", "last"])
+    m = _Merged(table)
+    shared, ids, rows, places, before, blocks, sizes = m.shared, m.ids, m.rows, m.places, m.before, m.blocks, m.size
     # the bytes before each anchor, nearest first
-    lengths = np.frombuffer(b"".join(raw["before"]), np.uint8).astype(np.int64)
-    lefts = np.frombuffer(b"".join(raw["lefts"]), np.uint8)
-    starts = (np.cumsum(lengths) - lengths)[order]
+    lefts, starts = m.lefts, m.starts
     found = []
-    hashes = np.zeros(len(order), np.uint64)
+    hashes = np.zeros(len(ids), np.uint64)
     for j in range(int(before.max(initial=0)) + 1):
         if j:
             has = before >= j
@@ -464,11 +500,11 @@ def _digest_rows(table: pa.Table, covers: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)] if out else [pa.array([], t) for t in kinds], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def _text_rows(names: list[str]):
+def _text_rows(names: list[str], of_block: str):
     def run(table: pa.Table, covers: pa.Table) -> pa.Table:
         if not table.num_rows:
             return table.select(names)
-        block = Block(table)
+        block = Block(table, of_block)
         gone = _removed(block, covers)
         counts = np.concatenate([[0], np.cumsum(gone)])
         kept, left = block.data[~gone].tobytes(), block.at - counts[block.at]
@@ -482,45 +518,47 @@ def _text_rows(names: list[str]):
     return run
 
 
-def _covered(docs: DataFrame, hot: int) -> tuple[DataFrame, DataFrame]:
-    """docs as a table bucketed by block, and the covered windows of each block."""
-    spark = docs.sparkSession
+def _covered(docs: DataFrame, hot: int, fanout: int, size: int) -> tuple[DataFrame, str, DataFrame]:
+    """docs as a table bucketed by block, the name of its column of blocks, and the covered windows of each block."""
+    spark, name = docs.sparkSession, fresh("block", docs)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    count, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    blocks = max(1, min(100_000, max(parts, math.ceil(size / BLOCK))))
-    bits = max(1, min(20, math.ceil(math.log2(blocks))))
-    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")
-    name = f"suffix_blocks_{uuid.uuid4().hex}"
-    (
-        docs.withColumn("__block", block).repartition(blocks, "__block").write.bucketBy(blocks, "__block")
-        .option("path", shared_folder(spark)).option("compression", "zstd").saveAsTable(name)
-    )
+    count, total = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    blocks = max(1, parts, math.ceil(total / size))
+    # the partition spreads rows that repeat very often
+    block = F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(blocks)).cast("int")
+    table = bucketed(docs.withColumn(name, block), name, min(blocks, MOST_BUCKETS))
     release(spark)
-    table = spark.table(name)
-    narrow = table.select("__block", F.col("doc_id").cast("long").alias("doc_id"), "text")
-    grams = narrow.groupBy("__block").applyInArrow(_gram_runs(bits), "block int, range int, codes binary, many binary")
-    masks = grams.groupBy("range").applyInArrow(_shared_grams(hot), "block int, range int, shared binary, hot binary")
-    splitters = _splitters(narrow, count, blocks)
-    runs = narrow.groupBy("__block").cogroup(masks.groupBy("block")).applyInArrow(_suffix_runs(bits, splitters), _RUN)
-    return table, runs.groupBy("range").applyInArrow(_merged_range, _COVER)
+    narrow = _narrow(table, name)
+    grams = narrow.groupBy("block").applyInArrow(_grams, "code long, block int, many int")
+    shared = grams.withColumn("total", F.sum("many").over(Window.partitionBy("code"))).filter("total > 1").select("block", "code", (F.col("total") > hot).alias("hot"))
+    layout = _Layout(blocks, fanout, _splitters(narrow, count, min(blocks, SPLITTERS)))
+    runs = narrow.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_suffix_runs(layout), _RUN)
+    for level in range(1, layout.levels):
+        runs = runs.groupBy("part", "range").applyInArrow(_merged_level(layout, level), _RUN)
+    return table, name, runs.groupBy("range").applyInArrow(_merged_range, _COVER)
+
+
+def _narrow(table: DataFrame, name: str) -> DataFrame:
+    return table.select(F.col(name).alias("block"), F.col("doc_id").cast("long").alias("doc_id"), "text")
 
 
-def removed(docs: DataFrame, hot: int = HOT) -> DataFrame:
+def removed(docs: DataFrame, hot: int = HOT, fanout: int = FANOUT, size: int = BLOCK) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of docs.
 
     A null text counts as empty. Rows with one id are parts of one document: they never
-    cover each other. A null id counts as larger than any other.
+    cover each other. A null id counts as larger than any other. Very long texts are read
+    whole, other columns not at all. The result does not depend on `hot`, `fanout` (runs
+    merged at once) and `size` (bytes of a block).
     """
-    table, covers = _covered(docs.select("doc_id", "text"), hot)
-    narrow = table.select("__block", F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return narrow.groupBy("__block").cogroup(covers.groupBy("block")).applyInArrow(_digest_rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    table, name, covers = _covered(docs.select("doc_id", "text"), hot, fanout, size)
+    return _narrow(table, name).groupBy("block").cogroup(covers.groupBy("block")).applyInArrow(_digest_rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def deduplicated(docs: DataFrame, hot: int = HOT) -> DataFrame:
+def deduplicated(docs: DataFrame, hot: int = HOT, fanout: int = FANOUT, size: int = BLOCK) -> DataFrame:
     """The rows of docs with covered bytes removed from `text`; other columns unchanged.
 
-    A character that loses some of its bytes goes; null texts stay null. Columns of the
-    input named `__block` are not supported.
+    A character that loses some of its bytes goes; null texts stay null. Ids and options as
+    for `removed`; input columns may have any name.
     """
-    table, covers = _covered(docs, hot)
-    return table.groupBy("__block").cogroup(covers.groupBy("block")).applyInArrow(_text_rows(docs.columns), docs.schema)
+    table, name, covers = _covered(docs, hot, fanout, size)
+    return table.groupBy(name).cogroup(covers.groupBy("block")).applyInArrow(_text_rows(docs.columns, name), docs.schema)

@@ -11,12 +11,14 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from . import textkit
-from .common import arrow_map, shared_folder
+from .common import Bitmap, arrow_map, joined, shared_folder, stored
 
 CACHE = StructType([StructField("digest", StringType()), StructField("version", StringType()), StructField("n_tokens", LongType())])
 
@@ -72,8 +74,9 @@ def count_tokens(texts: list[str], name: str) -> list[int]:
     """Tokens of each text as the tokenizer's library gives them, nothing added.
 
     The rank files of the same vocabulary encode several times as fast. They are used
-    for characters up to U+024F, on which every Unicode version agrees; other texts go
-    to the tokenizer's own library.
+    for characters up to U+024F, on which every Unicode version agrees; other texts, and
+    those that the faster code refuses (a million white-space characters on end), go to
+    the tokenizer's own library.
     """
     tokenizer = _tokenizer(name)
     if not name.endswith(".json"):
@@ -83,9 +86,12 @@ def count_tokens(texts: list[str], name: str) -> list[int]:
     rest = []
     for i, text in enumerate(texts):
         if ranks is not None and (text.isascii() or max(text) < "ɐ"):
-            out[i] = len(ranks.encode(text, allowed_special="all"))
-        else:
-            rest.append(i)
+            try:
+                out[i] = len(ranks.encode(text, allowed_special="all"))
+                continue
+            except ValueError:  # its pattern's stack is used up
+                pass
+        rest.append(i)
     for i, x in zip(rest, tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False)):
         out[i] = len(x.ids)
     return out
@@ -93,40 +99,72 @@ def count_tokens(texts: list[str], name: str) -> list[int]:
 
 def read_cache(spark: SparkSession, path: str) -> DataFrame:
     """The cache at `path`; empty where nothing has been stored yet."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+    try:
+        return spark.read.schema(CACHE).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], CACHE)
-    return spark.read.schema(CACHE).parquet(path)
+
+
+def _encoder(tokenizer: str):
+    """counts(texts) of an Arrow column, in pieces of bounded bytes."""
+
+    def counts(column: pa.Array) -> np.ndarray:
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        at, out = textkit.packed(column)[1], []
+        for i, j in textkit.pieces(at):
+            out += count_tokens(column.slice(i, j - i).to_pylist(), tokenizer)
+        return np.array(out, np.int64)
+
+    return counts
 
 
 def counted(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", cache: str | None = None, limit: int = 512) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every row of docs.
 
-    A null text counts as empty (0 tokens). Repeated rows and ids each give a row. The
-    cache's counts are trusted for their tokenizer version; `cache` is a folder that all
-    executors reach, by default a new one below spark.checkpoint.dir. Texts are read as
-    they are: this tokenizer's own normalisation is part of its encoding, so contents are
-    normalised only by null becoming empty.
+    A null text counts as empty (0 tokens). Repeated rows and ids each give a row; other
+    columns are not read. Very long texts are encoded whole. The cache's counts are trusted
+    for their tokenizer version; `cache` is a folder that all executors reach, by default
+    a new one below spark.checkpoint.dir. Texts are read as they are: this tokenizer's own
+    normalisation is part of its encoding, so contents are normalised only by null becoming
+    empty.
+
+    Only digests are shuffled to find the misses. Two bitmaps of bounded size then tell each
+    row whether its content may be a miss, and whether another row may have it too: a
+    content that certainly no other row has is encoded where it is read, the others meet
+    by digest first. A bitmap that is full sends all of them that way.
     """
     spark = docs.sparkSession
     path, tag = cache or f"{shared_folder(spark)}/token_counts", version(tokenizer)
     text = F.coalesce(F.col("text"), F.lit(""))
-    contents = docs.select(F.sha2(text.cast("binary"), 256).alias("digest"), text.alias("text"))
-    stored = read_cache(spark, path).filter(F.col("version") == tag)
-    misses = contents.join(stored.select("digest"), "digest", "left_anti")
-    distinct = misses.groupBy("digest").agg(F.first("text").alias("text"))
+    digest = F.sha2(text.cast("binary"), 256).alias("digest")
+    rows = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), digest))
+    cached = read_cache(spark, path).filter(F.col("version") == tag).select("digest")
+    misses = rows.groupBy("digest").agg(F.count("*").alias("n")).join(cached, "digest", "left_anti")
+    misses = stored(misses.withColumn("key", F.xxhash64("digest")))
+    context, counts = spark.sparkContext, _encoder(tokenizer)
+    missing = context.broadcast(None if cached.isEmpty() else Bitmap(misses, "key"))  # 16 MB at most
+    repeated = context.broadcast(Bitmap(misses.filter("n > 1"), "key"))
+
+    def encode_alone(batch):
+        key = np.asarray(batch.column("key")).view(np.uint64)
+        wanted = missing.value.may_have(key) if missing.value else np.ones(len(key), bool)
+        batch, later = batch.filter(pa.array(wanted)), repeated.value.may_have(key[wanted])
+        n = np.zeros(batch.num_rows, np.int64)
+        n[~later] = counts(batch.column("text").filter(pa.array(~later)))
+        texts = pc.if_else(pa.array(later), batch.column("text"), pa.scalar(None, batch.column("text").type))
+        return pa.record_batch([batch.column("digest"), pa.array(n, mask=later), texts], ["digest", "n_tokens", "text"])
 
     def encode(batch):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        counts = []
-        at = textkit.packed(batch.column("text"))[1]
-        for i, j in textkit.pieces(at):
-            counts += count_tokens(batch.column("text").slice(i, j - i).to_pylist(), tokenizer)
-        return pa.record_batch([batch.column("digest"), pa.array([tag] * batch.num_rows), pa.array(np.array(counts, np.int64))], ["digest", "version", "n_tokens"])
-
-    arrow_map(distinct, encode, "digest string, version string, n_tokens long").write.mode("append").parquet(path)
-    counts = read_cache(spark, path).filter(F.col("version") == tag).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("digest"))
-    return rows.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+        return pa.record_batch([batch.column("digest"), pa.array(counts(batch.column("text")))], ["digest", "n_tokens"])
+
+    contents = docs.select(digest, text.alias("text")).withColumn("key", F.xxhash64("digest"))
+    found = stored(arrow_map(contents, encode_alone, "digest string, n_tokens long, text string"))
+    distinct = found.filter("n_tokens IS NULL").groupBy("digest").agg(F.first("text").alias("text"))
+    new = found.filter("n_tokens IS NOT NULL").select("digest", "n_tokens").unionByName(arrow_map(distinct, encode, "digest string, n_tokens long"))
+    new.select("digest", F.lit(tag).alias("version"), "n_tokens").write.mode("append").parquet(path)
+    counts_ = read_cache(spark, path).filter(F.col("version") == tag).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    return joined(rows, counts_, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

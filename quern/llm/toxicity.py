@@ -8,22 +8,37 @@ from pyspark.sql import DataFrame
 from . import scoring, textkit
 
 THRESHOLD = 0.5
-#: Lengths of the n-grams, in bytes of the text with punctuation made spaces.
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Lengths of the n-grams, in characters of the text with punctuation made spaces.
 ORDERS = (3, 5, 7)
 
 
+def characters(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The characters of packed UTF-8 texts, each as the number that its one to four bytes form, and each row's first."""
+    lead = (data & 0xC0) != 0x80
+    lead[at[:-1][at[:-1] < len(data)]] = True
+    first = np.flatnonzero(lead)
+    size = np.diff(np.append(first, len(data)))
+    found = data[first].astype(np.uint64)
+    for k in range(1, 4):
+        longer = np.flatnonzero(size > k)
+        if not len(longer):
+            break
+        found[longer] |= data[first[longer] + k].astype(np.uint64) << np.uint64(8 * k)
+    return found, np.searchsorted(first, at)
+
+
 def char_keys(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Distinct n-grams of lower-cased text, hashed; none crosses a row."""
-    n, shift = len(data), np.uint64(64 - scoring.BITS)
-    plain = textkit.LOWER[data]
-    plain[textkit.CLASSES[plain] != textkit.WORD] = 32
-    wide = plain.astype(np.uint64)
-    row = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    """Distinct n-grams of characters of lower-cased texts, hashed; none crosses a row."""
+    shift = np.uint64(64 - scoring.BITS)
+    plain = np.where(textkit.CLASSES[data] == textkit.WORD, data, np.uint8(32))
+    wide, at = characters(plain, at)
+    n, row = len(wide), np.repeat(np.arange(len(at) - 1), np.diff(at))
     gram, found = wide, [np.zeros(0, np.int64)]
     for k in range(1, max(ORDERS)):
         if k >= n:
             break
-        gram = gram[:-1] | (wide[k:] << np.uint64(8 * k))
+        gram = gram[:-1] * _STEP + wide[k:]
         if k + 1 in ORDERS:
             inside = row[k:] == row[: n - k]
             h = textkit.mix(gram[inside] + np.uint64(k)) >> shift

@@ -12,7 +12,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import joined, stored
 
 #: (verdict, host, path): fixed values; the longest rule that fits wins.
 RULES = (
@@ -22,8 +22,12 @@ RULES = (
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 )
-#: Public suffixes of two labels (fixed values); any other suffix is the last label.
-LONG_SUFFIXES = ("ac.uk", "co.jp", "co.uk", "com.au", "com.br", "org.uk")
+#: Second-level labels under which countries register domains (fixed values). A public
+#: suffix is one of them before a country's two letters, any other is the last label.
+SECOND_LEVEL = ("ac", "co", "com", "edu", "go", "gob", "gov", "gouv", "ltd", "mil", "ne", "net", "nom", "or", "org", "plc", "sch")
+LONG_SUFFIX = rf"(?:{'|'.join(SECOND_LEVEL)})\.[a-z][a-z]"
+#: Hosts that are addresses have no domain or suffix but themselves.
+ADDRESS = r"^[0-9.]+$"
 #: A host is blocked when its share of bad pages exceeds MOST with the confidence of Z.
 MOST, Z = 0.3, 1.645
 #: Prior strengths (in pages) stay within these bounds.
@@ -44,10 +48,10 @@ def url_parts(url: Column) -> tuple[Column, Column]:
 def domain_and_suffix(host: Column) -> tuple[Column, Column]:
     """Registered domain and public suffix of a host (a port is ignored)."""
     name = F.regexp_replace(host, ":[0-9]*$", "")
-    long = "|".join(s.replace(".", "\\.") for s in LONG_SUFFIXES)
-    suffix = F.regexp_extract(name, f"(?:^|\\.)({long}|[^.]*)$", 1)
-    domain = F.regexp_extract(name, f"(?:^|\\.)([^.]*\\.(?:{long})|[^.]*\\.[^.]*|[^.]*)$", 1)
-    return domain, suffix
+    suffix = F.regexp_extract(name, rf"(?:^|\.)({LONG_SUFFIX}|[^.]*)$", 1)
+    domain = F.regexp_extract(name, rf"(?:^|\.)([^.]*\.{LONG_SUFFIX}|[^.]*\.[^.]*|[^.]*)$", 1)
+    address = name.rlike(ADDRESS)
+    return F.when(address, name).otherwise(domain), F.when(address, name).otherwise(suffix)
 
 
 def rule_for(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
@@ -98,7 +102,7 @@ def reputation(outcomes: DataFrame, most: float = MOST, z: float = Z) -> DataFra
 
 
 def looks_bad(html: Column) -> Column:
-    """The outcome of a page: 1 if over 3 % of its text are symbols of noise, else 0.
+    """A stand-in for labelled outcomes: 1 if over 3 % of a page's text are symbols of noise, else 0.
 
     Tags do not count as text; null for a null page.
     """
@@ -107,21 +111,29 @@ def looks_bad(html: Column) -> Column:
     return (symbols * 100 > F.length(text) * 3).cast("int")
 
 
-def judged(pages: DataFrame, outcome: Column | None = None, rules=RULES, **options) -> DataFrame:
+def judged(pages: DataFrame, outcomes: DataFrame | None = None, rules=RULES, **options) -> DataFrame:
     """page_id, host, path, rule, verdict, n, n_bad of every row of pages.
 
-    `outcome` is the column of labelled outcomes (1 bad, 0 good, null unlabelled), by
-    default looks_bad(html). A page that no rule fits gets its host's verdict; hosts
-    without any labelled page are allowed. Null and malformed urls have the empty host.
+    outcomes: labelled outcomes (page_id, bad: 1 or 0; null is no label). A page with
+    several has the one most of its rows carry, bad where they are even. Without this
+    table looks_bad(html) stands in for it. A page that no rule fits gets its host's
+    verdict; hosts without any labelled page are allowed. Null and malformed urls have
+    the empty host, which is a host like others. Repeated and null page ids give a row
+    each, urls are read whole, and columns other than page_id, url and html are not read.
     """
     host, path = url_parts(F.col("url"))
-    outcome = looks_bad(F.col("html")) if outcome is None else outcome
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"), outcome.alias("bad"))
+    columns = [F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path")]
+    if outcomes is None:
+        rows = pages.select(*columns, looks_bad(F.col("html")).alias("bad"))
+    else:
+        known = outcomes.filter("bad IS NOT NULL").groupBy(F.col("page_id").cast("long").alias("page_id")).agg((F.avg("bad") >= 0.5).cast("int").alias("bad"))
+        rows = pages.select(*columns).join(known, "page_id", "left")
     rows = stored(rows)
-    hosts = reputation(rows.select("host", "bad"), **options).select("host", "n", "n_bad", "blocked")
+    hosts = stored(reputation(rows.select("host", "bad"), **options).select("host", "n", "n_bad", "blocked"))
+    every = rows.select("host").distinct().join(hosts, "host", "left")
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
     learned = F.when(F.col("blocked"), "block").otherwise("allow")
     none = F.lit(0).cast("long")
-    return rows.join(hosts, "host", "left").select(
+    return joined(rows, every, "host").select(
         "page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, learned).alias("verdict"), F.coalesce("n", none).alias("n"), F.coalesce("n_bad", none).alias("n_bad")
     )
