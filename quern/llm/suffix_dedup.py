@@ -411,7 +411,7 @@ def _merged_level(layout: _Layout, level: int):
     """One run of several neighbours', cut anew for the next level."""
     above, width = layout.widths[level - 1], layout.widths[level]
 
-    def run(key, table: pa.Table) -> pa.Table:
+    def run(key, table):
         part, at = (k.as_py() for k in key)
         part //= layout.fanout
         if at < 0:  # what blocks cover by themselves
@@ -461,8 +461,8 @@ def _merged_range(table: pa.Table) -> pa.Table:
         b, r, s = (np.concatenate(x).astype(np.int64) for x in zip(*found))
         by = np.lexsort((s, r, b))
         b, r, s = b[by], r[by], s[by]
-        cut = np.flatnonzero(np.concatenate([[True], (b[1:] != b[:-1]) | (r[1:] != r[:-1]) | (s[1:] > s[:-1] + 1)])) if len(b) else np.zeros(0, np.int64)
-        last = np.append(cut[1:], len(b)) - 1
+        cut = np.flatnonzero(np.concatenate([[True], (b[1:] != b[:-1]) | (r[1:] != r[:-1]) | (s[1:] > s[:-1] + 1)]))[: len(b)]
+        last = np.append(cut[1:], len(b))[: len(cut)] - 1
         b, r, s, e = b[cut], r[cut], s[cut], s[last]
         for number in np.unique(b):
             own = b == number
