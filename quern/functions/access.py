@@ -21,3 +21,13 @@ def share(shared: Column, user) -> Column:
 
 def unshare(shared: Column, user) -> Column:
     return F.array_remove(shared, F.lit(user).cast("long"))
+
+
+def made_public(owner: Column, visibility: Column, user) -> Column:
+    """Visibility after the user makes a row public: only the owner can."""
+    return F.when(owned_by(owner, user), "public").otherwise(visibility)
+
+
+def made_private(owner: Column, visibility: Column, user) -> Column:
+    """Visibility after the user makes a row private; whom it is shared with stays."""
+    return F.when(owned_by(owner, user), "private").otherwise(visibility)

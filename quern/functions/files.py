@@ -51,3 +51,17 @@ def slices(content: Column, size: int = 65_536) -> Column:
     count = F.greatest(F.ceil(F.octet_length(content) / size), F.lit(0)).cast("int")
     at = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
     return F.transform(at, lambda i: F.substring(content, i * size + 1, F.lit(size)))
+
+
+def with_attachment(items: Column, item: Column) -> Column:
+    """Attachments (structs with uuid) with `item` added; one with its uuid is replaced."""
+    return F.array_append(without_attachment(items, item["uuid"]), item)
+
+
+def without_attachment(items: Column, uuid: Column) -> Column:
+    return F.filter(items, lambda a: a["uuid"] != uuid)
+
+
+def attachment(items: Column, uuid: Column) -> Column:
+    """The first attachment with a uuid, null without one."""
+    return F.try_element_at(F.filter(items, lambda a: a["uuid"] == uuid), F.lit(1))

@@ -56,18 +56,19 @@ def apply(document, operations: list[dict]):
     return document
 
 
+def _parsed(text):
+    try:
+        return json.loads(text) if text else {}
+    except ValueError:
+        return {}
+
+
 def json_diff(old: Column, new: Column) -> Column:
     """The difference of two JSON texts as JSON; null or malformed texts count as {}."""
 
-    def parsed(x):
-        try:
-            return json.loads(x) if x else {}
-        except ValueError:
-            return {}
-
     @F.pandas_udf("string")
     def run(old: pd.Series, new: pd.Series) -> pd.Series:
-        return pd.Series([json.dumps(diff(parsed(a), parsed(b))) for a, b in zip(old, new)])
+        return pd.Series([json.dumps(diff(_parsed(a), _parsed(b))) for a, b in zip(old, new)])
 
     return run(old, new)
 
@@ -80,3 +81,21 @@ def changed_fields(old: Column, new: Column) -> Column:
     both = F.map_zip_with(a, b, lambda k, x, y: F.struct(x.alias("x"), y.alias("y")))
     changed = F.map_filter(both, lambda k, v: ~v["x"].eqNullSafe(v["y"]) | ~(F.map_contains_key(a, k) & F.map_contains_key(b, k)))
     return F.array_sort(F.map_keys(changed))
+
+
+def equal(a: Column, b: Column) -> Column:
+    """Whether two JSON texts state the same: objects in any order of keys, lists in theirs; null is {}."""
+
+    @F.pandas_udf("boolean")
+    def same(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([_same(_parsed(i), _parsed(j)) for i, j in zip(x, y)])
+
+    return same(a, b)
+
+
+def _same(a, b) -> bool:
+    if isinstance(a, dict) and isinstance(b, dict):
+        return a.keys() == b.keys() and all(_same(a[k], b[k]) for k in a)
+    if isinstance(a, list) and isinstance(b, list):
+        return len(a) == len(b) and all(map(_same, a, b))
+    return isinstance(a, bool) == isinstance(b, bool) and a == b

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Where a sentence ends: behind . ! or ?, but not behind an initial or a number's dot.
+#: Fixed value. Where a sentence ends: behind . ! or ?, but not behind an initial or a number's dot.
 _BREAK = r"(?<=[.!?])(?<![A-Z]\.)(?<!\d\.)\s+"
 
 
@@ -68,3 +68,8 @@ def embedding_text(kind: Column, output: Column) -> Column:
     """The text that stands for an invocation: its transcript or its response, else ''."""
     heard = F.coalesce(F.get_json_object(output, "$.transcription"), F.get_json_object(output, "$.transcript"))
     return F.coalesce(F.when(kind == "stt", heard).when(kind == "llm", F.get_json_object(output, "$.response")), F.lit(""))
+
+
+def media_text(title: Column, description: Column, url: Column) -> Column:
+    """The text that stands for a media item: its title, description and url, line by line, trimmed."""
+    return F.regexp_replace(F.concat_ws("\n", F.coalesce(title, F.lit("")), F.coalesce(description, F.lit("")), F.coalesce(url, F.lit(""))), r"^\s+|\s+$", "")

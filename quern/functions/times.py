@@ -54,3 +54,29 @@ def stale(checked: Column, now: Column, hours: float) -> Column:
 
 def backoff_seconds(attempt: Column, initial: float = 1.0) -> Column:
     return initial * F.pow(F.lit(2.0), attempt - 1)
+
+
+#: Retry presets (fixed values): attempts, seconds before the first retry.
+RETRIES = {"quick": (3, 1.0), "standard": (3, 2.0), "slow": (5, 5.0), "critical": (10, 1.0)}
+
+
+def jittered(delay: Column, *key: Column) -> Column:
+    """A delay times a factor of 0.5 to 1 that depends on `key`, so that it is the same when run again."""
+    return delay * (0.5 + F.pmod(F.xxhash64(*key), F.lit(1_000_000)) / 2_000_000)
+
+
+def retry_schedule(name: str) -> Column:
+    """The seconds before each retry of a preset, as an array."""
+    attempts, initial = RETRIES[name]
+    return F.transform(F.sequence(F.lit(1), F.lit(attempts - 1)), lambda n: backoff_seconds(n, initial))
+
+
+def to_iso(at: Column) -> Column:
+    """ISO 8601 with milliseconds, or microseconds where there are any."""
+    whole = F.pmod(F.date_format(at, "SSSSSS").cast("int"), F.lit(1000)) == 0
+    return F.when(whole, F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSS")).otherwise(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+
+
+def from_iso(text: Column) -> Column:
+    """The time without a zone that an ISO 8601 text states; null where it states none."""
+    return F.regexp_replace(text, "Z$", "").try_cast("timestamp_ntz")

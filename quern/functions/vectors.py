@@ -52,3 +52,11 @@ def zeros(dimensions: int) -> Column:
 def similarity_label(similarity: Column) -> Column:
     """A percentage with one decimal, of a similarity limited to 0..1."""
     return F.format_string("%.1f%%", F.least(F.greatest(similarity, F.lit(0.0)), F.lit(1.0)) * 100)
+
+
+def similarity(distance: Column, strict: bool = True) -> Column:
+    """1 - distance; strict: an error outside 0..1, else limited to it."""
+    s = 1 - distance
+    if not strict:
+        return F.least(F.greatest(s, F.lit(0.0)), F.lit(1.0))
+    return F.when((s >= 0) & (s <= 1), s).otherwise(F.raise_error(F.concat(F.lit("a similarity is in 0..1, not "), s.cast("string"))).cast("double"))

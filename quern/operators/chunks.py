@@ -16,7 +16,11 @@ from ..functions.embedder import embed
 
 @dataclass(frozen=True)
 class ChunkConfig:
-    """Sizes in tokens; a boundary lies where neighbours' similarity falls below `similarity`."""
+    """Sizes in tokens; a boundary lies where neighbours' similarity falls below `similarity`.
+
+    segments: what is compared and packed. `sentences`, `windows` (of `window` tokens that
+    share `overlap`), or `auto`: windows for texts that hardly have punctuation.
+    """
 
     name: str
     window: int
@@ -24,10 +28,13 @@ class ChunkConfig:
     least: int
     most: int
     similarity: float = 0.5
+    segments: str = "auto"
 
     def __post_init__(self):
         if not (0 <= self.overlap < self.window and 0 < self.least <= self.most and 0 <= self.similarity <= 1):
             raise ValueError(f"chunk sizes do not fit together: {self}")
+        if self.segments not in ("auto", "sentences", "windows"):
+            raise ValueError(f"segments are auto, sentences or windows, not {self.segments}")
 
 
 PARENT = ChunkConfig("parent", 200, 50, 128, 400)
@@ -73,7 +80,10 @@ def packed(segments: list[str], config: ChunkConfig, provider: Callable = embed)
 
 def chunked(rows: DataFrame, config: ChunkConfig, provider: Callable = embed) -> DataFrame:
     """id, ordinal, start_token, end_token, text of the chunks of each row (id, text)."""
-    parted = rows.select("id", texts.sentences(F.coalesce("text", F.lit(""))).alias("segments"))
+    text = F.coalesce("text", F.lit(""))
+    windows, sentences = texts.sliding_windows(text, config.window, config.overlap), texts.sentences(text)
+    segments = {"windows": windows, "sentences": sentences, "auto": F.when(texts.unstructured(text), windows).otherwise(sentences)}[config.segments]
+    parted = rows.select("id", segments.alias("segments"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -97,3 +107,17 @@ def two_levels(rows: DataFrame, provider: Callable = embed) -> DataFrame:
 def reindexed(chunks: DataFrame, rows: DataFrame, provider: Callable = embed) -> DataFrame:
     """`chunks` with those of the rows' ids replaced."""
     return chunks.join(rows.select("id"), "id", "left_anti").unionByName(two_levels(rows, provider))
+
+
+def pending(chunks: DataFrame, entity: str = "id") -> DataFrame:
+    """Chunks of each entity that have no embedding yet."""
+    return chunks.filter("embedding IS NULL").select(entity, "chunk_id")
+
+
+def faults(chunks: DataFrame, rows: DataFrame) -> DataFrame:
+    """id, fault of what is wrong with an index of `rows`: missing, orphan, or a gap in the ordinals."""
+    wanted = rows.filter(F.size(texts.tokens(F.coalesce("text", F.lit("")))) > 0).select("id").distinct()
+    have = chunks.filter("config = 'parent'").groupBy("id").agg(F.count("*").alias("n"), F.max("ordinal").alias("last"), F.count_distinct("ordinal").alias("kinds"))
+    both = wanted.withColumn("wanted", F.lit(True)).join(have, "id", "full_outer")
+    fault = F.when(F.col("n").isNull(), "missing").when(F.col("wanted").isNull(), "orphan").when((F.col("last") + 1 != F.col("n")) | (F.col("kinds") != F.col("n")), "gap")
+    return both.select("id", fault.alias("fault")).filter("fault IS NOT NULL")

@@ -104,3 +104,59 @@ def task_state(completed: Column, event: Column) -> Column:
 def task_priority(priority: Column, asked: Column) -> Column:
     """The asked priority, if it is one."""
     return F.when(asked.isin("low", "medium", "high"), asked).otherwise(priority)
+
+
+def unsynced_by_id(rows: DataFrame) -> DataFrame:
+    """Rows that no remote has confirmed yet: they carry no id of a remote."""
+    return rows.filter(F.col("sync_id").isNull())
+
+
+def edge_of(edges: DataFrame, a: str, b: str, kind: str) -> DataFrame:
+    """The first edge of a type from one entity to another, by id."""
+    return by(edges, source_uuid=a, target_uuid=b, edge_type=kind).orderBy(*edges.columns).limit(1)
+
+
+def turns(rows: DataFrame, kind: str, component: str | None = None, most: int = 10) -> DataFrame:
+    """Turns: successful, failed, failed_in (a component), recent (the `most` latest)."""
+    if kind == "recent":
+        return rows.orderBy(F.col("seq").desc(), F.col("uuid").desc()).limit(most)
+    good = F.col("result") == "success"
+    return rows.filter({"successful": good, "failed": ~good, "failed_in": ~good & (F.col("failure_component") == component)}[kind])
+
+
+def subscription_state(active: Column, downloaded: Column, hours: Column, event: Column, count: Column) -> Column:
+    """(active, downloaded, hours_since_check) after poll, download, activate or deactivate."""
+    return F.struct(
+        F.when(event == "activate", F.lit(True)).when(event == "deactivate", F.lit(False)).otherwise(active).alias("active"),
+        F.when(event == "download", downloaded + count).otherwise(downloaded).alias("downloaded"),
+        F.when(event == "poll", F.lit(0).cast("long")).otherwise(hours).alias("hours_since_check"),
+    )
+
+
+def channel_state(subscribed: Column, days: Column, hours: Column, event: Column) -> Column:
+    """(subscribed, days_since_added, hours_since_check) after subscribe, unsubscribe or check.
+
+    A channel that is subscribed already keeps its date.
+    """
+    new = (event == "subscribe") & ~subscribed
+    return F.struct(
+        F.when(event == "subscribe", F.lit(True)).when(event == "unsubscribe", F.lit(False)).otherwise(subscribed).alias("subscribed"),
+        F.when(new, F.lit(0).cast("long")).otherwise(days).alias("days_since_added"),
+        F.when(event == "check", F.lit(0).cast("long")).otherwise(hours).alias("hours_since_check"),
+    )
+
+
+def media_state(status: Column, blob: Column, size: Column, event: Column, new_blob: Column, new_size: Column) -> Column:
+    """(status, blob_id, size_bytes, error) after start, complete or fail; other events change nothing."""
+    done = event == "complete"
+    return F.struct(
+        F.when(event == "start", "downloading").when(done, "completed").when(event == "fail", "failed").otherwise(status).alias("status"),
+        F.when(done, new_blob).otherwise(blob).alias("blob_id"),
+        F.when(done, new_size).otherwise(size).alias("size_bytes"),
+        F.when(event == "fail", "failed").alias("error"),
+    )
+
+
+def invoked(tool: Column, status: Column) -> Column:
+    """(was_invoked, succeeded) of an entity that a tool may have made."""
+    return F.struct(tool.isNotNull().alias("was_invoked"), F.coalesce(status == "success", F.lit(False)).alias("succeeded"))

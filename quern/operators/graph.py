@@ -12,8 +12,11 @@ KEY = ("source_uuid", "target_uuid", "edge_type")
 
 def first_of_each(edges: DataFrame, order: str) -> DataFrame:
     """One edge for each composite key, the lowest in `order`."""
-    lowest = F.min_by(F.struct(*edges.columns), order).alias("row")
-    return edges.groupBy(*KEY).agg(lowest).select("row.*")
+    rest = [c for c in edges.columns if c not in (*KEY, order)]
+    if not rest:  # a plain minimum, which is aggregated in place by hash
+        return edges.groupBy(*KEY).agg(F.min(order).alias(order)).select(edges.columns)
+    lowest = F.min(F.struct(order, *rest)).alias("row")
+    return edges.groupBy(*KEY).agg(lowest).select(*KEY, "row.*").select(edges.columns)
 
 
 def duplicates(edges: DataFrame, order: str) -> DataFrame:
@@ -32,7 +35,7 @@ def _steps(edges: DataFrame, direction: str) -> DataFrame:
     found = {"outgoing": out, "incoming": back, "both": out.unionByName(back)}
     if direction not in found:
         raise ValueError("direction is outgoing, incoming or both")
-    return found[direction].distinct()
+    return found[direction]  # repeated edges do no harm: what is reached is made distinct
 
 
 def _settled(rows: DataFrame) -> DataFrame:
@@ -77,3 +80,13 @@ def without_nodes(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     ends = nodes.select("uuid").distinct()
     left = edges.join(ends.withColumnRenamed("uuid", "source_uuid"), "source_uuid", "left_anti")
     return left.join(ends.withColumnRenamed("uuid", "target_uuid"), "target_uuid", "left_anti").select(edges.columns)
+
+
+def without_edges(edges: DataFrame, keys: DataFrame) -> DataFrame:
+    """Edges left after those with the composite keys are deleted; unknown keys are ignored."""
+    return edges.join(keys.select(*KEY).distinct(), list(KEY), "left_anti").select(edges.columns)
+
+
+def edges_between(rows: DataFrame, source_type: str, target_type: str, edge_type: str) -> DataFrame:
+    """Edges of one type from rows (source_uuid, target_uuid) of two kinds of entities."""
+    return rows.select(F.lit(source_type).alias("source_type"), "source_uuid", F.lit(target_type).alias("target_type"), "target_uuid", F.lit(edge_type).alias("edge_type"))

@@ -69,3 +69,35 @@ def success_rates(invocations: DataFrame, threshold: float) -> DataFrame:
     """component_type, rate, chosen: whether the share of successes reaches the threshold."""
     rate = F.avg(F.col("success").cast("double"))
     return invocations.groupBy("component_type").agg(F.round(rate, 6).alias("rate"), (rate >= threshold).alias("chosen"))
+
+
+def loop_counters(rows: DataFrame, verdict: str, *by: str) -> DataFrame:
+    """successful_loops, poor_loops, tool_errors by the verdicts good, poor and toolIssue."""
+    names = {"successful_loops": "good", "poor_loops": "poor", "tool_errors": "toolIssue"}
+    return rows.groupBy(*by).agg(*(F.count_if(F.col(verdict) == v).alias(n) for n, v in names.items()))
+
+
+def feedback_context(feedback: DataFrame, invocations: DataFrame, states: DataFrame) -> DataFrame:
+    """Feedback with its invocation and the current state of the component, null where there is none."""
+    current = states.groupBy("component_type").agg(F.max_by("data", "version").alias("state"))
+    made = invocations.select(F.col("uuid").alias("invocation_id"), "component_type", "success", "confidence")
+    return feedback.join(made, "invocation_id", "left").join(current, "component_type", "left")
+
+
+def selection(names: Column) -> Column:
+    """(selected, confidence) of an array of choices: the first, sure only where it is the only one."""
+    sure = F.when(F.size(names) == 1, 1.0).otherwise(0.5)
+    chosen = F.struct(F.try_element_at(names, F.lit(1)).alias("selected"), sure.alias("confidence"))
+    return F.when(F.size(names) > 0, chosen).otherwise(F.raise_error(F.lit("there is nothing to choose from")).cast("struct<selected:string,confidence:double>"))
+
+
+def watch_confidence(rows: DataFrame, *by: str) -> DataFrame:
+    """watched, skipped, confidence: the share of full watches among full watches and skips."""
+    full, skip = F.count_if(F.col("gesture") == "full"), F.count_if(F.col("gesture") == "skip")
+    both = full + skip
+    return rows.groupBy(*by).agg(full.alias("watched"), skip.alias("skipped"), F.when(both > 0, F.round(full / both, 6)).alias("confidence"))
+
+
+def namespace_scores(rows: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """namespace, score, status of each score: PASS where it reaches the threshold."""
+    return rows.select("namespace", "score", F.when(F.col("score") >= threshold, "PASS").otherwise("FAIL").alias("status"))

@@ -51,3 +51,30 @@ def centroids(items: DataFrame, by: str) -> DataFrame:
     """by, position, mean: the mean vector of each group, element by element."""
     parts = items.select(by, F.posexplode(vectors.doubles(F.col("vector"))).alias("position", "x"))
     return parts.groupBy(by, "position").agg(F.avg("x").alias("mean"))
+
+
+def search_text(items: DataFrame, text: str, k: int = 10, provider=None) -> tuple[DataFrame, list[float]]:
+    """The k nearest items of a text, and the vector it was searched by."""
+    from ..functions.embedder import embed
+
+    vector = [float(x) for x in (provider or embed)(text)]
+    return nearest(items, vector, k), vector
+
+
+def nearest_chunks(chunks: DataFrame, entities: DataFrame, query: list[float], k: int, kind: str) -> DataFrame:
+    """id, entity_id, distance and the entities' columns: the k nearest chunks of one type of entity.
+
+    The type is filtered before the k are taken; chunks whose entity is missing are dropped.
+    """
+    hits = nearest(chunks.filter(F.col("entity_type") == kind).withColumnRenamed("id", "item_id"), query, k)
+    owners = chunks.select(F.col("id").alias("item_id"), "entity_id").join(F.broadcast(hits), "item_id")  # k rows
+    return entities.join(F.broadcast(owners), "entity_id").withColumnRenamed("item_id", "id")
+
+
+def rebuilt(rows: DataFrame, provider=None) -> DataFrame:
+    """Rows (text, embedding) with an embedding for those that have none; the others stay."""
+    from ..functions.embedder import embedding
+
+    made = embedding(F.col("text")) if provider is None else provider(F.col("text"))
+    lacking = rows.filter("embedding IS NULL").withColumn("embedding", made.cast(rows.schema["embedding"].dataType))
+    return rows.filter("embedding IS NOT NULL").unionByName(lacking.select(rows.columns))

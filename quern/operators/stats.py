@@ -59,3 +59,70 @@ def sessions(events: DataFrame, key: str, at: str, gap_minutes: int) -> DataFram
     rows = events.withColumn("at", F.col(at).cast("timestamp"))
     window = F.session_window("at", f"{gap_minutes} minutes")
     return rows.groupBy(key, window).agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id")).drop("session_window")
+
+
+#: The rank of each component in the pipeline (fixed values); others come last.
+PIPELINE = ("namespace_selector", "tool_selector", "context_injector", "llm_config_selector", "llm_orchestrator", "response_renderer", "tts")
+
+
+def pipeline_rank(component: Column) -> Column:
+    known = F.create_map(*(F.lit(x) for pair in zip(PIPELINE, range(1, len(PIPELINE) + 1)) for x in pair))
+    return F.coalesce(known[component], F.lit(999))
+
+
+def trace(invocations: DataFrame, correlation) -> DataFrame:
+    """The invocations of one correlation in pipeline order, without those of speech recognition."""
+    rows = invocations.filter((F.col("correlation_id") == correlation) & (F.col("component_type") != "stt"))
+    return rows.withColumn("rank", pipeline_rank(F.col("component_type"))).orderBy("rank", "created_at", "uuid")
+
+
+def trace_rows(invocations: DataFrame, ranks: dict[str, int]) -> DataFrame:
+    """Each invocation with its position in its correlation's trace: no trace becomes one row."""
+    known = F.create_map(*(F.lit(x) for pair in ranks.items() for x in pair))
+    order = Window.partitionBy("correlation_id").orderBy(F.coalesce(known[F.col("component_type")], F.lit(999)), "created_at", "uuid")
+    return invocations.withColumn("position", F.row_number().over(order))
+
+
+def ancestors(events: DataFrame, levels: int = 3) -> DataFrame:
+    """event_id, root, depth: the chain of parents of each event, `levels` steps at most.
+
+    root is the last ancestor that is there; an event whose parent is missing is its own.
+    """
+    rows = events.select("event_id", F.col("event_id").alias("root"), F.col("parent_event_id").alias("next"), F.lit(0).alias("depth"))
+    parents = events.select(F.col("event_id").alias("next"), F.col("parent_event_id").alias("above"))
+    for _ in range(levels):
+        found = rows.join(parents.withColumn("there", F.lit(True)), "next", "left")
+        on = F.coalesce("there", F.lit(False))
+        rows = found.select("event_id", F.when(on, F.col("next")).otherwise(F.col("root")).alias("root"), F.when(on, F.col("above")).alias("next"), (F.col("depth") + on.cast("int")).alias("depth"))
+    return rows.select("event_id", "root", "depth")
+
+
+#: Kinds of recognition events that end a turn at once (fixed values).
+TURN_ENDS = ("UtteranceEnd", "EndOfTurn", "EagerEndOfTurn")
+
+
+def assembled_turns(events: DataFrame) -> DataFrame:
+    """session, turn, n, transcript, closed_by of the turns of recognition events.
+
+    events: session, at, event_id, kind, transcript, speech_final. A turn ends with an end
+    mark, after an Update that 0.5 s of silence follow, after speech_final and 2 s, or after
+    30 s idle, which is an error. Its text is the last transcript that is not empty.
+    """
+    w = Window.partitionBy("session").orderBy("at", "event_id")
+    gap = F.timestamp_diff("MICROSECOND", F.col("at"), F.lead("at").over(w)) / 1e6
+    why = (
+        F.when(F.col("kind").isin(*TURN_ENDS), "mark")
+        .when((F.col("kind") == "Update") & (F.col("gap") > 0.5), "silence")
+        .when(F.col("speech_final") & (F.col("gap") > 2), "final")
+        .when(F.col("gap") > 30, "idle error")
+    )
+    rows = events.withColumn("gap", gap).withColumn("why", why)
+    before = F.coalesce(F.sum(F.col("why").isNotNull().cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    text = F.max_by(F.when(F.col("transcript") != "", F.col("transcript")), F.when(F.col("transcript") != "", F.struct("at", "event_id")))
+    grouped = rows.withColumn("turn", before).groupBy("session", "turn")
+    return grouped.agg(F.count("*").alias("n"), text.alias("transcript"), F.coalesce(F.max("why"), F.lit("open")).alias("closed_by"))
+
+
+def speech_metrics(output: Column) -> Column:
+    """Words, seconds and end-of-turn confidence that a recognition's JSON output states."""
+    return F.from_json(output, "wordCount BIGINT, audioDuration DOUBLE, endOfTurnConfidence DOUBLE")

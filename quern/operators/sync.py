@@ -29,13 +29,40 @@ def _chosen(both: DataFrame, local: Column) -> DataFrame:
     return both.select("uuid", side["payload"].alias("payload"), side["updated_at"].alias("updated_at"), F.when(local, "local").otherwise("remote").alias("side"))
 
 
-def changed_since(rows: DataFrame, since) -> DataFrame:
-    """The delta pull: everything updated after `since`, deleted rows too, oldest first."""
+def changed_since(rows: DataFrame, since, owner=None) -> DataFrame:
+    """The delta pull: everything updated after `since`, deleted rows too, oldest first.
+
+    owner: only this owner's rows and those without an owner.
+    """
+    if owner is not None:
+        rows = rows.filter((F.col("owner_id") == owner) | F.col("owner_id").isNull())
     return rows.filter(F.col("updated_at") > since).orderBy("updated_at", "uuid")
 
 
 def live(rows: DataFrame, kind: str) -> DataFrame:
-    return rows.filter((F.col("type") == kind) & ~F.col("deleted"))
+    """Rows of a type that are not deleted, the latest first."""
+    return rows.filter((F.col("type") == kind) & ~F.col("deleted")).orderBy(F.col("updated_at").desc(), "uuid")
+
+
+def status_of(wanted: DataFrame, statuses: DataFrame) -> DataFrame:
+    """uuid, status of each wanted uuid; one that is not known is local."""
+    known = statuses.groupBy("uuid").agg(F.max("status").alias("status"))
+    return wanted.select("uuid").join(known, "uuid", "left").withColumn("status", F.coalesce("status", F.lit("local")))
+
+
+def round_of(rows: DataFrame, confirmed: DataFrame, online: bool = True, wifi: bool = True) -> DataFrame:
+    """Rows (uuid, status, is_blob) after a round of sync: local -> syncing -> synced, or local again.
+
+    Offline nothing moves; blobs move on wifi only. `confirmed` (uuid) are those that the
+    remote took; the others of the round wait for the next.
+    """
+    if not online:
+        return rows
+    moves = (F.col("status") == "local") & (~F.col("is_blob") | F.lit(wifi))
+    took = confirmed.select("uuid").distinct().withColumn("took", F.lit(True))
+    both = rows.withColumn("status", F.when(moves, "syncing").otherwise(F.col("status"))).join(took, "uuid", "left")
+    done = F.when(F.col("took"), "synced").otherwise("local")
+    return both.withColumn("status", F.when(F.col("status") == "syncing", done).otherwise(F.col("status"))).drop("took")
 
 
 def to_push(local: DataFrame, remote: DataFrame) -> DataFrame:

@@ -21,9 +21,9 @@ def ev_by_corr_ordered(spark, sf_dir):
     return finders.by(table(spark, sf_dir, "events"), ["ts", "event_id"], user_id=7).select("event_id", "event_type")
 
 
-@query("SELECT event_id FROM events WHERE ts > TIMESTAMP '2024-01-29 12:00:00'")
+@query("SELECT event_id FROM events WHERE ts > TIMESTAMP '2024-01-29 12:00:00' ORDER BY ts, event_id")
 def ev_since(spark, sf_dir):
-    return table(spark, sf_dir, "events").filter("ts > TIMESTAMP_NTZ '2024-01-29 12:00:00'").select("event_id")
+    return table(spark, sf_dir, "events").filter("ts > TIMESTAMP_NTZ '2024-01-29 12:00:00'").orderBy("ts", "event_id").select("event_id")
 
 
 @query("SELECT user_id, count(*) AS n FROM events GROUP BY user_id")
@@ -36,17 +36,16 @@ def ev_ring_last_1000(spark, sf_dir):
     return stats.last_events(table(spark, sf_dir, "events")).select("event_id", "user_id")
 
 
-@query("""SELECT user_id FROM events WHERE event_type IN ('signup', 'view', 'purchase') AND event_id % 7 = 0
-    GROUP BY user_id HAVING count(DISTINCT event_type) = 3""")
+@query("""SELECT user_id FROM events WHERE event_type IN ('signup', 'view', 'purchase', 'error')
+    GROUP BY user_id HAVING count(DISTINCT event_type) = 4""")
 def ev_chain_complete(spark, sf_dir):
-    part = table(spark, sf_dir, "events").filter("event_id % 7 = 0")
-    return stats.complete_chains(part, "user_id", "event_type", ["signup", "view", "purchase"])
+    return stats.complete_chains(table(spark, sf_dir, "events"), "user_id", "event_type", ["signup", "view", "purchase", "error"])
 
 
 @query("""SELECT user_id FROM events WHERE event_type IN ('signup', 'view', 'purchase')
     GROUP BY user_id HAVING count(DISTINCT event_type) = 3""")
 def ev_chain_complete_all(spark, sf_dir):
-    """ev_chain_complete over all events."""
+    """Chains of three kinds of events."""
     return stats.complete_chains(table(spark, sf_dir, "events"), "user_id", "event_type", ["signup", "view", "purchase"])
 
 
@@ -115,10 +114,10 @@ def turn_role_counts(spark, sf_dir):
     return view(spark, sf_dir, "turns").groupBy("role").agg(F.count("*").alias("n"), F.count_distinct("conversation_id").alias("conversations"))
 
 
-@query("SELECT uuid, marked_at FROM turns WHERE marked_for_feedback ORDER BY marked_at DESC NULLS FIRST, uuid LIMIT 50")
+@query("SELECT uuid, marked_at FROM turns WHERE marked_for_feedback ORDER BY marked_at DESC NULLS FIRST, uuid")
 def turn_marked_desc(spark, sf_dir):
     marked = view(spark, sf_dir, "turns").filter("marked_for_feedback")
-    return marked.orderBy(F.col("marked_at").desc_nulls_first(), "uuid").select("uuid", "marked_at").limit(50)
+    return marked.orderBy(F.col("marked_at").desc_nulls_first(), "uuid").select("uuid", "marked_at")
 
 
 @query("SELECT conversation_id, uuid, marked_at FROM turns WHERE marked_for_feedback ORDER BY conversation_id, marked_at DESC NULLS FIRST, uuid")
@@ -143,7 +142,7 @@ def turn_invocation_count(spark, sf_dir):
     return view(spark, sf_dir, "turns").select("uuid", F.size(finders.turn_links()).cast("long").alias("n"))
 
 
-@query("SELECT uuid FROM turns WHERE 1000003001 IN (stt_id, llm_id, tts_id) OR llm_id = 2000003001")
+@query("SELECT uuid FROM turns WHERE 2000003001 IN (stt_id, llm_id, tts_id)")
 def turn_with_invocation(spark, sf_dir):
     return finders.turns_with(view(spark, sf_dir, "turns"), 2_000_003_001).select("uuid")
 
@@ -176,9 +175,11 @@ def learn_tools(spark, sf_dir):
     return learning.tool_counters(rows, "s", "c", "component_type")
 
 
-@query("""SELECT component_type, CAST(sum(len(string_split(action, 'e')) - 1) AS BIGINT) AS missing_context FROM feedback GROUP BY component_type""")
+@query("""SELECT component_type, CAST(sum((quality = 0)::INT + (toxic = 1)::INT + (turn_id IS NULL)::INT) AS BIGINT) AS missing_context FROM feedback GROUP BY component_type""")
 def learn_context(spark, sf_dir):
-    rows = view(spark, sf_dir, "feedback").withColumn("missing", F.expr("slice(split(action, 'e'), 2, 99)"))
+    """What each feedback says was missing from the context, as lists of names."""
+    lacks = {"facts": F.col("quality") == 0, "tone": F.col("toxic") == 1, "turn": F.col("turn_id").isNull()}
+    rows = view(spark, sf_dir, "feedback").withColumn("missing", F.array_compact(F.array(*(F.when(c, n) for n, c in lacks.items()))))
     return learning.missing_context(rows, "missing", "component_type")
 
 

@@ -68,8 +68,11 @@ def ver_changed_fields(spark, sf_dir):
 @query(f"""SELECT entity_uuid, concat('{{"type": "', arg_max(event_type, (created_at, event_id)), '", "value": ', CAST(arg_max(event_id, (created_at, event_id)) % 5 AS VARCHAR), '}}') AS state
     FROM versions WHERE created_at <= TIMESTAMP '{_TIME}' GROUP BY entity_uuid""")
 def ver_reconstruct(spark, sf_dir):
-    """States recorded as deltas with snapshots, then folded back as of a time."""
-    rows = view(spark, sf_dir, "versions").select("entity_uuid", "created_at", F.expr(_STATE).alias("state"))
+    """States recorded as deltas with snapshots, then folded back as of a time.
+
+    Later states have no influence on the numbers of earlier ones: they are left out before.
+    """
+    rows = view(spark, sf_dir, "versions").filter(f"created_at <= TIMESTAMP_NTZ '{_TIME}'").select("entity_uuid", "created_at", F.expr(_STATE).alias("state"))
     return versions.reconstruct(versions.numbered(rows), F.lit(_TIME).cast("timestamp_ntz"))
 
 
@@ -99,7 +102,7 @@ def sync_delta_pull(spark, sf_dir):
     return sync.changed_since(view(spark, sf_dir, "remote_entities"), 80).select("uuid", "updated_at", "deleted")
 
 
-@query("SELECT uuid FROM remote_entities WHERE type = 'P' AND NOT deleted")
+@query("SELECT uuid FROM remote_entities WHERE type = 'P' AND NOT deleted ORDER BY updated_at DESC, uuid")
 def sync_soft_delete_view(spark, sf_dir):
     return sync.live(view(spark, sf_dir, "remote_entities"), "P").select("uuid")
 

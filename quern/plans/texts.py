@@ -17,9 +17,9 @@ def txt_token_count(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", texts.token_count(F.col("text")).cast("long").alias("n"))
 
 
-@query(f"""SELECT item_id, array_to_string(list_slice(t, i + 1, i + 12), ' ') AS part FROM (SELECT item_id, {_TOKENS} AS t FROM benchmark), LATERAL (SELECT unnest(range(0, len(t), 8)) AS i)""")
+@query(f"""SELECT doc_id, array_to_string(list_slice(t, i + 1, i + 12), ' ') AS part FROM (SELECT doc_id, {_TOKENS} AS t FROM documents), LATERAL (SELECT unnest(range(0, len(t), 8)) AS i)""")
 def txt_sliding_windows(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").select("item_id", F.explode(texts.sliding_windows(F.col("text"), 12, 4)).alias("part"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(texts.sliding_windows(F.col("text"), 12, 4)).alias("part"))
 
 
 @query(r"""SELECT doc_id, s AS sentence FROM (SELECT doc_id, regexp_replace(unnest(string_split(regexp_replace(text, '(^\.|[!?]|[^A-Za-z0-9]\.)\s+', '\1' || chr(1), 'g'), chr(1))), '^\s+|\s+$', '', 'g') AS s FROM documents) WHERE s <> ''""")
@@ -35,5 +35,6 @@ def txt_chunks(spark, sf_dir):
 
 @query()
 def txt_embed_hash(spark, sf_dir):
-    rows = table(spark, sf_dir, "benchmark").select("item_id", embedder.embedding(F.col("text")).alias("vector"))
-    return rows.select("item_id", F.size("vector").alias("dimensions"), F.transform(F.slice("vector", 1, 8), lambda x: F.round(x, 6)).alias("head"))
+    """Whole vectors of whole texts; null texts have those of empty ones."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", embedder.embedding(F.coalesce("text", F.lit(""))).alias("vector"))
+    return rows.select("doc_id", F.size("vector").alias("dimensions"), F.transform("vector", lambda x: F.round(x, 6)).alias("vector"))

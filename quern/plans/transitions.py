@@ -8,6 +8,7 @@ from ..functions import access, texts, times
 from ..operators import finders
 from ..sources import store
 from ..sources.views import table, view
+from ..streaming import pipelines
 from .registry import query
 
 _NOW = "2001-08-01 00:00:00"
@@ -87,17 +88,19 @@ def ent_insert_if_absent(spark, sf_dir):
     return store.inserted(rows.filter("uuid % 4 = 0"), rows.unionByName(rows.filter("uuid < 50")), "uuid")
 
 
-@query("""SELECT event_type AS status, count(*) AS n, count(*) FILTER (value < 3) AS retryable FROM events GROUP BY event_type""")
+@query("""SELECT count(*) FILTER (status = 'pending') AS pending, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'failed') AS failed,
+    count(*) FILTER (status = 'failed' AND retry_count < 3) AS retryable, max(last_attempt_at) AS last_attempt FROM embedding_tasks""")
 def queue_stats(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("status"))
-    return rows.agg(F.count("*").alias("n"), F.count_if(F.col("value") < 3).alias("retryable"))
+    return pipelines.queue_counts(view(spark, sf_dir, "embedding_tasks"))
 
 
-@query("SELECT uuid, CASE WHEN updated_at % 2 = 0 THEN 'synced' ELSE 'local' END AS status FROM local_entities")
+@query("""SELECT l.uuid, CASE WHEN r.uuid IS NOT NULL OR NOT l.dirty THEN 'synced' ELSE 'local' END AS status, CASE WHEN r.uuid IS NOT NULL THEN concat('r', CAST(r.uuid AS VARCHAR)) END AS sync_id
+    FROM local_entities l LEFT JOIN remote_entities r ON r.uuid = l.uuid AND NOT r.deleted""")
 def sync_mark_synced(spark, sf_dir):
-    rows = view(spark, sf_dir, "local_entities")
-    confirmed = rows.filter("updated_at % 2 = 0").select("uuid", F.lit(True).alias("ok"))
-    return rows.join(confirmed, "uuid", "left").select("uuid", F.when(F.col("ok"), "synced").otherwise("local").alias("status"))
+    """Rows that the remote confirms by its live copies, marked as the store does it."""
+    rows = view(spark, sf_dir, "local_entities").select("uuid", F.when(F.col("dirty"), "local").otherwise("synced").alias("sync_status"), F.lit(None).cast("string").alias("sync_id"))
+    confirmed = view(spark, sf_dir, "remote_entities").filter("NOT deleted").select("uuid", F.concat(F.lit("r"), F.col("uuid").cast("string")).alias("sync_id"))
+    return store.marked_synced(rows, confirmed).select("uuid", F.col("sync_status").alias("status"), "sync_id")
 
 
 @query(f"""SELECT o_orderkey AS uuid, CAST(date_diff('second', o_orderdate, TIMESTAMP '{_NOW}') // 3600 AS BIGINT) AS hours, o_orderdate < TIMESTAMP '{_NOW}' - INTERVAL 48 HOUR AS stale FROM orders""")

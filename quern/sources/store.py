@@ -14,16 +14,40 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import DuplicateEntity, EntityNotFound, VersionConflict
+from ..errors import DuplicateEntity, EntityNotFound, TransactionFailed, VersionConflict, translating
+from ..functions import files
 
 Stage = Callable[[DataFrame], DataFrame]
 
 
+#: The order in which handlers of a save run, whatever the order in which they are given.
+HANDLERS = ("index", "embed", "version", "cascade")
+
+
+def unique(rows: DataFrame, key: str = "uuid") -> DataFrame:
+    """One row of each key: the one updated last, of those the greatest by all columns."""
+    times = [F.col("updated_at")] if "updated_at" in rows.columns else []
+    whole = F.struct(*rows.columns)
+    return rows.groupBy(key).agg(F.max_by(whole, F.struct(*times, F.to_json(whole))).alias("row")).select("row.*")
+
+
 def merged(old: DataFrame, new: DataFrame, key: str = "uuid") -> DataFrame:
-    """`old` with the rows of `new` added or put in place of those with the same key."""
+    """`old` with the rows of `new` added or put in place of those with the same key.
+
+    A key stays unique when `new` has it several times, see `unique`.
+    """
+    new = unique(new, key)
     return old.join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
+def marked_synced(rows: DataFrame, confirmed: DataFrame) -> DataFrame:
+    """Rows of `confirmed` (uuid, sync_id) become synced, with that id; others stay as they are."""
+    given = confirmed.groupBy("uuid").agg(F.max("sync_id").alias("__sync"), F.lit(True).alias("__done"))
+    both = rows.join(given, "uuid", "left")
+    status = F.when(F.col("__done"), "synced").otherwise(F.col("sync_status"))
+    return both.withColumns({"sync_id": F.coalesce("__sync", "sync_id"), "sync_status": status}).drop("__sync", "__done")
+
+
 def without(old: DataFrame, keys: DataFrame, key: str = "uuid") -> DataFrame:
     return old.join(keys.select(key), key, "left_anti")
 
@@ -69,12 +93,13 @@ class EntityStore:
         return json.loads(self.spark.read.text(f"{self.root}/manifest.json", wholetext=True).first()[0])
 
     def commit(self, tables: dict[str, DataFrame]) -> None:
-        """Writes all tables, then makes all of them current at once."""
+        """Writes all tables, then makes all of them current at once; TransactionFailed if that fails."""
         now = self._manifest()
         staged = {}
         for name, rows in tables.items():
             staged[name] = f"{name}/{uuid.uuid4().hex}"
-            rows.write.parquet(f"{self.root}/{staged[name]}")
+            with translating(name, TransactionFailed):
+                rows.write.parquet(f"{self.root}/{staged[name]}")
         self._files.mkdirs(self._path(self.root))
         fresh = self._path(f"{self.root}/manifest.{uuid.uuid4().hex}")
         out = self._files.create(fresh)
@@ -113,15 +138,20 @@ class EntityStore:
 
     # Writing -------------------------------------------------------------------------
 
-    def save(self, name: str, rows: DataFrame, touch: Column | None = None, before: list[Stage] = (), after: list[Stage] = ()) -> DataFrame:
-        """Upsert. `before` stages change the rows and may raise; `after` stages see the result."""
+    def save(self, name: str, rows: DataFrame, touch: Column | None = None, before: list[Stage] = (), after: list[Stage] = (), handlers: dict[str, Stage] | None = None) -> DataFrame:
+        """Upsert. `before` stages change the rows and may raise; `after` stages see the result.
+
+        handlers: stages by name, which run behind those of `after` in the order of HANDLERS.
+        """
         if touch is not None:
             rows = rows.withColumn("updated_at", touch)
         for stage in before:
             rows = stage(rows)
         self.commit({name: merged(self.read(name), rows) if name in self._manifest() else rows})
         saved = self.read(name)
-        for stage in after:
+        if unknown := set(handlers or ()) - set(HANDLERS):
+            raise ValueError(f"handlers are {', '.join(HANDLERS)}, not {', '.join(sorted(unknown))}")
+        for stage in [*after, *(handlers[h] for h in HANDLERS if handlers and h in handlers)]:
             stage(saved)
         return saved
 
@@ -134,9 +164,25 @@ class EntityStore:
             raise DuplicateEntity(f"{name}: {', '.join(unique)} must be unique")
         self.commit({name: old.unionByName(rows)})
 
-    def delete(self, name: str, keys: DataFrame) -> int:
-        """Deletes keys, missing ones are ignored; how many rows went."""
-        return self.delete_where(name, keys=keys)
+    def delete(self, name: str, keys: DataFrame, before: list[Stage] = (), after: list[Stage] = ()) -> int:
+        """Deletes keys, missing ones are ignored; how many rows went.
+
+        `before` stages see the rows that will go and may raise, `after` stages the rows
+        that went; neither runs where no key is there.
+        """
+        gone = self.read(name).join(keys.select("uuid").distinct(), "uuid", "left_semi")
+        if (before or after) and gone.isEmpty():
+            return 0
+        for stage in before:
+            stage(gone)
+        n = self.delete_where(name, keys=keys)
+        for stage in after:
+            stage(gone)  # read from the snapshot before
+        return n
+
+    def clear(self, name: str) -> int:
+        """Deletes all rows of a table; the table stays."""
+        return self.delete_where(name, F.lit(True))
 
     def delete_where(self, name: str, condition: Column | None = None, keys: DataFrame | None = None) -> int:
         old = self.read(name)
@@ -160,12 +206,61 @@ class EntityStore:
             raise VersionConflict(name)
 
     def mark_synced(self, name: str, confirmed: DataFrame) -> None:
-        """Rows of `confirmed` (uuid, sync_id) become synced; others stay as they are."""
-        given = confirmed.select("uuid", F.col("sync_id").alias("__sync"))
-        rows = self.read(name).join(given, "uuid", "left")
-        done = F.col("__sync").isNotNull()
-        rows = rows.withColumns({"sync_id": F.coalesce("__sync", "sync_id"), "sync_status": F.when(done, "synced").otherwise(F.col("sync_status"))})
-        self.commit({name: rows.drop("__sync")})
+        """See marked_synced."""
+        self.commit({name: marked_synced(self.read(name), confirmed)})
+
+
+class BlobStore:
+    """Binary contents by id, in a table `blobs` (uuid, content) of an entity store."""
+
+    def __init__(self, store: EntityStore):
+        self.store = store
+
+    def all(self) -> DataFrame:
+        if "blobs" in self.store.tables():
+            return self.store.read("blobs")
+        return self.store.spark.createDataFrame([], "uuid string, content binary")
+
+    def save(self, blobs: DataFrame) -> None:
+        """Writes blobs (uuid, content), over those with the same id."""
+        self.store.save("blobs", blobs.select("uuid", "content"))
+
+    def load(self, ids: DataFrame) -> DataFrame:
+        """uuid, content of the ids that are there."""
+        return self.all().join(ids.select("uuid").distinct(), "uuid", "left_semi")
+
+    def delete(self, ids: DataFrame) -> int:
+        """How many of the ids were there."""
+        return self.store.delete("blobs", ids) if "blobs" in self.store.tables() else 0
+
+    def sizes(self, ids: DataFrame) -> DataFrame:
+        return blob_sizes(ids, self.all())
+
+    def slices(self, ids: DataFrame, size: int = 65_536) -> DataFrame:
+        return blob_slices(self.load(ids), size)
+
+
+def blob_sizes(ids: DataFrame, blobs: DataFrame) -> DataFrame:
+    """uuid, present, size of each id; -1 where there is no blob."""
+    known = blobs.select("uuid", F.octet_length("content").cast("long").alias("size"))
+    rows = ids.select("uuid").join(known, "uuid", "left")
+    return rows.select("uuid", F.col("size").isNotNull().alias("present"), F.coalesce("size", F.lit(-1).cast("long")).alias("size"))
+
+
+def blob_slices(blobs: DataFrame, size: int = 65_536) -> DataFrame:
+    """uuid, position, slice: contents in slices of `size` bytes; an empty one has none."""
+    return blobs.select("uuid", F.posexplode(files.slices(F.col("content"), size)).alias("position", "slice"))
+
+
+def blob_metadata(ids: DataFrame, metadata: DataFrame) -> DataFrame:
+    """The ids' rows of the metadata table and whether it has them."""
+    rows = ids.select("uuid").join(metadata.withColumn("remote", F.lit(True)), "uuid", "left")
+    return rows.withColumn("remote", F.coalesce("remote", F.lit(False)))
+
+
+def described(tables: dict[str, DataFrame]) -> list[tuple[str, str, int, str]]:
+    """(table, column, position, type) of tables, for a catalogue's listing."""
+    return [(name, f.name, i + 1, f.dataType.simpleString()) for name, df in sorted(tables.items()) for i, f in enumerate(df.schema.fields)]
 
 
 def typed_view(entities: DataFrame, kind: str, fields: dict[str, str]) -> DataFrame:

@@ -30,7 +30,7 @@ VIEWS = {
     "channels": """SELECT s_suppkey AS uuid, s_name AS name, concat('yt', CAST(s_suppkey AS VARCHAR(20))) AS youtube_id,
         s_suppkey % 3 <> 0 AS subscribed, CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE s_suppkey % 7 END AS hours_since_check,
         s_suppkey % 45 AS days_since_added FROM supplier""",
-    "media_items": """SELECT doc_id AS uuid, substr(text, 1, 24) AS title, source AS channel_id, n_chars AS size_bytes,
+    "media_items": """SELECT doc_id AS uuid, text AS title, source AS channel_id, n_chars AS size_bytes,
         CASE lang WHEN 'en' THEN 'mp3' WHEN 'de' THEN 'mp4' WHEN 'fr' THEN 'WEBM' ELSE 'm4a' END AS format,
         CASE doc_id % 5 WHEN 0 THEN 'pending' WHEN 1 THEN 'downloading' WHEN 2 THEN 'failed' ELSE 'completed' END AS status,
         CASE WHEN doc_id % 5 > 2 AND doc_id % 4 <> 0 THEN doc_id + 500 END AS blob_id, doc_id % 30 AS days_since FROM documents""",
@@ -63,6 +63,20 @@ VIEWS = {
     "namespaces": """SELECT DISTINCT p_brand AS namespace, concat(p_brand, '.', replace(p_type, ' ', CASE WHEN p_size % 5 = 0 THEN '.' ELSE '_' END)) AS tool FROM part""",
     "owned": """SELECT o_orderkey AS uuid, o_custkey AS owner_id, CASE WHEN o_orderkey % 9 = 0 THEN 'public' ELSE 'private' END AS visibility,
         CASE WHEN o_orderkey % 8 = 0 THEN 7 ELSE o_custkey % 50 END AS shared_with FROM orders""",
+    "turn_invocations": """SELECT conv_id * 1000 + turn + 1000000000 AS uuid, 'stt' AS component_type, conv_id * 1000 + turn AS turn_id, turn AS seq, length(text) % 11 <> 0 AS success FROM conversations WHERE role = 'user'
+        UNION ALL SELECT conv_id * 1000 + turn + 2000000000, 'llm', conv_id * 1000 + turn, turn, length(text) % 5 <> 0 FROM conversations WHERE role = 'assistant'
+        UNION ALL SELECT conv_id * 1000 + turn + 3000000000, 'tts', conv_id * 1000 + turn, turn, true FROM conversations WHERE role = 'assistant'""",
+    "component_invocations": """SELECT event_id AS uuid, user_id AS correlation_id, ts AS created_at, CASE event_id % 9 WHEN 0 THEN 'stt' WHEN 1 THEN 'tts' WHEN 2 THEN 'namespace_selector' WHEN 3 THEN 'tool_selector'
+        WHEN 4 THEN 'context_injector' WHEN 5 THEN 'llm_config_selector' WHEN 6 THEN 'llm_orchestrator' WHEN 7 THEN 'response_renderer' ELSE 'other' END AS component_type FROM events""",
+    "chained_events": """SELECT event_id, CASE WHEN event_id % 6 <> 0 THEN event_id - 1 WHEN event_id % 12 = 6 THEN -event_id END AS parent_event_id FROM events""",
+    "embedding_tasks": """SELECT event_id AS id, concat('e', CAST(user_id AS VARCHAR(20))) AS entity_uuid, event_type AS entity_type, CASE WHEN event_id % 10 = 0 THEN '' ELSE props END AS text,
+        CASE event_type WHEN 'click' THEN 'pending' WHEN 'view' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'processing' END AS status, event_id % 5 AS retry_count,
+        CASE WHEN event_id % 4 <> 0 THEN ts END AS last_attempt_at FROM events""",
+    "stored_chunks": """SELECT doc_id AS id, concat('k', CAST(doc_id AS VARCHAR(20))) AS chunk_id, CASE WHEN doc_id % 3 <> 0 THEN lang END AS embedding FROM documents""",
+    "blob_metadata": """SELECT doc_id + 500 AS uuid, concat(source, '/', lang) AS storage_path, n_chars AS size_bytes FROM documents WHERE lang <> 'en'""",
+    "speech_events": """SELECT event_id, event_id - event_id % 50 AS session, event_id * 400000 + (event_id - event_id % 5) * 380000 + (event_id - event_id % 17) * 1800000 AS at_us,
+        CASE WHEN event_id % 13 = 0 THEN 'EndOfTurn' WHEN event_id % 3 = 0 THEN 'Update' ELSE 'Results' END AS kind,
+        CASE WHEN event_id % 4 = 0 THEN '' ELSE concat('t', CAST(event_id AS VARCHAR(20))) END AS transcript, event_id % 7 = 0 AS speech_final FROM events""",
     "places": """SELECT c_custkey AS uuid, CASE WHEN c_custkey % 10 <> 0 THEN CAST(c_custkey % 180 AS DOUBLE) - 90 END AS lat,
         CAST((c_custkey * 7) % 360 AS DOUBLE) - 180 AS lon FROM customer""",
 }

@@ -82,18 +82,53 @@ def chains(events: DataFrame, expected: list[str], timeout: str = "5 seconds") -
     return rows.groupBy("user_id").applyInPandasWithState(step, "correlation long, complete boolean", "seen string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def flushed(tasks: DataFrame, run: Callable[[DataFrame], DataFrame], most_retries: int = 3) -> DataFrame:
+def queue_counts(tasks: DataFrame) -> DataFrame:
+    """One row: pending, completed, failed tasks, those that may be retried, and the last attempt."""
+    status = F.col("status")
+    counts = [F.count_if(status == s).alias(s) for s in ("pending", "completed", "failed")]
+    return tasks.agg(*counts, F.count_if(retryable()).alias("retryable"), F.max("last_attempt_at").alias("last_attempt"))
+
+
+def retryable(most_retries: int = 3):
+    return (F.col("status") == "failed") & (F.col("retry_count") < most_retries)
+
+
+def next_batch(tasks: DataFrame, size: int = 10, now=None) -> DataFrame:
+    """The oldest pending tasks, `size` at most; with `now`, only those whose delay is over.
+
+    Of tasks with one uuid the first counts. A task waits two seconds for each retry since
+    its last attempt.
+    """
+    pending = tasks.filter("status = 'pending'")
+    if now is not None:
+        wait = F.make_dt_interval(secs=F.col("retry_count") * F.lit(2.0))
+        pending = pending.filter(F.col("last_attempt_at").isNull() | (F.col("last_attempt_at") + wait <= now))
+    first = pending.groupBy("entity_uuid").agg(F.min("id").alias("id")).orderBy("id").limit(size)
+    return tasks.join(F.broadcast(first.select("id")), "id", "left_semi")  # `size` rows
+
+
+def flushed(tasks: DataFrame, run: Callable[[DataFrame], DataFrame], most_retries: int = 3, one: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """A queue's tasks after one pass of `run`, which returns the uuids that succeeded.
 
     Tasks without text are done; of pending tasks with one uuid the first runs, the
     others are dropped. A task that failed waits again until it has been retried
-    `most_retries` times.
+    `most_retries` times. one: where `run` raises, the tasks are given to it instead; it
+    is to work row by row and to return those that succeeded.
     """
     first = tasks.filter("status = 'pending'").groupBy("entity_uuid").agg(F.min("id").alias("id"))
     others = tasks.filter("status <> 'pending'")
     pending = tasks.join(first.select("id"), "id", "left_semi")
     empty = F.coalesce(F.trim("text"), F.lit("")) == ""
-    done = run(pending.filter(~empty)).select("entity_uuid").distinct().withColumn("ok", F.lit(True))
+    try:
+        done = run(pending.filter(~empty)).select("entity_uuid")
+        if one is not None:
+            done = done.checkpoint() if done.sparkSession.sparkContext.getCheckpointDir() else done.persist()
+            done.count()  # a lazy result would fail later
+    except Exception:
+        if one is None:
+            raise
+        done = one(pending.filter(~empty)).select("entity_uuid")
+    done = done.distinct().withColumn("ok", F.lit(True))
     rows = pending.join(done, "entity_uuid", "left")
     good = empty | F.coalesce("ok", F.lit(False))
     tries = F.when(good, F.col("retry_count")).otherwise(F.col("retry_count") + 1)
@@ -101,5 +136,26 @@ def flushed(tasks: DataFrame, run: Callable[[DataFrame], DataFrame], most_retrie
     return others.unionByName(rows.withColumns({"status": status, "retry_count": tries.cast("int")}).select(tasks.columns))
 
 
+def flush_stream(tasks: DataFrame, run: Callable[[DataFrame, int], None], checkpoint: str, every: str = "2 seconds") -> StreamingQuery:
+    """Runs a stream of tasks batch by batch: what has come every two seconds."""
+    return tasks.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+
+
+def locations(spark: SparkSession, per_second: int = 1) -> DataFrame:
+    """A stand-in for a stream of positions: at, lat, lon of a walk around a circle."""
+    angle = F.radians(F.col("value") % 360)
+    rate = spark.readStream.format("rate").option("rowsPerSecond", per_second).load()
+    return rate.select(F.col("timestamp").alias("at"), (48.1 + F.sin(angle) / 100).alias("lat"), (11.5 + F.cos(angle) / 100).alias("lon"))
+
+
+def audio_chunks(spark: SparkSession, folder: str, size: int = 3200) -> DataFrame:
+    """New files of a folder as a stream of slices: path, position, slice."""
+    from ..functions import files
+
+    schema = "path STRING, modificationTime TIMESTAMP, length LONG, content BINARY"
+    raw = spark.readStream.format("binaryFile").schema(schema).load(folder)
+    return raw.select("path", F.posexplode(files.slices(F.col("content"), size)).alias("position", "slice"))
+
+
 def ring(log: DataFrame, most: int = 1000) -> DataFrame:
     return stats.last_events(log, most)
