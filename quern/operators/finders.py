@@ -75,10 +75,9 @@ def retryable() -> Column:
 def cleaned(downloads: DataFrame, now: Column, keep_days: int = 7, most: int = 100) -> DataFrame:
     """Downloads without old failures, if there are more than `most` failures at all."""
     failed = F.col("status") == "failed"
-    if downloads.filter(failed).count() <= most:
-        return downloads
+    n = downloads.filter(failed).agg(F.count("*")).scalar()  # a subquery of the one that uses it
     old = failed & (F.coalesce("finished_at", now) < times.later(now, -24 * keep_days))
-    return downloads.filter(~F.coalesce(old, F.lit(False)))
+    return downloads.filter(~(F.coalesce(old, F.lit(False)) & (n > most)))
 
 
 def progressed(status: Column, event: Column) -> Column:
