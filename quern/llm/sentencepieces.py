@@ -15,8 +15,9 @@ from __future__ import annotations
 
 import heapq
 import re
+from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from .common import arrow_map
 
 SPACE = "▁"
 #: Characters of distinct words that one suffix array indexes, about.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: Bytes of text that are encoded together, about (a longer single text is by itself).
 PIECE = 8 << 20
 #: Longer words are encoded in segments that overlap, side by side.
@@ -439,12 +440,16 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Offsets and ids of the texts."""
-        found = [_WORDS.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
+        local: dict[str, int] = defaultdict(count().__next__)  # words are numbered as they come, none is kept twice
+        found = []
+        for t in texts:
+            words = _WORDS.findall(SPACE + t.replace(" ", SPACE)) if t else []
+            found.append(np.fromiter(map(local.__getitem__, words), np.int32, len(words)))
         self._forget()
-        if fresh := set(chain.from_iterable(found)).difference(self.place):
-            self._learn(sorted(fresh))
+        self._learn(sorted(local))
+        at = np.fromiter(map(self.place.__getitem__, local), np.int64, len(local))
+        which = at[np.concatenate(found)] if found else at
         counts = np.concatenate([[0], np.cumsum([len(w) for w in found])])
-        which = np.fromiter(map(self.place.__getitem__, chain.from_iterable(found)), np.int64, int(counts[-1]))
         sizes = np.diff(self.ends)[which]
         total = np.concatenate([[0], np.cumsum(sizes)])
         ids = self.flat[np.arange(total[-1]) - np.repeat(total[:-1] - self.ends[:-1][which], sizes)]
