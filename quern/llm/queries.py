@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, quality_classifier, quality_rules, sentencepieces, simhash, suffix_dedup, token_counts, toxicity, url_filters
+from . import decontaminate, language_id, quality_classifier, quality_rules, sentencepieces, simhash, suffix_dedup, token_counts, toxicity, url_filters, whitening
 from .common import documents, fold, labels, prepare
 
 
@@ -54,6 +55,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.grouped(documents(spark, sf_dir))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whitened(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return found.withColumn("deviation", F.expr("try_cast(deviation AS BIGINT)"))
+
+
 def quality_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The statistics that quality rules test, and the base rule on them; SQL can express these."""
     stats = quality_rules.statistics(documents(spark, sf_dir))
@@ -79,6 +85,7 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_simhash": op10_simhash,
+    "op11_whitening": op11_whitening,
     "quality_statistics": quality_statistics,
 }
 QUERIES = {name: _prepared(query) for name, query in QUERIES.items()}
