@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, quality_classifier, quality_rules, sentencepieces, simhash, suffix_dedup, token_counts, toxicity, url_filters, whitening
+from . import decontaminate, fill_in_middle, language_id, quality_classifier, quality_rules, sentencepieces, simhash, suffix_dedup, token_counts, toxicity, url_filters, whitening
 from .common import documents, fold, labels, prepare
 
 
@@ -60,6 +60,10 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("deviation", F.expr("try_cast(deviation AS BIGINT)"))
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.digests(documents(spark, sf_dir))
+
+
 def quality_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The statistics that quality rules test, and the base rule on them; SQL can express these."""
     stats = quality_rules.statistics(documents(spark, sf_dir))
@@ -86,6 +90,7 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_simhash": op10_simhash,
     "op11_whitening": op11_whitening,
+    "op12_fill_in_middle": op12_fill_in_middle,
     "quality_statistics": quality_statistics,
 }
 QUERIES = {name: _prepared(query) for name, query in QUERIES.items()}
@@ -137,5 +142,12 @@ _STATISTICS = r"""WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coales
         FROM listed LEFT JOIN twice USING (r) LEFT JOIN inside USING (r))
     SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counted"""
 
+_FILL_IN_MIDDLE = """WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS d FROM documents),
+    drawn AS (SELECT *, CAST('0x' || d[1:8] AS BIGINT) % (n + 1) AS c1, CAST('0x' || d[9:16] AS BIGINT) % (n + 1) AS c2, CAST('0x' || d[17:24] AS BIGINT) % 100 AS c3, CAST('0x' || d[25:32] AS BIGINT) % 100 AS c4 FROM docs),
+    cut AS (SELECT *, least(c1, c2) AS a, greatest(c1, c2) AS b, CASE WHEN n = 0 OR regexp_matches(t, '<[PSM]>') OR c3 >= 90 THEN 'plain' WHEN c4 < 20 THEN 'spm' ELSE 'psm' END AS form FROM drawn),
+    parts AS (SELECT *, '<P>' || substring(t, 1, a) AS p, '<M>' || substring(t, a + 1, b - a) AS m, '<S>' || substring(t, b + 1, n - b) AS s FROM cut)
+    SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(a AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(b - a AS BIGINT) END AS middle_chars,
+        sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN p || s || m ELSE s || p || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM parts"""
+
 #: The other operators learn a model or work on bytes; tests/llm has their brute force.
-ORACLES: dict[str, str] = {"op3_url_filters": _URL_FILTERS, "quality_statistics": _STATISTICS}
+ORACLES: dict[str, str] = {"op3_url_filters": _URL_FILTERS, "op12_fill_in_middle": _FILL_IN_MIDDLE, "quality_statistics": _STATISTICS}
