@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fill_in_middle, language_id, quality_classifier, quality_rules, sentencepieces, simhash, suffix_dedup, token_counts, toxicity, url_filters, whitening
+from . import decontaminate, fill_in_middle, language_id, line_dedup, quality_classifier, quality_rules, sentencepieces, simhash, suffix_dedup, token_counts, toxicity, url_filters, whitening
 from .common import documents, fold, labels, prepare
 
 
@@ -64,6 +64,10 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle.digests(documents(spark, sf_dir))
 
 
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dropped(documents(spark, sf_dir))
+
+
 def quality_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The statistics that quality rules test, and the base rule on them; SQL can express these."""
     stats = quality_rules.statistics(documents(spark, sf_dir))
@@ -91,6 +95,7 @@ QUERIES = {
     "op10_simhash": op10_simhash,
     "op11_whitening": op11_whitening,
     "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_line_dedup": op13_line_dedup,
     "quality_statistics": quality_statistics,
 }
 QUERIES = {name: _prepared(query) for name, query in QUERIES.items()}
@@ -149,5 +154,12 @@ _FILL_IN_MIDDLE = """WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coa
     SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(a AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(b - a AS BIGINT) END AS middle_chars,
         sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN p || s || m ELSE s || p || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM parts"""
 
+_LINE_DEDUP = r"""WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+    cut AS (SELECT r, doc_id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM docs),
+    keyed AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM cut),
+    common AS (SELECT k, max(doc_id) AS owner FROM keyed WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3),
+    judged AS (SELECT r, keyed.doc_id, line, i, owner IS NOT NULL AND owner <> keyed.doc_id AS gone FROM keyed LEFT JOIN common USING (k))
+    SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (gone) AS BIGINT) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM judged GROUP BY r, doc_id"""
+
 #: The other operators learn a model or work on bytes; tests/llm has their brute force.
-ORACLES: dict[str, str] = {"op3_url_filters": _URL_FILTERS, "op12_fill_in_middle": _FILL_IN_MIDDLE, "quality_statistics": _STATISTICS}
+ORACLES: dict[str, str] = {"op3_url_filters": _URL_FILTERS, "op12_fill_in_middle": _FILL_IN_MIDDLE, "op13_line_dedup": _LINE_DEDUP, "quality_statistics": _STATISTICS}
