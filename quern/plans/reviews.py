@@ -107,11 +107,14 @@ def ev_parent_chain(spark, sf_dir):
     return stats.ancestors(view(spark, sf_dir, "chained_events"), 3)
 
 
-@query("""WITH g AS (SELECT *, (lead(at_us) OVER w - at_us) / 1e6 AS gap FROM speech_events WINDOW w AS (PARTITION BY session ORDER BY at_us, event_id)),
+_STT_TURNS = """WITH g AS (SELECT *, (lead(at_us) OVER w - at_us) / 1e6 AS gap FROM speech_events WINDOW w AS (PARTITION BY session ORDER BY at_us, event_id)),
     y AS (SELECT *, CASE WHEN kind = 'EndOfTurn' THEN 'mark' WHEN kind = 'Update' AND gap > 0.5 THEN 'silence' WHEN speech_final AND gap > 2 THEN 'final' WHEN gap > 30 THEN 'idle error' END AS why FROM g),
     n AS (SELECT *, coalesce(sum((why IS NOT NULL)::INT) OVER (PARTITION BY session ORDER BY at_us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS turn FROM y)
     SELECT session, CAST(turn AS BIGINT) AS turn, count(*) AS n, arg_max(CASE WHEN transcript <> '' THEN transcript END, CASE WHEN transcript <> '' THEN (at_us, event_id) END) AS transcript,
-        coalesce(max(why), 'open') AS closed_by FROM n GROUP BY session, turn""")
+        coalesce(max(why), 'open') AS closed_by FROM n GROUP BY session, turn"""
+
+
+@query(_STT_TURNS)
 def stt_turns(spark, sf_dir):
     rows = view(spark, sf_dir, "speech_events").withColumn("at", F.timestamp_micros("at_us"))
     return stats.assembled_turns(rows).withColumn("turn", F.col("turn").cast("long"))
