@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+from py4j.protocol import Py4JError
 from pyspark.errors import AnalysisException, PySparkException
 
 
@@ -28,6 +29,10 @@ class TransactionFailed(PersistenceError):
     """A commit was not made; the tables are as they were."""
 
 
+class CommitConflict(TransactionFailed):
+    """Another commit has changed what this one read or writes; nothing was written."""
+
+
 class QueryFailed(PersistenceError):
     """A query is wrong: names, types, an overflow, several rows instead of one."""
 
@@ -62,3 +67,12 @@ def translating(what: str, otherwise: type[PersistenceError] | None = None) -> I
     except Exception as e:
         found = translated(e, what)
         raise (otherwise(str(found)) if otherwise and type(found) is PersistenceError and not isinstance(e, PersistenceError) else found) from e
+
+
+@contextmanager
+def spark_errors(what: str) -> Iterator[None]:
+    """Raises the store's errors in place of Spark's; others, as those of a caller's own stages, pass."""
+    try:
+        yield
+    except (PySparkException, Py4JError) as e:
+        raise translated(e, what) from e

@@ -1,21 +1,26 @@
-"""Entity tables in a folder: snapshots, and one manifest that says which are current.
-
-Parquet has no updates in place. A write makes new snapshots beside the old ones and then
-replaces the manifest, so that readers see all tables of a transaction or none. There is
-one writer at a time; readers keep the snapshot they began with.
+"""Entity tables in a folder, dealt into buckets by uuid, and manifests that say which files are current.
+
+Parquet has no updates in place. A write makes new files for the buckets that it touches
+and then adds a manifest with the next number, so that readers see all tables of a
+transaction or none, and keep the manifest they began with. A manifest is put in place
+only if no other has its number: of two writers the second begins again on the first
+one's result or, where both touched the same, fails. The folder's file system must rename
+atomically and refuse to rename over a file, as HDFS does.
 """
 
 from __future__ import annotations
 
-import json
+import time
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantType
 
-from ..errors import DuplicateEntity, EntityNotFound, TransactionFailed, VersionConflict, translating
+from ..errors import CommitConflict, DuplicateEntity, EntityNotFound, PersistenceError, TransactionFailed, VersionConflict, spark_errors, translated
 from ..functions import files
+from .manifests import Entry, Manifest, Manifests
 
 Stage = Callable[[DataFrame], DataFrame]
 
@@ -24,11 +29,23 @@ Stage = Callable[[DataFrame], DataFrame]
 HANDLERS = ("index", "embed", "version", "cascade")
 
 
+def _ordered(kind: DataType) -> bool:
+    """Whether values of a type can be compared."""
+    if isinstance(kind, StructType):
+        return all(_ordered(f.dataType) for f in kind.fields)
+    return _ordered(kind.elementType) if isinstance(kind, ArrayType) else not isinstance(kind, (MapType, VariantType))
+
+
 def unique(rows: DataFrame, key: str = "uuid") -> DataFrame:
-    """One row of each key: the one updated last, of those the greatest by all columns."""
+    """One row of each key: the one updated last, of those the greatest by all columns in turn.
+
+    Columns that have no order (maps, variants) are compared as JSON, behind the others.
+    """
     times = [F.col("updated_at")] if "updated_at" in rows.columns else []
-    whole = F.struct(*rows.columns)
-    return rows.groupBy(key).agg(F.max_by(whole, F.struct(*times, F.to_json(whole))).alias("row")).select("row.*")
+    plain = [F.col(f.name) for f in rows.schema.fields if _ordered(f.dataType)]
+    others = [F.to_json(F.struct(f.name)) for f in rows.schema.fields if not _ordered(f.dataType)]
+    order = F.struct(*(c.alias(f"c{i}") for i, c in enumerate([*times, *plain, *others])))
+    return rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), order).alias("row")).select("row.*")
 
 
 def merged(old: DataFrame, new: DataFrame, key: str = "uuid") -> DataFrame:
@@ -76,93 +93,315 @@ def nulled_references(rows: DataFrame, column: str, deleted: DataFrame, key: str
     return joined.withColumn(column, F.when(F.col("__gone").isNull(), F.col(column))).drop("__gone")
 
 
-class EntityStore:
-    """Tables of entities with a unique `uuid`, below one folder."""
+#: Bytes of a bucket, on average, beyond which a table is dealt anew into more of them.
+BUCKET_BYTES = 64 << 20
+#: Buckets of a new table.
+BUCKETS = 8
+#: How often a single operation is tried when other writers come in between.
+TRIES = 10
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-        self._path = spark._jvm.org.apache.hadoop.fs.Path
-        self._files = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+_BUCKET = "bucket__"
 
-    # The manifest --------------------------------------------------------------------
 
-    def _manifest(self) -> dict[str, str]:
-        at = self._path(f"{self.root}/manifest.json")
-        if not self._files.exists(at):
-            return {}
-        return json.loads(self.spark.read.text(f"{self.root}/manifest.json", wholetext=True).first()[0])
+def _bucket(buckets: int, key: str = "uuid") -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
-    def commit(self, tables: dict[str, DataFrame]) -> None:
-        """Writes all tables, then makes all of them current at once; TransactionFailed if that fails."""
-        now = self._manifest()
-        staged = {}
-        for name, rows in tables.items():
-            staged[name] = f"{name}/{uuid.uuid4().hex}"
-            with translating(name, TransactionFailed):
-                rows.write.parquet(f"{self.root}/{staged[name]}")
-        self._files.mkdirs(self._path(self.root))
-        fresh = self._path(f"{self.root}/manifest.{uuid.uuid4().hex}")
-        out = self._files.create(fresh)
-        out.write(bytearray(json.dumps(now | staged).encode()))
-        out.close()
-        at = self._path(f"{self.root}/manifest.json")
-        context = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri(), self.spark._jsc.hadoopConfiguration())
-        overwrite = self.spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        options = self.spark.sparkContext._gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        options[0] = overwrite
-        context.rename(fresh, at, options)
-
-    # Reading -------------------------------------------------------------------------
+
+class Snapshot:
+    """The tables of one manifest: what is read from it never sees a later commit."""
+
+    def __init__(self, store: EntityStore, manifest: Manifest):
+        self.store, self.manifest = store, manifest
+
+    def _entry(self, name: str) -> Entry | None:
+        return self.manifest.tables.get(name)
+
+    def _known(self, name: str) -> Entry:
+        entry = self._entry(name)
+        if entry is None:
+            raise EntityNotFound(f"there is no table {name}")
+        return entry
+
+    def _rows(self, entry: Entry, buckets=None) -> DataFrame:
+        """The rows of some buckets of an entry, or of all."""
+        schema = StructType.fromJson(entry.schema)
+        paths = [f"{self.store.root}/{path}" for k, (path, _, _) in entry.buckets.items() if buckets is None or k in buckets]
+        return self.store.spark.read.schema(schema).parquet(*paths) if paths else self.store.spark.createDataFrame([], schema)
 
     def tables(self) -> list[str]:
-        return sorted(self._manifest())
+        return sorted(self.manifest.tables)
 
     def read(self, name: str) -> DataFrame:
-        where = self._manifest().get(name)
-        if where is None:
-            raise EntityNotFound(f"there is no table {name}")
-        return self.spark.read.parquet(f"{self.root}/{where}")
+        with spark_errors(name):
+            return self._rows(self._known(name))
+
+    def query(self, name: str, ask: Callable[[DataFrame], DataFrame]) -> list:
+        """The rows of `ask` applied to a table; what is wrong with it is QueryFailed."""
+        with spark_errors(name):
+            return ask(self.read(name)).collect()
 
     def find(self, name: str, key) -> DataFrame:
-        return self.read(name).filter(F.col("uuid") == key).limit(1)
+        """The row of a key, or none; only its bucket is read."""
+        with spark_errors(name):
+            entry = self._known(name)
+            kind = StructType.fromJson(entry.schema)["uuid"].dataType
+            (at,) = self.store.spark.sql("SELECT 1").select(F.pmod(F.xxhash64(F.lit(key).cast(kind)), F.lit(entry.dealt)).cast("int")).first()
+            return self._rows(entry, {at}).filter(F.col("uuid") == key).limit(1)
 
     def get(self, name: str, key):
         """The row of a key; EntityNotFound without one."""
-        row = self.find(name, key).first()
+        found = self.find(name, key)
+        with spark_errors(name):
+            row = found.first()
         if row is None:
             raise EntityNotFound(f"{name} has no {key}")
         return row
 
     def count(self, name: str) -> int:
-        return self.read(name).count()
+        """How many rows a table has, by its manifest."""
+        return sum(rows for _, _, rows in self._known(name).buckets.values())
+
+
+class Transaction(Snapshot):
+    """Reads of one manifest and writes that become current together, with `commit`.
+
+    Reads see the transaction's own writes. It fails with CommitConflict if another commit
+    has since changed a table that it read whole, or a bucket that it writes.
+    """
+
+    def __init__(self, store: EntityStore, manifest: Manifest):
+        super().__init__(store, manifest)
+        self.changes: dict[str, Entry] = {}
+        self.touched: dict[str, set[int] | None] = {}  # None: all buckets
+        self.seen: set[str] = set()
+
+    def _entry(self, name):
+        return self.changes.get(name) or super()._entry(name)
+
+    def read(self, name):
+        self.seen.add(name)
+        return super().read(name)
+
+    # Files ---------------------------------------------------------------------------
+
+    def _staged(self, name: str, rows: DataFrame, dealt: int, kind: str = "rows") -> dict[int, tuple[str, int, int]]:
+        """Writes rows by bucket; path, bytes and rows of each bucket that has any."""
+        where = f"{name}/{kind}-{uuid.uuid4().hex}"
+        path = f"{self.store.root}/{where}"
+        try:
+            rows.withColumn(_BUCKET, _bucket(dealt)).repartition(_BUCKET).write.partitionBy(_BUCKET).parquet(path)
+            sizes = self.store.manifests.sizes(where, f"{_BUCKET}=")
+            if not sizes:
+                return {}
+            counts = dict(self.store.spark.read.parquet(path).groupBy(_BUCKET).count().collect())  # from the footers
+        except Exception as e:
+            found = translated(e, name)
+            raise (TransactionFailed(str(found)) if type(found) is PersistenceError else found) from e
+        return {k: (f"{where}/{_BUCKET}={k}", size, counts.get(k, 0)) for k, size in sizes.items()}
+
+    def _incoming(self, name: str, rows: DataFrame, dealt: int) -> tuple[DataFrame, set[int]]:
+        """Rows written once, as they may come out otherwise the next time, and the buckets they are for."""
+        staged = self._staged(name, rows, dealt, "incoming")
+        paths = [f"{self.store.root}/{path}" for path, _, _ in staged.values()]
+        spark = self.store.spark
+        return (spark.read.schema(rows.schema).parquet(*paths) if paths else spark.createDataFrame([], rows.schema)), set(staged)
+
+    def _put(self, name: str, rows: DataFrame, touched: set[int] | None) -> None:
+        """Rows in place of the touched buckets, or of all; deals the table anew where buckets have grown too large."""
+        old = self._entry(name)
+        dealt = old.dealt if old else self.store.buckets
+        new = self._staged(name, rows, dealt)
+        kept = {} if touched is None or old is None else {k: v for k, v in old.buckets.items() if k not in touched}
+        entry = Entry(rows.schema.jsonValue(), dealt, kept | new)
+        total = sum(size for _, size, _ in entry.buckets.values())
+        if total > self.store.bucket_bytes * dealt:
+            while total * 2 > self.store.bucket_bytes * dealt:
+                dealt *= 2
+            entry, touched = Entry(entry.schema, dealt, self._staged(name, self._rows(entry), dealt)), None
+        self.changes[name] = entry
+        before = self.touched.get(name, set())
+        self.touched[name] = None if touched is None or before is None or old is None else before | touched
+
+    # Writes --------------------------------------------------------------------------
+
+    def replace(self, name: str, rows: DataFrame) -> None:
+        """`rows` in place of the whole table."""
+        self._put(name, rows, None)
+
+    def save(self, name: str, rows: DataFrame) -> None:
+        """Upsert; of rows with one uuid one stays, see `unique`."""
+        entry = self._entry(name)
+        if entry is None:
+            self._put(name, unique(rows), None)
+            return
+        known = {f.name: f.dataType for f in StructType.fromJson(entry.schema).fields}
+        if any(known.get(f.name, f.dataType) != f.dataType for f in rows.schema.fields):
+            self._put(name, merged(self.read(name), rows), None)  # a column gets another type
+            return
+        rows, touched = self._incoming(name, rows, entry.dealt)
+        self._put(name, merged(self._rows(entry, touched), rows), touched)
+
+    def insert(self, name: str, rows: DataFrame, *keys: str) -> None:
+        """Adds rows; DuplicateEntity if a unique key is stored already or comes twice."""
+        keys = keys or ("uuid",)
+        entry = self._entry(name)
+        touched = None
+        if entry is not None:
+            rows, touched = self._incoming(name, rows, entry.dealt)
+        there = rows.limit(0) if entry is None else self._rows(entry, touched) if keys == ("uuid",) else self.read(name)
+        twice = rows.groupBy(*keys).count().filter("count > 1")
+        if not rows.join(there.select(*keys), list(keys), "left_semi").isEmpty() or not twice.isEmpty():
+            raise DuplicateEntity(f"{name}: {', '.join(keys)} must be unique")
+        old = rows.limit(0) if entry is None else self._rows(entry, touched)
+        self._put(name, old.unionByName(rows), touched)
+
+    def delete(self, name: str, keys: DataFrame, before: list[Stage] = ()) -> DataFrame | None:
+        """Deletes keys; the rows that went, None where no key is there."""
+        entry = self._known(name)
+        kind = StructType.fromJson(entry.schema)["uuid"].dataType
+        keys, touched = self._incoming(name, keys.select(F.col("uuid").cast(kind).alias("uuid")).distinct(), entry.dealt)
+        old = self._rows(entry, touched)
+        gone = old.join(keys, "uuid", "left_semi")
+        if gone.isEmpty():
+            return None
+        for stage in before:
+            stage(gone)
+        self._put(name, without(old, keys), touched)
+        return gone
+
+    def delete_where(self, name: str, condition: Column) -> int:
+        """Deletes rows that meet a condition; how many. Only their buckets are written."""
+        entry = self._known(name)
+        found = self._rows(entry).filter(condition).groupBy(_bucket(entry.dealt).alias("b")).count().collect()
+        if found:
+            touched = {r["b"] for r in found}
+            self._put(name, self._rows(entry, touched).filter(~F.coalesce(condition, F.lit(False))), touched)
+        return sum(r["count"] for r in found)
+
+    def clear(self, name: str) -> int:
+        """Deletes all rows of a table without reading them; the table stays."""
+        entry = self._known(name)
+        n = self.count(name)
+        self.changes[name], self.touched[name] = Entry(entry.schema, entry.dealt, {}), None
+        return n
+
+    def swap(self, name: str, rows: DataFrame) -> DataFrame:
+        """Compare and set: rows whose version is stored are written, the conflicts returned."""
+        entry = self._known(name)
+        rows, touched = self._incoming(name, rows, entry.dealt)
+        old = self._rows(entry, touched)
+        if not rows.join(old.select("uuid"), "uuid", "left_anti").isEmpty():
+            raise EntityNotFound(f"{name}: a key is missing")
+        applied, conflicts = compare_and_set(old, rows)
+        self._put(name, merged(old, applied), touched)
+        return conflicts
+
+    def mark_synced(self, name: str, confirmed: DataFrame) -> None:
+        """See marked_synced."""
+        entry = self._known(name)
+        confirmed, touched = self._incoming(name, confirmed, entry.dealt)
+        self._put(name, marked_synced(self._rows(entry, touched), confirmed), touched)
+
+    # The end -------------------------------------------------------------------------
+
+    def _conflict(self, name: str, now: Manifest) -> bool:
+        mine, theirs, touched = self.manifest.tables.get(name), now.tables.get(name), self.touched.get(name)
+        if mine == theirs:
+            return False
+        if mine is None or theirs is None or name in self.seen or touched is None or (mine.schema, mine.dealt) != (theirs.schema, theirs.dealt):
+            return True
+        return any(mine.buckets.get(k) != theirs.buckets.get(k) for k in touched)
+
+    def commit(self) -> None:
+        """Makes all writes current at once, or none: CommitConflict."""
+        while self.changes:
+            now = self.store.manifests.latest()
+            if bad := [n for n in sorted(self.seen | set(self.changes)) if self._conflict(n, now)]:
+                raise CommitConflict(f"{', '.join(bad)}: changed by another commit")
+            tables = dict(now.tables)
+            for name, entry in self.changes.items():
+                touched = self.touched[name]
+                others = {} if touched is None else {k: v for k, v in tables[name].buckets.items() if k not in touched}
+                own = entry.buckets if touched is None else {k: v for k, v in entry.buckets.items() if k in touched}
+                tables[name] = Entry(entry.schema, entry.dealt, others | own)
+            if self.store.manifests.put(Manifest(now.version + 1, tables)):
+                self.manifest, self.changes, self.touched, self.seen = Manifest(now.version + 1, tables), {}, {}, set()
+
+
+class EntityStore:
+    """Tables of entities with a unique `uuid`, below one folder."""
+
+    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS, bucket_bytes: int = BUCKET_BYTES):
+        self.spark, self.root, self.buckets, self.bucket_bytes = spark, root.rstrip("/"), buckets, bucket_bytes
+        self.manifests = Manifests(spark, self.root)
+
+    def snapshot(self) -> Snapshot:
+        """The tables as they are now, for several reads of one state."""
+        return Snapshot(self, self.manifests.latest())
+
+    def transaction(self) -> Transaction:
+        return Transaction(self, self.manifests.latest())
+
+    def _tried(self, name: str, write: Callable[[Transaction], object]):
+        """One operation in a transaction of its own, begun again where another writer was faster."""
+        for last in [*[False] * (TRIES - 1), True]:
+            transaction = self.transaction()
+            with spark_errors(name):
+                result = write(transaction)
+            try:
+                transaction.commit()
+                return result
+            except CommitConflict:
+                if last:
+                    raise
+
+    def commit(self, tables: dict[str, DataFrame]) -> None:
+        """Puts all tables in place at once, whatever was there; TransactionFailed if that fails."""
+
+        def write(transaction):
+            for name, rows in tables.items():
+                transaction.replace(name, rows)
+
+        self._tried(", ".join(tables), write)
+
+    def tables(self) -> list[str]:
+        return self.snapshot().tables()
+
+    def read(self, name: str) -> DataFrame:
+        return self.snapshot().read(name)
+
+    def query(self, name: str, ask: Callable[[DataFrame], DataFrame]) -> list:
+        return self.snapshot().query(name, ask)
+
+    def find(self, name: str, key) -> DataFrame:
+        return self.snapshot().find(name, key)
 
-    # Writing -------------------------------------------------------------------------
+    def get(self, name: str, key):
+        return self.snapshot().get(name, key)
+
+    def count(self, name: str) -> int:
+        return self.snapshot().count(name)
 
     def save(self, name: str, rows: DataFrame, touch: Column | None = None, before: list[Stage] = (), after: list[Stage] = (), handlers: dict[str, Stage] | None = None) -> DataFrame:
         """Upsert. `before` stages change the rows and may raise; `after` stages see the result.
 
         handlers: stages by name, which run behind those of `after` in the order of HANDLERS.
         """
+        if unknown := set(handlers or ()) - set(HANDLERS):
+            raise ValueError(f"handlers are {', '.join(HANDLERS)}, not {', '.join(sorted(unknown))}")
         if touch is not None:
             rows = rows.withColumn("updated_at", touch)
         for stage in before:
             rows = stage(rows)
-        self.commit({name: merged(self.read(name), rows) if name in self._manifest() else rows})
+        self._tried(name, lambda t: t.save(name, rows))
         saved = self.read(name)
-        if unknown := set(handlers or ()) - set(HANDLERS):
-            raise ValueError(f"handlers are {', '.join(HANDLERS)}, not {', '.join(sorted(unknown))}")
         for stage in [*after, *(handlers[h] for h in HANDLERS if handlers and h in handlers)]:
             stage(saved)
         return saved
 
-    def insert(self, name: str, rows: DataFrame, *unique: str) -> None:
+    def insert(self, name: str, rows: DataFrame, *keys: str) -> None:
         """Adds rows; DuplicateEntity if a unique key is stored already or comes twice."""
-        unique = unique or ("uuid",)
-        old = self.read(name) if name in self._manifest() else rows.limit(0)
-        twice = rows.groupBy(*unique).count().filter("count > 1")
-        if not rows.join(old.select(*unique), list(unique), "left_semi").isEmpty() or not twice.isEmpty():
-            raise DuplicateEntity(f"{name}: {', '.join(unique)} must be unique")
-        self.commit({name: old.unionByName(rows)})
+        self._tried(name, lambda t: t.insert(name, rows, *keys))
 
     def delete(self, name: str, keys: DataFrame, before: list[Stage] = (), after: list[Stage] = ()) -> int:
         """Deletes keys, missing ones are ignored; how many rows went.
@@ -170,36 +409,24 @@ class EntityStore:
         `before` stages see the rows that will go and may raise, `after` stages the rows
         that went; neither runs where no key is there.
         """
-        gone = self.read(name).join(keys.select("uuid").distinct(), "uuid", "left_semi")
-        if (before or after) and gone.isEmpty():
+        gone = self._tried(name, lambda t: t.delete(name, keys, before))
+        if gone is None:
             return 0
-        for stage in before:
-            stage(gone)
-        n = self.delete_where(name, keys=keys)
         for stage in after:
-            stage(gone)  # read from the snapshot before
-        return n
+            stage(gone)  # read from the files before, which stay until a vacuum
+        return gone.count()
 
     def clear(self, name: str) -> int:
         """Deletes all rows of a table; the table stays."""
-        return self.delete_where(name, F.lit(True))
+        return self._tried(name, lambda t: t.clear(name))
 
-    def delete_where(self, name: str, condition: Column | None = None, keys: DataFrame | None = None) -> int:
-        old = self.read(name)
-        left = old.filter(~F.coalesce(condition, F.lit(False))) if keys is None else without(old, keys)
-        before = old.count()
-        self.commit({name: left})
-        return before - self.count(name)
+    def delete_where(self, name: str, condition: Column) -> int:
+        """Deletes rows that meet a condition; how many."""
+        return self._tried(name, lambda t: t.delete_where(name, condition))
 
     def swap(self, name: str, rows: DataFrame) -> DataFrame:
         """Compare and set: rows whose version is stored are written, the conflicts returned."""
-        old = self.read(name)
-        missing = rows.join(old.select("uuid"), "uuid", "left_anti")
-        if not missing.isEmpty():
-            raise EntityNotFound(f"{name}: a key is missing")
-        applied, conflicts = compare_and_set(old, rows)
-        self.commit({name: merged(old, applied)})
-        return conflicts
+        return self._tried(name, lambda t: t.swap(name, rows))
 
     def swap_one(self, name: str, row: DataFrame) -> None:
         if not self.swap(name, row).isEmpty():
@@ -207,7 +434,14 @@ class EntityStore:
 
     def mark_synced(self, name: str, confirmed: DataFrame) -> None:
         """See marked_synced."""
-        self.commit({name: marked_synced(self.read(name), confirmed)})
+        self._tried(name, lambda t: t.mark_synced(name, confirmed))
+
+    def vacuum(self, age_seconds: float = 7 * 24 * 3600) -> int:
+        """Removes manifests older than that, but for the current one, and files that no other names; how many folders.
+
+        Readers and writers that began longer ago than the age lose their files.
+        """
+        return self.manifests.vacuum(int((time.time() - age_seconds) * 1000))
 
 
 class BlobStore:
