@@ -2,23 +2,87 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors
 
-#: Query vectors of a block; a task meets some items with one block.
-BLOCK = 1_000
+#: Items and queries of a block, about; a task holds one of each.
+ITEMS, QUERIES = 16_384, 1_024
+#: Items whose distances to a block of queries are computed at once.
+_AT_ONCE = 4_096
+#: By how much the product of two blocks may be off, as a share of the vectors' lengths.
+_MARGIN = 1e-9
 
 _METRICS = {"cosine": vectors.cosine_distance, "euclidean": vectors.euclidean_distance}
 
 
-def _paired(queries: DataFrame, items: DataFrame, metric: str) -> DataFrame:
-    """Each item with each query. The queries are dealt into blocks, so that no task and no driver holds all of them."""
-    blocks = max(1, -(-queries.count() // BLOCK))
-    dealt = queries.select("query_id", vectors.doubles(F.col("vector")).alias("q")).repartition(blocks)
-    d = _METRICS[metric](F.col("q"), vectors.doubles(F.col("vector")))
-    return items.crossJoin(dealt.hint("shuffle_replicate_nl")).select("query_id", "item_id", d.alias("distance"))
+def _matrix(table: pa.Table) -> np.ndarray:
+    """The vectors of a table as rows of a matrix."""
+    column = table["vector"].combine_chunks()
+    column = column if isinstance(column, pa.Array) else pa.concat_arrays(column.chunks)
+    sizes = np.diff(np.asarray(column.offsets))
+    if len(sizes) and (sizes != sizes[0]).any():
+        raise ValueError("vectors differ in length")
+    return np.asarray(column.flatten(), np.float64).reshape(len(sizes), sizes[0] if len(sizes) else 0)
+
+
+def _distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
+    """Row by row, summed in the order of the column expressions: equal vectors have equal distances."""
+    total = lambda x: np.cumsum(x, 1)[:, -1] if x.shape[1] else np.zeros(len(x))
+    if metric == "euclidean":
+        return np.sqrt(total((a - b) ** 2))
+    length = np.sqrt(total(a * a)) * np.sqrt(total(b * b))
+    return 1 - np.divide(total(a * b), length, out=np.zeros(len(a)), where=length > 0)
+
+
+def block_nearest(x: np.ndarray, q: np.ndarray, k: int, metric: str = "cosine") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """query, item, distance of the k nearest rows of x to each row of q, of equals the first rows.
+
+    Products of blocks choose all that may be among the k; these are computed anew, exactly.
+    """
+    if not len(x) or not len(q):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    if x.shape[1] != q.shape[1]:
+        raise ValueError("vectors differ in length")
+    if metric == "cosine":  # half the squared distance of unit vectors is 1 - cosine
+        unit = lambda v: np.divide(v, n := np.linalg.norm(v, axis=1, keepdims=True), out=np.zeros_like(v), where=n > 0)
+        xs, qs, own, scale = unit(x), unit(q), np.zeros(len(x)), np.ones((len(q), 1))
+    else:
+        xs, qs, own = x, q, (x * x).sum(1) / 2
+        scale = ((q * q).sum(1) + 2 * own.max() + 1)[:, None]
+    found = []
+    for at in range(0, len(x), _AT_ONCE):
+        near = own[at : at + _AT_ONCE] - qs @ xs[at : at + _AT_ONCE].T
+        kth = np.partition(near, k - 1, 1)[:, k - 1 : k] if near.shape[1] > k else near.max(1, keepdims=True)
+        query, item = np.nonzero(near <= kth + _MARGIN * scale)
+        found.append((query, item + at))
+    query, item = (np.concatenate(c) for c in zip(*found))
+    distance = _distances(q[query], x[item], metric)
+    order = np.lexsort((item, distance, query))
+    query, item, distance = query[order], item[order], distance[order]
+    place = np.arange(len(query)) - np.searchsorted(query, query)
+    return query[place < k], item[place < k], distance[place < k]
+
+
+def _of_block(k: int, metric: str):
+    def run(items, queries):
+        items = items.take(pc.sort_indices(items, [("item_id", "ascending")]))
+        x, q = _matrix(items), _matrix(queries)
+        if x.size and len(q):
+            # Of equal vectors only the k with the least ids can be among the nearest.
+            _, copy = np.unique(x.view(np.dtype((np.void, x.itemsize * x.shape[1]))).ravel(), return_inverse=True)
+            order = np.argsort(copy, kind="stable")
+            place = np.arange(len(copy)) - np.searchsorted(copy[order], copy[order])
+            keep = np.sort(order[place < k])
+            items, x = items.take(pa.array(keep)), x[keep]
+        query, item, distance = block_nearest(x, q, k, metric)
+        return pa.table([queries["query_id"].take(pa.array(query)), items["item_id"].take(pa.array(item)), pa.array(distance)], ["query_id", "item_id", "distance"])
+
+    return run
 
 
 def nearest(items: DataFrame, query: list[float], k: int = 10, metric: str = "cosine", least_similarity: float | None = None) -> DataFrame:
@@ -31,12 +95,24 @@ def nearest(items: DataFrame, query: list[float], k: int = 10, metric: str = "co
 
 
 def nearest_each(items: DataFrame, queries: DataFrame, k: int, metric: str = "cosine") -> DataFrame:
-    """query_id, item_id, distance, rank of the k nearest items of each query.
+    """query_id, item_id, distance, rank of the k nearest items of each query; ties by id.
 
-    Any number of queries. Ranks are cut in every task before the shuffle (Spark pushes
-    a rank limit below the exchange), so a query moves k rows a task.
+    Any number of both. They are dealt into blocks; each block of items meets each block
+    of queries in one task, as a product of matrices, of which k rows a query are left:
+    what is exchanged behind it are queries x k x blocks of items. Rows without a vector
+    are left out; it is an error if vectors differ in length.
     """
-    pairs = _paired(queries, items, metric)
+    items = items.filter("vector IS NOT NULL").select("item_id", vectors.doubles(F.col("vector")).alias("vector"))
+    queries = queries.filter("vector IS NOT NULL").select("query_id", vectors.doubles(F.col("vector")).alias("vector"))
+    rows, columns = max(1, -(-items.count() // ITEMS)), max(1, -(-queries.count() // QUERIES))
+
+    def dealt(df: DataFrame, own: str, n: int, other: str, m: int) -> DataFrame:
+        block = F.pmod(F.xxhash64(df.columns[0]), F.lit(n)).cast("int")
+        return df.withColumns({own: block, other: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))})
+
+    kinds = {c: df.schema[c].dataType.simpleString() for df, c in ((queries, "query_id"), (items, "item_id"))}
+    cells = dealt(items, "i", rows, "j", columns).groupBy("i", "j").cogroup(dealt(queries, "j", columns, "i", rows).groupBy("i", "j"))
+    pairs = cells.applyInArrow(_of_block(k, metric), f"query_id {kinds['query_id']}, item_id {kinds['item_id']}, distance double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "item_id"))
     return pairs.withColumn("rank", rank).filter(F.col("rank") <= k)
 

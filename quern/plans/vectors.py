@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..operators import search
+from ..operators import neighbours, search
 from ..sources.views import table
 from .registry import query
 
@@ -81,3 +81,19 @@ def vec_normalised(spark, sf_dir):
     items = _items(spark, sf_dir)
     unit = V.normalised(V.doubles(F.col("vector")))
     return items.select("item_id", F.round(V.norm(unit), 4).alias("length"), V.similarity_label(F.col("label") / 10).alias("text"))
+
+
+@query()
+def vec_graph_knn(spark, sf_dir):
+    """The five nearest by the neighbour graph, approximate; tests/test_neighbours.py measures the recall."""
+    items = _items(spark, sf_dir).select("item_id", "vector")
+    queries = items.filter("item_id % 100 = 0").withColumnRenamed("item_id", "query_id")
+    found = neighbours.searched(items, neighbours.graph(items), queries, 5)
+    return found.select("query_id", "item_id", F.round("distance", 6).alias("distance"), F.col("rank").cast("long").alias("rank"))
+
+
+@query("""SELECT least(24, (SELECT count(*) FROM embeddings) - 1) AS connections, count(*) AS items FROM embeddings""")
+def vec_graph_degrees(spark, sf_dir):
+    """How many items of the neighbour graph have how many neighbours: each has as many as it may."""
+    found = neighbours.statistics(neighbours.graph(_items(spark, sf_dir).select("item_id", "vector")))
+    return found.select(F.col("connections").cast("long").alias("connections"), "items")
