@@ -17,6 +17,17 @@ def last_writer_wins(local: DataFrame, remote: DataFrame) -> DataFrame:
     return _chosen(_both(local, remote), newer)
 
 
+def pulled(local: DataFrame, changes: DataFrame) -> DataFrame:
+    """The rows of `local` after `changes` (each uuid once): the newer copy whole, of equally old ones the changed.
+
+    The same rows as `last_writer_wins` gives, for any columns; what was merged before
+    changes nothing when it comes again.
+    """
+    known = local.select("uuid", F.col("updated_at").alias("__known"))
+    newer = changes.join(known, "uuid", "left").filter("__known IS NULL OR NOT coalesce(__known > updated_at, false)").drop("__known")
+    return local.join(newer.select("uuid"), "uuid", "left_anti").unionByName(newer, allowMissingColumns=True)
+
+
 def resolved(local: DataFrame, remote: DataFrame, keep: str) -> DataFrame:
     """Every conflict decided for one side, whatever the clocks say."""
     if keep not in ("local", "remote"):

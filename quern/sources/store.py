@@ -241,6 +241,16 @@ class Transaction(Snapshot):
         rows, touched = self._incoming(name, rows, entry.dealt)
         self._put(name, merged(self._rows(entry, touched), rows), touched)
 
+    def combine(self, name: str, rows: DataFrame, how: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
+        """`how(old, rows)` in place of the buckets that rows (each uuid once) belong to; a missing table counts as empty."""
+        entry = self._entry(name)
+        if entry is None:
+            self._put(name, how(rows.limit(0), rows), None)
+            return
+        rows, touched = self._incoming(name, rows, entry.dealt)
+        if touched:
+            self._put(name, how(self._rows(entry, touched), rows), touched)
+
     def insert(self, name: str, rows: DataFrame, *keys: str) -> None:
         """Adds rows; DuplicateEntity if a unique key is stored already or comes twice."""
         keys = keys or ("uuid",)
