@@ -107,7 +107,7 @@ def read_cache(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], CACHE)
 
 
-def _encoder(tokenizer: str):
+def _encoder(tokenizer: str, encoded=None):
     """counts(texts) of an Arrow column, in pieces of bounded bytes."""
 
     def counts(column: pa.Array) -> np.ndarray:
@@ -117,54 +117,62 @@ def _encoder(tokenizer: str):
         at, out = textkit.packed(column)[1], []
         for i, j in textkit.pieces(at):
             out += count_tokens(column.slice(i, j - i).to_pylist(), tokenizer)
+        if encoded is not None:
+            encoded.add(len(out))
         return np.array(out, np.int64)
 
     return counts
 
 
-def counted(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", cache: str | None = None, limit: int = 512) -> DataFrame:
+def counted(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", cache: str | None = None, limit: int = 512, encoded=None) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every row of docs.
 
     A null text counts as empty (0 tokens). Repeated rows and ids each give a row; other
     columns are not read. Very long texts are encoded whole. The cache's counts are trusted
-    for their tokenizer version; `cache` is a folder that all executors reach, by default
-    a new one below spark.checkpoint.dir. Texts are read as they are: this tokenizer's own
-    normalisation is part of its encoding, so contents are normalised only by null becoming
-    empty.
-
-    Only digests are shuffled to find the misses. Two bitmaps of bounded size then tell each
-    row whether its content may be a miss, and whether another row may have it too: a
-    content that certainly no other row has is encoded where it is read, the others meet
-    by digest first. A bitmap that is full sends all of them that way.
+    for their tokenizer version, whatever is in it twice; `cache` is a folder that all
+    executors reach, by default a new one below spark.checkpoint.dir. Texts are read as they
+    are: this tokenizer's own normalisation is part of its encoding, so contents are
+    normalised only by null becoming empty. encoded: an accumulator that is told how many
+    texts were encoded.
+
+    Digests alone are shuffled to find the misses. Two bitmaps of bounded size route the
+    contents: what certainly is no miss goes no further; what certainly is one, and in no
+    other row, is encoded where it is read; all others meet by digest, are joined to the
+    misses and encoded once each. So exactly the distinct misses are encoded, each once,
+    however full the bitmaps are: full ones only send more contents to that join.
     """
     spark = docs.sparkSession
     path, tag = cache or f"{shared_folder(spark)}/token_counts", version(tokenizer)
     text = F.coalesce(F.col("text"), F.lit(""))
     digest = F.sha2(text.cast("binary"), 256).alias("digest")
     rows = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), digest))
-    cached = read_cache(spark, path).filter(F.col("version") == tag).select("digest")
-    misses = rows.groupBy("digest").agg(F.count("*").alias("n")).join(cached, "digest", "left_anti")
-    misses = stored(misses.withColumn("key", F.xxhash64("digest")))
-    context, counts = spark.sparkContext, _encoder(tokenizer)
-    missing = context.broadcast(None if cached.isEmpty() else Bitmap(misses, "key"))  # 16 MB at most
-    repeated = context.broadcast(Bitmap(misses.filter("n > 1"), "key"))
+    distinct = rows.groupBy("digest").agg(F.count("*").alias("n")).withColumn("key", F.xxhash64("digest"))
+    cached = read_cache(spark, path).filter(F.col("version") == tag).select("digest").distinct().withColumn("cached", F.lit(True))
+    empty = cached.isEmpty()
+    known = stored(distinct.withColumn("cached", F.lit(False)) if empty else distinct.join(cached, "digest", "left").withColumn("cached", F.coalesce("cached", F.lit(False))))
+    context, counts = spark.sparkContext, _encoder(tokenizer, encoded)
+    missing = context.broadcast(None if empty else Bitmap(known.filter("NOT cached"), "key"))  # 16 MB at most
+    shared = context.broadcast(Bitmap(known.filter("cached OR n > 1"), "key"))
 
     def encode_alone(batch):
         key = np.asarray(batch.column("key")).view(np.uint64)
         wanted = missing.value.may_have(key) if missing.value else np.ones(len(key), bool)
-        batch, later = batch.filter(pa.array(wanted)), repeated.value.may_have(key[wanted])
+        batch, later = batch.filter(pa.array(wanted)), shared.value.may_have(key[wanted])
         n = np.zeros(batch.num_rows, np.int64)
         n[~later] = counts(batch.column("text").filter(pa.array(~later)))
         texts = pc.if_else(pa.array(later), batch.column("text"), pa.scalar(None, batch.column("text").type))
         return pa.record_batch([batch.column("digest"), pa.array(n, mask=later), texts], ["digest", "n_tokens", "text"])
 
     def encode(batch):
-        return pa.record_batch([batch.column("digest"), pa.array(counts(batch.column("text")))], ["digest", "n_tokens"])
+        n, open_ = batch.column("n_tokens"), batch.column("n_tokens").is_null()
+        out = np.asarray(n.fill_null(0)).copy()
+        out[np.asarray(open_)] = counts(batch.column("text").filter(open_))
+        return pa.record_batch([batch.column("digest"), pa.array(out)], ["digest", "n_tokens"])
 
     contents = docs.select(digest, text.alias("text")).withColumn("key", F.xxhash64("digest"))
-    found = stored(arrow_map(contents, encode_alone, "digest string, n_tokens long, text string"))
-    distinct = found.filter("n_tokens IS NULL").groupBy("digest").agg(F.first("text").alias("text"))
-    new = found.filter("n_tokens IS NOT NULL").select("digest", "n_tokens").unionByName(arrow_map(distinct, encode, "digest string, n_tokens long"))
-    new.select("digest", F.lit(tag).alias("version"), "n_tokens").write.mode("append").parquet(path)
+    found = arrow_map(contents, encode_alone, "digest string, n_tokens long, text string")
+    once = found.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"), F.first("text", ignorenulls=True).alias("text"))
+    misses = once if empty else once.join(known.filter("NOT cached").select("digest"), "digest", "left_semi")
+    arrow_map(misses, encode, "digest string, n_tokens long").select("digest", F.lit(tag).alias("version"), "n_tokens").write.mode("append").parquet(path)
     counts_ = read_cache(spark, path).filter(F.col("version") == tag).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     return joined(rows, counts_, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

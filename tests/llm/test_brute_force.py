@@ -304,6 +304,29 @@ def test_full_bitmaps_change_nothing(spark, docs, monkeypatch):
     assert Counter(map(tuple, token_counts.counted(docs).collect())) == want
 
 
+@pytest.mark.parametrize("full", [False, True])
+def test_exactly_the_distinct_misses_are_encoded(spark, tmp_path, monkeypatch, full):
+    if full:
+        monkeypatch.setattr(common.Bitmap, "may_have", lambda self, keys: np.ones(len(keys), bool))
+    rows = [(i, f"text number {i % 90}") for i in range(120)] + [(200 + i, "the same text") for i in range(50)] + [(300, None), (301, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    cache, want = f"file://{tmp_path}/cache", Counter((i, token_counts.count_tokens([t or ""], "byte_bpe_50k.json")[0]) for i, t in rows)
+
+    def encoded(df):
+        told = spark.sparkContext.accumulator(0)
+        assert Counter((r["doc_id"], r["n_tokens"]) for r in token_counts.counted(df, cache=cache, encoded=told).collect()) == Counter({k: v for k, v in want.items() if k[0] in {r["doc_id"] for r in df.collect()}})
+        return told.value
+
+    half = docs.filter("doc_id < 40 OR doc_id = 300")
+    assert encoded(half) == 41  # forty texts and the empty one
+    assert encoded(docs) == 92 - 41  # the rest, each once
+    assert encoded(docs) == 0 and spark.read.parquet(cache).count() == 92
+    spark.read.parquet(cache).write.mode("append").parquet(f"{cache}2")
+    spark.read.parquet(cache).limit(50).write.mode("append").parquet(f"{cache}2")  # as two writers at once would leave it
+    cache = f"{cache}2"
+    assert encoded(docs) == 0
+
+
 # URL filters -------------------------------------------------------------------------
 
 
