@@ -18,7 +18,7 @@ the anchor's gram:
 4. Blocks gather the covered stretches of their documents.
 
 Equal suffixes of one block are sent once, with the smallest id; the block itself covers
-the others. A gram that very many documents share is dealt by whole strings instead,
+the others. So does each merge before the last with those of several blocks. A gram that very many documents share is dealt by whole strings instead,
 so that no range grows with it.
 """
 
@@ -407,8 +407,40 @@ class _Layout:
         return self.base + _spread(right[:, :LENGTH], self.count)
 
 
+def _alike(m: _Merged) -> np.ndarray:
+    """A number for each merged suffix, equal for those with the same bytes before and from their anchors."""
+    right = np.cumsum((m.shared < m.size) | (m.size != np.roll(m.size, 1)) | (np.arange(len(m.size)) == 0))
+    hashes = m.before.astype(np.uint64)
+    for j in range(int(m.before.max(initial=0))):
+        has = m.before > j
+        hashes[has] = hashes[has] * np.uint64(0x100000001B3) + m.lefts[m.starts[has] + j] + np.uint64(1)
+    return textkit.mix(right.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + textkit.mix(hashes))
+
+
+def _told(m: _Merged, part: int) -> tuple[np.ndarray, list[tuple]]:
+    """Which suffixes go on to the next level, and what is covered already: rows of runs with a range below zero.
+
+    Of equal strings those of the smallest id stand for all: whatever another document
+    shares with one of the others it shares with them. So a string in every block leaves
+    a merge once, however many runs it came in with.
+    """
+    alike = _alike(m)
+    by = np.argsort(alike, kind="stable")
+    first = np.flatnonzero(np.concatenate([[True], alike[by][1:] != alike[by][:-1]])) if len(by) else by
+    least = np.empty(len(by), np.int64)
+    if len(by):
+        least[by] = np.repeat(np.minimum.reduceat(m.ids[by], first), np.diff(np.append(first, len(by))))
+    gone, out = np.flatnonzero(m.ids > least), []
+    gone = gone[np.argsort(m.blocks[gone], kind="stable")]
+    for own in np.split(gone, np.flatnonzero(np.diff(m.blocks[gone])) + 1) if len(gone) else ():
+        start = m.places[own] - m.before[own]
+        columns = {"ids": m.places[own] + m.size[own] - LENGTH, "rows": m.rows[own], "places": start}
+        out.append((part, -1 - int(m.blocks[own[0]]), *(columns[c].astype("<i4").tobytes() if c in columns else b"" for c in _PACKED)))
+    return np.flatnonzero(m.ids <= least), out
+
+
 def _merged_level(layout: _Layout, level: int):
-    """One run of several neighbours', cut anew for the next level."""
+    """One run of several neighbours', cut anew for the next level, and what these cover of each other."""
     above, width = layout.widths[level - 1], layout.widths[level]
 
     def run(key, table):
@@ -417,8 +449,13 @@ def _merged_level(layout: _Layout, level: int):
         if at < 0:  # what blocks cover by themselves
             return table.set_column(0, "part", pa.array([part] * table.num_rows, pa.int32()))
         m = _Merged(table)
-        ranges = layout.by_order(m.right) if at * above < layout.base else layout.by_string(m.right)
-        return _run_table(_coded(part, ranges // width, m.right, m.shared, m.size, m.before, m.lefts, m.starts, m.ids, m.blocks, m.rows, m.places))
+        stays, told = _told(m, part)
+        # What a suffix shares with the last one that stays is the least of those in between.
+        shared = np.minimum.reduceat(m.shared[: stays[-1] + 1], np.append(0, stays[:-1] + 1)) if len(stays) else stays
+        right = m.right[stays]
+        ranges = layout.by_order(right) if at * above < layout.base else layout.by_string(right)
+        rest = (x[stays] for x in (m.size, m.before))
+        return _run_table(_coded(part, ranges // width, right, shared, *rest, m.lefts, m.starts[stays], m.ids[stays], m.blocks[stays], m.rows[stays], m.places[stays]) + told)
 
     return run
 
