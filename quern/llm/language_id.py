@@ -83,39 +83,103 @@ class LanguageModel:
         return total + self.table[whole] + self.scripts[scripts]
 
 
-def viterbi(scores: np.ndarray, at: np.ndarray, penalty: float) -> np.ndarray:
-    """The best label of every word; rows (words at[i] to at[i + 1]) advance in step."""
-    lengths = np.diff(at)
-    order = np.argsort(-lengths, kind="stable")
-    starts, lengths = at[:-1][order], lengths[order]
-    labels = np.arange(scores.shape[1], dtype=np.int16)
-    back = np.zeros(scores.shape, np.int16)
-    longest = int(lengths[0]) if len(lengths) else 0
-    active = np.searchsorted(-lengths, -np.arange(longest), "left")  # rows longer than each step
-    value = np.zeros((len(order), len(labels)))
-    final = np.zeros(len(order), np.int16)
-    for t in range(longest):
-        n = active[t]
-        if t and active[t - 1] > n:
-            final[n : active[t - 1]] = value[n : active[t - 1]].argmax(1)
-        v, place = value[:n], starts[:n] + t
-        best = v.argmax(1).astype(np.int16)
-        moved = v[np.arange(n), best] - penalty
-        switch = v < moved[:, None]
-        back[place] = np.where(switch, best[:, None], labels)
-        value[:n] = np.where(switch, moved[:, None], v) + scores[place]
-    if longest:
-        final[: active[-1]] = value[: active[-1]].argmax(1)
+#: Words that a row advances by one after the other; longer rows are cut into such blocks, which advance side by side.
+STEPS = 512
+
+
+def viterbi(scores: np.ndarray, at: np.ndarray, penalty: float, steps: int = STEPS) -> np.ndarray:
+    """The best label of every word; rows (words at[i] to at[i + 1]) advance in step.
+
+    A long row is cut into blocks of `steps` words. Each block finds the best way through it
+    from each label to each, all blocks in step; the few blocks of a row are then chained,
+    and the ways that the chain takes are traced back, again in step.
+    """
+    lengths, n = np.diff(at), scores.shape[1]
+    cuts = -(-lengths // steps)
+    row = np.repeat(np.arange(len(lengths)), cuts)
+    nth = np.arange(len(row)) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+    begin = at[:-1][row] + nth * steps
+    size = np.minimum(at[1:][row] - begin, steps)
+    entry = np.full(len(row), -1, np.int16)  # the label of the word before a block
+    later = np.flatnonzero(nth > 0)
+    if len(later):
+        entry[later] = _entries(scores, begin, size, nth, later, penalty)
     out = np.zeros(len(scores), np.int16)
-    state = final
-    for t in range(longest - 1, -1, -1):
-        n = active[t]
-        place = starts[:n] + t
-        out[place] = state[:n]
-        state[:n] = back[place, state[:n]]
+    first = np.full((len(row), n), 0.0)
+    has = entry >= 0
+    first[has] = -penalty
+    first[has, entry[has]] = 0.0
+    last = np.full(len(row), -1, np.int16)
+    last[np.flatnonzero(nth[1:] > 0)] = entry[np.flatnonzero(nth[1:] > 0) + 1]
+    _advance(scores, begin, size, first, penalty, out, last)
     return out
 
 
+def _advance(scores, begin, size, value, penalty, out=None, last=None) -> np.ndarray:
+    """The best sums of blocks by their last label, from `value` before their first word on.
+
+    With `out` the labels of each block's best way are put there, or of its best way that
+    ends in the label `last`, where that is not negative.
+    """
+    order = np.argsort(-size, kind="stable")
+    starts, lengths = begin[order], size[order]
+    value, labels = value[order], np.arange(scores.shape[1], dtype=np.int16)
+    longest = int(lengths[0]) if len(lengths) else 0
+    active = np.searchsorted(-lengths, -np.arange(longest), "left")  # blocks longer than each step
+    back = np.zeros(scores.shape, np.int16) if out is not None else None
+    for t in range(longest):
+        k = active[t]
+        v, place = value[:k], starts[:k] + t
+        if t:
+            best = v.argmax(1).astype(np.int16)
+            moved = v[np.arange(k), best] - penalty
+            switch = v < moved[:, None]
+            if back is not None:
+                back[place] = np.where(switch, best[:, None], labels)
+            value[:k] = np.where(switch, moved[:, None], v) + scores[place]
+        else:
+            value[:k] = v + scores[place]
+    if out is not None and longest:
+        state = value.argmax(1).astype(np.int16)
+        if last is not None:
+            state = np.where(last[order] >= 0, last[order], state).astype(np.int16)
+        for t in range(longest - 1, -1, -1):
+            k = active[t]
+            place = starts[:k] + t
+            out[place] = state[:k]
+            state[:k] = back[place, state[:k]]
+    result = np.empty_like(value)
+    result[order] = value
+    return result
+
+
+def _entries(scores, begin, size, nth, later, penalty) -> np.ndarray:
+    """The label of the word before each of the blocks `later`, on the best way through its whole row."""
+    n = scores.shape[1]
+    # Ways through a block from each label before it: as many blocks again for each label.
+    start = np.full((n, n), -penalty)
+    np.fill_diagonal(start, 0.0)
+    through = np.empty((len(later), n, n))
+    for label in range(n):
+        through[:, label] = _advance(scores, begin[later], size[later], np.broadcast_to(start[label], (len(later), n)).copy(), penalty)
+    heads = np.flatnonzero(nth == 0)
+    long = heads[np.append(nth[1:], 0)[heads] > 0]
+    head = _advance(scores, begin[long], size[long], np.zeros((len(long), n)), penalty)
+    place = {int(b): k for k, b in enumerate(later.tolist())}
+    entry = np.zeros(len(later), np.int16)
+    for k, b in enumerate(long.tolist()):
+        value, back, x = head[k], [], b + 1
+        while x in place and nth[x] > 0:
+            ways = value[:, None] + through[place[x]]
+            back.append(ways.argmax(0))
+            value, x = ways.max(0), x + 1
+        state = int(value.argmax())
+        for y in range(len(back) - 1, -1, -1):
+            state = int(back[y][state])
+            entry[place[b + 1 + y]] = state
+    return entry
+
+
 def fit(docs: DataFrame, most: int = MAX_TRAINING_ROWS) -> LanguageModel:
     """Learn from text and non-null lang of documents outside fold 0, about `most` at most.
 
