@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, fill_in_middle, language_id, line_dedup, quality_classifier, quality_rules, sentencepieces, simhash, suffix_dedup, token_counts, toxicity, url_filters, whitening
-from .common import documents, fold, labels, prepare
+from .common import documents, fold, labels, prepare, stored
 
 
 def _scored(df: DataFrame) -> DataFrame:
@@ -74,6 +74,13 @@ def quality_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", quality_rules.base_failed().alias("base_failed"))
 
 
+def url_filters_by_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op3 on outcomes that the quality classifier gives, fitted on the labelled documents, for every page."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    outcomes = stored(url_filters.outcomes_by_quality(pages, documents(spark, sf_dir), labels(spark, sf_dir)))
+    return url_filters.judged(pages, outcomes)
+
+
 def _prepared(query):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         prepare(spark)
@@ -97,6 +104,7 @@ QUERIES = {
     "op12_fill_in_middle": op12_fill_in_middle,
     "op13_line_dedup": op13_line_dedup,
     "quality_statistics": quality_statistics,
+    "url_filters_by_quality": url_filters_by_quality,
 }
 QUERIES = {name: _prepared(query) for name, query in QUERIES.items()}
 

@@ -12,6 +12,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import quality_classifier, scoring
 from .common import joined, stored
 
 #: (verdict, host, path): fixed values; the longest rule that fits wins.
@@ -111,6 +112,22 @@ def looks_bad(html: Column) -> Column:
     return (symbols * 100 > F.length(text) * 3).cast("int")
 
 
+def page_text(html: Column) -> Column:
+    """A page's text: tags are taken out, entities become their last sign."""
+    return F.regexp_replace(F.regexp_replace(html, "<[^>]*>", " "), "&[a-z]+;", "&")
+
+
+def outcomes_by_quality(pages: DataFrame, docs: DataFrame, labels: DataFrame, least: float = 0.3) -> DataFrame:
+    """page_id, bad of every page with an id and html: outcomes for `judged` from labelled documents.
+
+    The quality classifier learns from `docs` and their `labels` and scores the pages'
+    texts; a page is bad below `least`, the classifier's own threshold.
+    """
+    texts = pages.filter("page_id IS NOT NULL AND html IS NOT NULL").select(F.col("page_id").cast("long").alias("doc_id"), page_text(F.col("html")).alias("text"))
+    scored = scoring.score(texts, quality_classifier.fit(docs, labels), quality_classifier.word_keys, least)
+    return scored.select(F.col("doc_id").alias("page_id"), (1 - F.col("predicted")).alias("bad"))
+
+
 def judged(pages: DataFrame, outcomes: DataFrame | None = None, rules=RULES, **options) -> DataFrame:
     """page_id, host, path, rule, verdict, n, n_bad of every row of pages.
 

@@ -234,6 +234,29 @@ def test_overlap_goes_on_behind_the_last_seed(spark):
 # Suffix dedup ------------------------------------------------------------------------
 
 
+def test_a_string_in_every_block_leaves_each_merge_once():
+    line = b"Licensed under terms that every single document of the corpus repeats."
+    layout = suffix_dedup._Layout(64, 4, [])
+    assert layout.levels == 3
+    runs = []
+    for number in range(64):
+        table = pa.table({"block": pa.array([number], pa.int32()), "doc_id": [100 - number], "text": [line.decode()]})
+        grams = suffix_dedup._grams(table)
+        runs += suffix_dedup._suffix_runs(layout)(table, pa.table({"code": grams["code"], "hot": pa.array([False] * grams.num_rows)})).to_pylist()
+    names = ["part", "range", *suffix_dedup._PACKED]
+    strings = []
+    for level in (1, 2, 3):
+        groups = {}
+        for r in runs:
+            groups.setdefault((r["part"], r["range"]), []).append(r)
+        strings.append(sum(len(x) for key, rows in groups.items() if key[1] >= 0 for r in rows for x in suffix_dedup._unzip(pa.chunked_array([[r["size"]]]))))
+        runs = []
+        for key, rows in groups.items() if level < 3 else ():
+            table = suffix_dedup._run_table([tuple(r[c] for c in names) for r in rows])
+            runs += suffix_dedup._merged_level(layout, level)([pa.scalar(k) for k in key], table).to_pylist()
+    assert strings[0] % 64 == 0 and strings == [strings[0], strings[0] // 4, strings[0] // 16]
+
+
 @pytest.mark.parametrize("hot, fanout", [(10, 2), (2, 3), (4096, 4)])
 def test_removed_in_levels(spark, hot, fanout):
     """About thirty blocks of one thousand bytes, merged two, three or four at a time."""
@@ -327,9 +350,49 @@ def test_exactly_the_distinct_misses_are_encoded(spark, tmp_path, monkeypatch, f
     assert encoded(docs) == 0
 
 
+# Language ID -------------------------------------------------------------------------
+
+
+def test_viterbi_in_blocks_equals_one_pass():
+    from quern.llm import language_id
+
+    rng = np.random.default_rng(4)
+    for _ in range(100):
+        at = np.concatenate([[0], np.cumsum(rng.integers(0, 40, rng.integers(1, 7)))])
+        scores = rng.normal(size=(at[-1], 4)).astype(np.float32)
+        whole = language_id.viterbi(scores, at, 1.0)
+        for steps in (1, 2, 7, 13):
+            assert (language_id.viterbi(scores, at, 1.0, steps) == whole).all()
+
+
+def test_viterbi_of_a_million_words():
+    import time
+
+    from quern.llm import language_id
+
+    scores = np.random.default_rng(5).normal(size=(1_000_000, 5)).astype(np.float32)
+    began = time.time()
+    labels = language_id.viterbi(scores, np.array([0, len(scores)]), 3.0)
+    assert time.time() - began < 10 and len(labels) == len(scores)  # about one second; 30 by one word after the other
+
+
 # URL filters -------------------------------------------------------------------------
 
 
+def test_outcomes_by_quality(spark):
+    docs, labels = (spark.read.parquet(f"{SF.replace('0.001', '0.01')}/{t}.parquet") for t in ("documents", "labels"))
+    texts = docs.join(labels.filter("quality IS NOT NULL"), "doc_id").select("doc_id", "text", "quality")
+    pages = texts.selectExpr("doc_id AS page_id", "concat('http://', IF(quality = 1, 'fine', 'poor'), '.net/', doc_id) AS url", "concat('<p>', text, '</p>') AS html")
+    pages = pages.unionByName(spark.createDataFrame([(-1, "http://none.net", None), (None, "http://x.net", "<p></p>")], "page_id long, url string, html string"))
+    outcomes = url_filters.outcomes_by_quality(pages, docs, labels)
+    found = {r["page_id"]: r["bad"] for r in outcomes.collect()}
+    assert -1 not in found and None not in found and set(found.values()) == {0, 1}
+    verdicts = {r["host"]: r["verdict"] for r in url_filters.judged(pages, outcomes).collect()}
+    assert verdicts["poor.net"] == "block" and verdicts["fine.net"] == "allow"
+    whole = QUERIES["url_filters_by_quality"](spark, SF)
+    assert whole.count() == spark.read.parquet(f"{SF}/pages.parquet").count()
+
+
 def test_labelled_outcomes(spark):
     pages = [(i, f"http://h{i % 5}.site.net/{i}", None) for i in range(500)] + [(1, "http://h1.site.net/again", "<p>###########</p>"), (None, "http://h1.site.net", None)]
     pages = spark.createDataFrame(pages, "page_id long, url string, html string")
