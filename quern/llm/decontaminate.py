@@ -14,16 +14,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit
-from .common import Bitmap, arrow_map, fresh, stored
+from .common import Bitmap, arrays, arrow_map, fresh, stored
 
 #: Positions of a window that count (fixed values; six tokens each).
 MASKS = ("111010011", "1101100101", "1100101011", "10110010011")
 #: Tokens of an overlap at least (an item with fewer must be whole), and the share that must agree.
 LEAST_TOKENS, SIMILARITY = 13, 0.8
-#: Tokens of context kept before the first and behind the last of neighbouring hits. An
-#: overlap is measured within them: one that goes on for longer without any seed is found,
-#: but n_tokens counts no more than these.
+#: Tokens of context kept before the first and behind the last of neighbouring hits. Where
+#: an item that overlaps goes on beyond them, the whole text is read again.
 REACH = 64
+#: Items that share a seed from which on it is common: its items and stretches meet in
+#: blocks of so many each, compared as arrays, and only pairs that overlap become rows.
+COMMON, BLOCK = 32, 2048
+#: Tokens compared at once in such a block.
+_CELLS = 1 << 21
 
 _OFFSETS = [np.flatnonzero([c == "1" for c in m]) for m in MASKS]
 _ODD = [np.uint64(pow(0xD1B54A32D192ED03, 2 * i + 1, 1 << 64)) for i in range(16)]
@@ -121,12 +125,15 @@ def benchmark_seeds(items: DataFrame) -> DataFrame:
 
 
 def hit_regions(docs: DataFrame, known: Bitmap) -> DataFrame:
-    """doc_id, start, tokens, seeds, at of the stretches of documents around seeds that may be known."""
+    """doc_id, h, start, more, tokens, seeds, at of the stretches of documents around seeds that may be known.
+
+    h: a hash of the text; more: whether it goes on behind the stretch.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(known)  # 16 MB at most
 
     def run(batch):
         data, at = packed(batch.column("text"))
-        ids = np.asarray(batch.column("doc_id"))
+        ids, hashes = np.asarray(batch.column("doc_id")), np.asarray(batch.column("h"))
         out, lists = [], _Lists()
         for i, j in textkit.pieces(at):
             tokens, rows = word_tokens(data[at[i] : at[j]], at[i : j + 1] - at[i])
@@ -143,16 +150,21 @@ def hit_regions(docs: DataFrame, known: Bitmap) -> DataFrame:
             cut = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (start[1:] - start[:-1] > 2 * REACH)]))
             for a, b in zip(cut, np.append(cut[1:], len(start))):
                 lo, hi = max(rows[row[a]], start[a] - REACH), min(rows[row[a] + 1], start[b - 1] + len(MASKS[-1]) + REACH)
-                out.append((int(ids[i + row[a]]), int(lo - rows[row[a]]), tokens[lo:hi].view(np.int64)))
+                out.append((int(ids[i + row[a]]), int(hashes[i + row[a]]), int(lo - rows[row[a]]), bool(hi < rows[row[a] + 1]), tokens[lo:hi].view(np.int64)))
                 lists.add(seed[a:b], start[a:b] - lo)
         if not out:
             return None
-        doc, lo, words = zip(*out)
+        doc, h, lo, more, words = zip(*out)
         tokens = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, words)]), pa.int32()), pa.array(np.concatenate(words)))
-        return pa.record_batch([pa.array(doc, pa.int64()), pa.array(lo, pa.int32()), tokens, *lists.columns()], ["doc_id", "start", "tokens", "seeds", "at"])
+        return pa.record_batch([pa.array(doc, pa.int64()), pa.array(h, pa.int64()), pa.array(lo, pa.int32()), pa.array(more), tokens, *lists.columns()], ["doc_id", "h", "start", "more", "tokens", "seeds", "at"])
+
+    return arrow_map(_known(docs), run, "doc_id long, h long, start int, more boolean, tokens array<long>, seeds array<long>, at array<array<int>>")
 
+
+def _known(docs: DataFrame) -> DataFrame:
+    """doc_id, text and its hash h of the rows that have both."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    return arrow_map(rows, run, "doc_id long, start int, tokens array<long>, seeds array<long>, at array<array<int>>")
+    return rows.withColumn("h", F.xxhash64("text"))
 
 
 def _shifts(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -204,6 +216,93 @@ def overlap(doc: np.ndarray, item: np.ndarray, shift: int, similarity: float = S
     return lo + begin, end - begin, int(equal[end] - equal[begin])
 
 
+def _some_overlap(same: np.ndarray, lo: np.ndarray, hi: np.ndarray, need: np.ndarray, similarity: float) -> np.ndarray:
+    """Rows with `need` tokens or more in a row, within columns lo to hi, of which a share of `similarity` agrees."""
+    n, width = same.shape
+    sums = np.zeros((n, width + 1))
+    np.cumsum(np.where(same, 1 - similarity, -similarity) + 1e-9, axis=1, out=sums[:, 1:])
+    column = np.arange(width + 1)
+    least = np.minimum.accumulate(np.where(column >= lo[:, None], sums, np.inf), axis=1)
+    sums = np.where(column <= hi[:, None], sums, -np.inf)
+    found = np.zeros(n, bool)
+    for k in np.unique(need[need <= width]):
+        own = need == k
+        found[own] = (sums[own, k:] >= least[own, : width + 1 - k]).any(1)
+    return found
+
+
+def _block_pairs(similarity: float, least: int):
+    """Pairs of the stretches and items of one common seed that overlap on a diagonal of it, with these diagonals."""
+
+    def run(stretches, items):
+        out = []
+        if stretches.num_rows and items.num_rows:
+            (at, flat), (own_at, own) = arrays(items, "item"), arrays(items, "pos")
+            sizes, flat = np.diff(at), flat.view(np.uint64)
+            width = int(sizes.max())
+            table = np.zeros((items.num_rows, width), np.uint64)
+            table[np.arange(width) < sizes[:, None]] = flat
+            which = np.repeat(np.arange(items.num_rows), np.diff(own_at))
+            tags, itags = stretches["tag"].to_pylist(), items["itag"].to_pylist()
+            step = max(1, _CELLS // max(width, 1))
+            (word_at, words), (seed_at, seeds_) = arrays(stretches, "tokens"), arrays(stretches, "at")
+            for row in range(stretches.num_rows):
+                doc = words[word_at[row] : word_at[row + 1]].view(np.uint64)
+                found: dict[int, set[int]] = {}
+                for place in seeds_[seed_at[row] : seed_at[row + 1]].tolist():
+                    for k in range(0, len(which), step):
+                        item, shift = which[k : k + step], place - own[k : k + step].astype(np.int64)
+                        lo, hi = np.maximum(0, -shift), np.minimum(sizes[item], len(doc) - shift)
+                        facing = doc[np.clip(np.arange(width) + shift[:, None], 0, len(doc) - 1)]
+                        ok = _some_overlap(facing == table[item], lo, hi, np.minimum(least, sizes[item]), similarity)
+                        for i, s in zip(item[ok].tolist(), shift[ok].tolist()):
+                            found.setdefault(i, set()).add(s)
+                out += [(tags[row], itags[i], sorted(s)) for i, s in found.items()]
+        columns = zip(*out) if out else ([], [], [])
+        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.list_(pa.int32())))], ["tag", "itag", "shifts"])
+
+    return run
+
+
+def candidates(stretches: DataFrame, wanted: DataFrame, faces: DataFrame, least: int = LEAST_TOKENS, similarity: float = SIMILARITY) -> DataFrame:
+    """tag, itag, shifts: stretches and items that share a seed, with the diagonals on which they do.
+
+    Seeds of at most COMMON items join as rows. Those of more never pair their items and
+    stretches as rows: blocks of both are compared, and pairs that do not overlap on such a
+    diagonal are left out there.
+    """
+    hits = stretches.select("tag", F.explode(F.arrays_zip("seeds", "at")).alias("s")).select("tag", F.col("s.seeds").alias("seed"), F.col("s.at").alias("at"))
+    common = stored(wanted.groupBy("seed").agg(F.count("*").alias("items")).filter(F.col("items") > COMMON))
+    none = common.isEmpty()
+    rare = wanted if none else wanted.join(common, "seed", "left_anti")
+    found = arrow_map(hits.join(rare, "seed").select("tag", "itag", "at", "pos"), _shifts, "tag string, itag string, shifts array<int>")
+    if not none:
+        asked = stored(hits.join(common, "seed"))
+        sized = stored(asked.groupBy("seed").agg(F.ceil(F.first("items") / BLOCK).cast("int").alias("rows"), F.ceil(F.count("*") / BLOCK).cast("int").alias("columns")))
+
+        def dealt(df: DataFrame, name: str, own: str, n: str, other: str, m: str) -> DataFrame:
+            block = F.pmod(F.xxhash64(name), F.col(n)).cast("int")
+            return df.join(sized, "seed").withColumns({own: block, other: F.explode(F.sequence(F.lit(0), F.col(m) - 1))})
+
+        left = dealt(asked.select("tag", "seed", "at").join(stretches.select("tag", "tokens"), "tag"), "tag", "j", "columns", "i", "rows")
+        right = dealt(wanted.join(common.select("seed"), "seed").join(faces, "itag"), "itag", "i", "rows", "j", "columns")
+        left, right = left.select("seed", "i", "j", "tag", "at", "tokens"), right.select("seed", "i", "j", "itag", "pos", "item")
+        met = left.groupBy("seed", "i", "j").cogroup(right.groupBy("seed", "i", "j")).applyInArrow(_block_pairs(similarity, least), "tag string, itag string, shifts array<int>")
+        found = found.unionByName(met)
+    return found.select("tag", "itag", F.explode("shifts").alias("shift")).groupBy("tag", "itag").agg(F.collect_set("shift").alias("shifts"))
+
+
+def _best(doc: np.ndarray, item: np.ndarray, shifts: list[int], similarity: float, least: int) -> tuple[tuple, list[int]]:
+    """The best verified overlap (n, equal, document's token, item's token), () without one, and the shifts that have any."""
+    best, good = (), []
+    for shift in shifts:
+        begin, n, equal = overlap(doc, item, shift, similarity, least)
+        if n >= min(least, len(item)) and equal >= similarity * n:
+            best = max(best, (n, equal, begin + shift, begin))
+            good.append(shift)
+    return best, good
+
+
 def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = LEAST_TOKENS, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, item_id, n_tokens, n_equal, doc_token, item_token: the longest verified overlap of each pair.
 
@@ -216,6 +315,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = LEAST_TOKENS, s
 
     Equal stretches and equal items are verified once, however many documents have them,
     each pair of a stretch and an item in one row with all alignments that share a seed.
+    Where an item goes on beyond a stretch, the overlap is measured in the whole text.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id IS NOT NULL AND text IS NOT NULL")
     tokens = stored(item_tokens(items))
@@ -223,30 +323,62 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = LEAST_TOKENS, s
     wanted = stored(benchmark_seeds(faces))
     regions = stored(hit_regions(docs, Bitmap(wanted.select("seed").distinct(), "seed")).withColumn("tag", _content("tokens")))
     stretches = stored(regions.groupBy("tag").agg(F.first(F.struct("tokens", "seeds", "at")).alias("s")).select("tag", "s.*"))
-    hits = stretches.select("tag", F.explode(F.arrays_zip("seeds", "at")).alias("s")).select("tag", F.col("s.seeds").alias("seed"), F.col("s.at").alias("at"))
-    pairs = arrow_map(hits.join(wanted, "seed").select("tag", "itag", "at", "pos"), _shifts, "tag string, itag string, shifts array<int>")
-    pairs = pairs.select("tag", "itag", F.explode("shifts").alias("shift")).groupBy("tag", "itag").agg(F.collect_set("shift").alias("shifts"))
+    pairs = candidates(stretches, wanted, faces, least, similarity)
     faced = pairs.join(faces, "itag").join(stretches.select("tag", "tokens"), "tag")
 
     def verify(batch):
         docs_, items_, shifts, found = batch.column("tokens"), batch.column("item"), batch.column("shifts"), []
         for i in range(batch.num_rows):
-            doc, item, best = np.asarray(docs_[i].values), np.asarray(items_[i].values), None
-            for shift in shifts[i].values.to_pylist():
-                begin, n, equal = overlap(doc, item, shift, similarity, least)
-                if n >= min(least, len(item)) and equal >= similarity * n:
-                    best = max(best or (), (n, equal, begin + shift, begin))
+            doc, item = np.asarray(docs_[i].values), np.asarray(items_[i].values)
+            best, good = _best(doc, item, shifts[i].values.to_pylist(), similarity, least)
+            if best:
+                found.append((i, *best, good, len(doc), len(item)))
+        if not found:
+            return None
+        i, *numbers, good, size, items_size = zip(*found)
+        columns = [pa.array(x, pa.int32()) for x in (*numbers, size, items_size)]
+        return pa.record_batch([batch.column("tag").take(pa.array(i)), batch.column("itag").take(pa.array(i)), pa.array(good, pa.list_(pa.int32())), *columns], ["tag", "itag", "shifts", "n", "equal", "doc_at", "item_at", "size", "item_size"])
+
+    same = stored(arrow_map(faced.select("tag", "itag", "shifts", "tokens", "item"), verify, "tag string, itag string, shifts array<int>, n int, equal int, doc_at int, item_at int, size int, item_size int"))
+    rows = stored(same.join(regions.select("tag", "doc_id", "h", "start", "more"), "tag").select("doc_id", "h", "itag", "start", "more", "shifts", "n", "equal", (F.col("start") + F.col("doc_at")).alias("doc_token"), F.col("item_at").alias("item_token"), "size", "item_size"))
+    beyond = F.exists("shifts", lambda s: ((s < 0) & (F.col("start") > 0)) | ((s + F.col("item_size") > F.col("size")) & F.col("more")))
+    long = rows.filter(beyond).select("doc_id", "h", "itag", F.explode("shifts").alias("s"), "start").groupBy("doc_id", "h", "itag").agg(F.collect_set(F.col("s") + F.col("start")).alias("shifts"))
+    measures = ["doc_id", "itag", "n", "equal", "doc_token", "item_token"]
+    measured = rows.select(measures).unionByName(_in_whole_texts(docs, stored(long), faces, least, similarity).select(measures))
+    best = F.max(F.struct("n", "equal", "doc_token", "item_token")).alias("b")
+    named = measured.join(tokens.select("itag", "item_id").distinct(), "itag").groupBy("doc_id", "item_id").agg(best)
+    return named.select("doc_id", "item_id", F.col("b.n").alias("n_tokens"), F.col("b.equal").alias("n_equal"), "b.doc_token", "b.item_token")
+
+
+def _in_whole_texts(docs: DataFrame, long: DataFrame, faces: DataFrame, least: int, similarity: float) -> DataFrame:
+    """doc_id, itag, n, equal, doc_token, item_token of pairs (doc_id, h, itag, shifts) in whole texts.
+
+    A bitmap keeps other documents from being moved; the join behind it decides.
+    """
+    schema = "doc_id long, itag string, n int, equal int, doc_token int, item_token int"
+    if long.isEmpty():
+        return docs.sparkSession.createDataFrame([], schema)
+    key = F.xxhash64("doc_id", "h").alias("key")
+    shared = docs.sparkSession.sparkContext.broadcast(Bitmap(long.select(key).distinct(), "key"))  # 16 MB at most
+
+    def some(batch):
+        return batch.filter(pa.array(shared.value.may_have(np.asarray(batch.column("key")).view(np.uint64)))).select(["doc_id", "h", "text"])
+
+    def measure(batch):
+        data, at = packed(batch.column("text"))
+        words, rows = word_tokens(data, at)
+        found = []
+        for i, (item, shifts) in enumerate(zip(batch.column("item"), batch.column("shifts").to_pylist())):
+            best, _ = _best(words[rows[i] : rows[i + 1]], np.asarray(item.values).view(np.uint64), shifts, similarity, least)
             if best:
                 found.append((i, *best))
         if not found:
             return None
-        i, n, equal, doc_at, item_at = (pa.array(x, pa.int32()) for x in zip(*found))
-        return pa.record_batch([batch.column("tag").take(i), batch.column("itag").take(i), n, equal, doc_at, item_at], ["tag", "itag", "n", "equal", "doc_at", "item_at"])
+        i, *numbers = zip(*found)
+        return pa.record_batch([batch.column(c).take(pa.array(i)) for c in ("doc_id", "itag")] + [pa.array(x, pa.int32()) for x in numbers], [c.split()[0] for c in schema.split(", ")])
 
-    same = stored(arrow_map(faced.select("tag", "itag", "shifts", "tokens", "item"), verify, "tag string, itag string, n int, equal int, doc_at int, item_at int"))
-    rows = same.join(tokens.select("itag", "item_id").distinct(), "itag").join(regions.select("tag", "doc_id", "start"), "tag")
-    best = F.max(F.struct("n", "equal", (F.col("start") + F.col("doc_at")).alias("doc_token"), F.col("item_at").alias("item_token"))).alias("b")
-    return rows.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", F.col("b.n").alias("n_tokens"), F.col("b.equal").alias("n_equal"), "b.doc_token", "b.item_token")
+    texts = arrow_map(_known(docs).withColumn("key", F.xxhash64("doc_id", "h")), some, "doc_id long, h long, text string").dropDuplicates(["doc_id", "h"])
+    return arrow_map(texts.join(long, ["doc_id", "h"]).join(faces, "itag").select("doc_id", "itag", "text", "item", "shifts"), measure, schema)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

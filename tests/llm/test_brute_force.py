@@ -231,6 +231,55 @@ def test_overlap_goes_on_behind_the_last_seed(spark):
     assert row["n_tokens"] == row["n_equal"] == 400
 
 
+def test_overlaps_are_measured_beyond_stretches(spark):
+    """Two runs of equal words with five times eighteen others between: no seed, but four in five are equal."""
+    words = [f"w{i}" for i in range(1000)]
+    text = [w if 400 <= i < 440 or 840 <= i < 900 else f"x{i}" if i % 5 == 4 else w for i, w in enumerate(words)]
+    gap = [w if i < 40 or i >= 200 or (i % 4) else f"y{i}" for i, w in enumerate(words)]  # every fourth differs: no overlap there
+    docs = spark.createDataFrame([(1, " ".join(text)), (2, " ".join(gap)), (3, "nothing of it")], "doc_id long, text string")
+    item = spark.createDataFrame([(7, " ".join(words))], "item_id long, text string")
+    got = {r["doc_id"]: (r["n_tokens"], r["n_equal"]) for r in decontaminate.overlaps(docs, item).collect()}
+    want = {}
+    for d, t in ((1, text), (2, gap)):
+        sums = np.concatenate([[0], np.cumsum([a == b for a, b in zip(t, words)])])
+        want[d] = max((b - a, int(sums[b] - sums[a])) for a in range(1000) for b in range(a + 13, 1001) if 5 * (sums[b] - sums[a]) >= 4 * (b - a) and (a == 0 or t[a] == words[a]) and t[b - 1] == words[b - 1])
+    assert got == want and want[1][0] > 900
+
+
+def templated(n, words, other):
+    """Texts that share some words in the middle of their own."""
+    return [(i, " ".join([*(f"{other}{i}a{k}" for k in range(20)), *words, *(f"{other}{i}b{k}" for k in range(20))])) for i in range(n)]
+
+
+def test_a_common_phrase_makes_no_pairs(spark, monkeypatch):
+    phrase = [f"p{k}" for k in range(10)]
+    items, docs = templated(300, phrase, "i"), templated(300, phrase, "d")
+    docs += [(1000, items[5][1]), (1001, "so " + " ".join(items[7][1].split()[15:32])), (1002, " ".join(items[9][1].split()[17:30]))]
+    items_df, docs_df = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")
+    seen = []
+    plain = decontaminate.candidates
+    monkeypatch.setattr(decontaminate, "candidates", lambda stretches, wanted, faces, *a: seen.append((stretches.count(), wanted.groupBy("seed").count().filter(f"count > {decontaminate.COMMON}").count())) or seen.append(plain(stretches, wanted, faces, *a).count()) or plain(stretches, wanted, faces, *a))
+    for block in (decontaminate.BLOCK, 40):
+        monkeypatch.setattr(decontaminate, "BLOCK", block)
+        got = {(r["doc_id"], r["item_id"]): r["n_tokens"] for r in decontaminate.overlaps(docs_df, items_df).collect()}
+        assert got == {(1000, 5): 50, (1001, 7): 17, (1002, 9): 13}
+        assert seen[0][0] >= 301 and seen[0][1] >= 4 and seen[1] == 3  # pairs that overlap, of 90,000
+        seen.clear()
+
+
+@pytest.mark.parametrize("common", [0, 3])
+def test_blocks_find_what_joins_find(spark, monkeypatch, common):
+    rng = np.random.default_rng(14)
+    letters = [f"w{i}" for i in range(9)]
+    rows = [(i, " ".join(rng.choice(letters, rng.integers(5, 70)))) for i in range(40)] + [(100, "alpha beta " * 60)]
+    items = [(i, " ".join(rng.choice(letters, rng.integers(9, 25)))) for i in range(25)] + [(50, "alpha beta " * 8)]
+    frames = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = sorted(decontaminate.overlaps(*frames).collect())
+    monkeypatch.setattr(decontaminate, "COMMON", common)
+    monkeypatch.setattr(decontaminate, "BLOCK", 7)
+    assert sorted(decontaminate.overlaps(*frames).collect()) == want
+
+
 # Suffix dedup ------------------------------------------------------------------------
 
 
