@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import texts
+from ..functions import embedder, texts
 from ..functions.embedder import embed
 
 
@@ -78,22 +79,94 @@ def packed(segments: list[str], config: ChunkConfig, provider: Callable = embed)
     return out
 
 
-def chunked(rows: DataFrame, config: ChunkConfig, provider: Callable = embed) -> DataFrame:
-    """id, ordinal, start_token, end_token, text of the chunks of each row (id, text)."""
+def _segments(rows: DataFrame, config: ChunkConfig) -> DataFrame:
+    """id, segments of each row (id, text)."""
     text = F.coalesce("text", F.lit(""))
     windows, sentences = texts.sliding_windows(text, config.window, config.overlap), texts.sentences(text)
     segments = {"windows": windows, "sentences": sentences, "auto": F.when(texts.unstructured(text), windows).otherwise(sentences)}[config.segments]
-    parted = rows.select("id", segments.alias("segments"))
+    return rows.select("id", segments.alias("segments"))
 
+
+def packed_sizes(parts: Column, config: ChunkConfig) -> Column:
+    """Ends, in tokens, of the chunks of parts (size, apart), before long ones are cut: the rule of `packed` as a fold.
+
+    apart: whether a boundary lies before the part.
+    """
+    none = F.array().cast("array<int>")
+    start = F.struct(none.alias("ends"), F.lit(0).alias("begin"), F.lit(0).alias("open"))
+
+    def step(acc: Column, part: Column) -> Column:
+        full = acc["open"] + part["size"] > config.most
+        closes = (acc["open"] > 0) & (part["apart"] | full) & ((acc["open"] >= config.least) | (F.size(acc["ends"]) == 0))
+        end = acc["begin"] + acc["open"]
+        closed = F.struct(F.concat(acc["ends"], F.array(end)).alias("ends"), end.alias("begin"), part["size"].alias("open"))
+        return F.when(closes, closed).otherwise(F.struct(acc["ends"].alias("ends"), acc["begin"].alias("begin"), (acc["open"] + part["size"]).alias("open")))
+
+    def finish(acc: Column) -> Column:
+        end = acc["begin"] + acc["open"]
+        joins = (acc["open"] < config.least) & (F.size(acc["ends"]) > 0)
+        before = F.when(joins, F.slice(acc["ends"], F.lit(1), F.size(acc["ends"]) - 1)).otherwise(acc["ends"])
+        return F.when(acc["open"] == 0, acc["ends"]).otherwise(F.concat(before, F.array(end)))
+
+    return F.aggregate(parts, start, step, finish)
+
+
+def chunked(rows: DataFrame, config: ChunkConfig, provider: Callable | None = None) -> DataFrame:
+    """id, ordinal, start_token, end_token, text of the chunks of each row (id, text).
+
+    Column expressions throughout, but for vectors of a provider of one's own: these are
+    computed, and the text packed, by Arrow batches.
+    """
+    parted = _segments(rows, config)
+    if provider is not None:
+        return _chunked_by(parted, config, provider, rows.schema["id"].dataType.simpleString())
+    part = F.transform("segments", lambda s: F.struct(F.size(texts.tokens(s)).alias("size"), embedder.summed(embedder.word_hashes(s)).alias("v")))
+    parts = parted.select("id", "segments", part.alias("p"))
+    apart = lambda p, i: F.when(i > 0, embedder.summed_similarity(F.get("p", i - 1)["v"], p["v"]) < config.similarity).otherwise(False)
+    parts = parts.select("id", "segments", F.transform("p", lambda p, i: F.struct(p["size"].alias("size"), apart(p, i).alias("apart"))).alias("p"))
+    ends = parts.select("id", F.flatten(F.transform("segments", texts.tokens)).alias("words"), packed_sizes(F.col("p"), config).alias("ends"))
+    begun = F.transform("ends", lambda e, i: F.struct(F.when(i > 0, F.get("ends", i - 1)).otherwise(0).alias("begin"), e.alias("end")))
+    cut = lambda r: F.transform(F.sequence(r["begin"], r["end"] - 1, F.lit(config.most)), lambda b: F.struct(b.alias("begin"), F.least(b + config.most, r["end"]).alias("end")))
+    found = ends.select("id", "words", F.posexplode(F.flatten(F.transform(begun, cut))).alias("ordinal", "r"))
+    return found.select("id", "ordinal", F.col("r.begin").alias("start_token"), F.col("r.end").alias("end_token"), F.array_join(F.slice("words", F.col("r.begin") + 1, F.col("r.end") - F.col("r.begin")), " ").alias("text"))
+
+
+def _chunked_by(parted: DataFrame, config: ChunkConfig, provider: Callable, kind: str) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = [(i, k, *c) for i, s in zip(frame["id"], frame["segments"]) for k, c in enumerate(packed(list(s), config, provider))]
             yield pd.DataFrame(out, columns=["id", "ordinal", "start_token", "end_token", "text"])
 
-    return parted.mapInPandas(run, f"id {rows.schema['id'].dataType.simpleString()}, ordinal int, start_token int, end_token int, text string")
+    return parted.mapInPandas(run, f"id {kind}, ordinal int, start_token int, end_token int, text string")
+
+
+def register_functions(spark: SparkSession) -> None:
+    """Makes `text_chunks(text, level)` a table function of SQL: LATERAL text_chunks(t.text, 'parent').
+
+    Its rows are ordinal, start_token, end_token, text; level is parent or child. A null
+    text has no chunks.
+    """
+
+    @F.udtf(returnType="ordinal int, start_token int, end_token int, text string")
+    class TextChunks:
+        def eval(self, text: str, level: str):
+            config = {"parent": PARENT, "child": CHILD}[level]
+            for k, chunk in enumerate(packed(split_sentences(text or ""), config)):
+                yield k, *chunk
+
+    spark.udtf.register("text_chunks", TextChunks)
+
+
+#: `texts.sentences` in Python's notation.
+_BREAK = re.compile(r"(?<=[.!?])(?<![A-Z]\.)(?<!\d\.)\s+", re.IGNORECASE | re.ASCII)
+
+
+def split_sentences(text: str) -> list[str]:
+    """The sentences of one text, as `functions.texts.sentences` gives them."""
+    return [s for s in (part.strip(" \t\n\r\x0b\x0c") for part in _BREAK.split(text)) if s]
 
 
-def two_levels(rows: DataFrame, provider: Callable = embed) -> DataFrame:
+def two_levels(rows: DataFrame, provider: Callable | None = None) -> DataFrame:
     """Parent chunks, and the chunks of each parent (offsets within it), with stable ids."""
     parents = chunked(rows, PARENT, provider).withColumn("config", F.lit("parent"))
     parents = parents.withColumn("chunk_id", F.sha2(F.concat_ws(":", "id", "config", "ordinal"), 256))
@@ -104,7 +177,7 @@ def two_levels(rows: DataFrame, provider: Callable = embed) -> DataFrame:
     return parents.select(children.columns).unionByName(children)
 
 
-def reindexed(chunks: DataFrame, rows: DataFrame, provider: Callable = embed) -> DataFrame:
+def reindexed(chunks: DataFrame, rows: DataFrame, provider: Callable | None = None) -> DataFrame:
     """`chunks` with those of the rows' ids replaced."""
     return chunks.join(rows.select("id"), "id", "left_anti").unionByName(two_levels(rows, provider))
 
