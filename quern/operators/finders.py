@@ -110,9 +110,10 @@ def unsynced_by_id(rows: DataFrame) -> DataFrame:
     return rows.filter(F.col("sync_id").isNull())
 
 
-def edge_of(edges: DataFrame, a: str, b: str, kind: str) -> DataFrame:
-    """The first edge of a type from one entity to another, by id."""
-    return by(edges, source_uuid=a, target_uuid=b, edge_type=kind).orderBy(*edges.columns).limit(1)
+def edge_of(edges: DataFrame, a: str, b: str | None, kind: str) -> DataFrame:
+    """The first edge of a type from one entity to another (None: to any), by id."""
+    ends = {"source_uuid": a} | ({} if b is None else {"target_uuid": b})
+    return by(edges, **ends, edge_type=kind).orderBy(*edges.columns).limit(1)
 
 
 def turns(rows: DataFrame, kind: str, component: str | None = None, most: int = 10) -> DataFrame:

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tables import Written
+
 KEY = ("source_uuid", "target_uuid", "edge_type")
 
 
@@ -38,33 +40,25 @@ def _steps(edges: DataFrame, direction: str) -> DataFrame:
     return found[direction]  # repeated edges do no harm: what is reached is made distinct
 
 
-def _settled(rows: DataFrame) -> DataFrame:
-    """`rows` computed once and kept in the checkpoint folder (spark.checkpoint.dir)."""
-    context = rows.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(rows.sparkSession.conf.get("spark.sql.warehouse.dir") + "/checkpoints")
-    return rows.checkpoint()
-
-
 def traverse(edges: DataFrame, start: str, depth: int = 1, direction: str = "outgoing") -> DataFrame:
     """uuid, depth of what is reachable in at most `depth` (1 to 3) steps, at its least depth.
 
     Each step joins the last frontier only; nodes seen before are left out by an anti
-    join and each frontier is kept, so every node is expanded once. The start itself is
-    not returned.
+    join and each frontier is written, so every node is expanded once. The start itself is
+    not returned. The result is a written table in the shared folder (`tables.remove` removes it).
     """
     if depth not in (1, 2, 3):
         raise ValueError("depth is 1, 2 or 3")
-    steps = _steps(edges, direction)
+    steps, held = _steps(edges, direction), Written(edges.sparkSession)
     seen = edges.sparkSession.range(1).select(F.lit(start).alias("uuid"), F.lit(0).alias("depth"))
     found, frontier = [], seen
     for d in range(1, depth + 1):
         front = frontier.select(F.col("uuid").alias("a"))
         reached = steps.join(front, "a").select(F.col("b").alias("uuid")).distinct()
         known = reduce(DataFrame.unionByName, [seen, *found]).select("uuid")
-        frontier = _settled(reached.join(known, "uuid", "left_anti").withColumn("depth", F.lit(d)))
+        frontier = held.table(reached.join(known, "uuid", "left_anti").withColumn("depth", F.lit(d)))
         found.append(frontier)
-    return reduce(DataFrame.unionByName, found)
+    return held.kept(reduce(DataFrame.unionByName, found)) if depth > 1 else frontier
 
 
 def incident(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -249,8 +249,8 @@ def ent_upsert_repeated(spark, sf_dir):
 def edge_find(spark, sf_dir):
     """The first edge of a type between two entities."""
     edges = view(spark, sf_dir, "edges")
-    target = table(spark, sf_dir, "nation").filter("n_nationkey = 3").select(F.concat(F.lit("r:"), F.col("n_regionkey").cast("string"))).first()[0]
-    return finders.edge_of(edges, "n:3", target, "child_of")
+    target = table(spark, sf_dir, "nation").filter("n_nationkey = 3").select(F.concat(F.lit("r:"), F.col("n_regionkey").cast("string")).alias("target_uuid"))
+    return finders.edge_of(edges.join(target, "target_uuid", "left_semi"), "n:3", None, "child_of").select(edges.columns)
 
 
 @query("""SELECT source_uuid, target_uuid, edge_type, seq FROM part_edges ANTI JOIN (SELECT DISTINCT source_uuid, target_uuid, edge_type FROM part_edges WHERE seq % 3 = 0) USING (source_uuid, target_uuid, edge_type)""")

@@ -66,9 +66,9 @@ def fb_by_turn(spark, sf_dir):
     return finders.by(view(spark, sf_dir, "feedback"), turn_id=4).select("invocation_id", "action")
 
 
-@query("SELECT invocation_id, action FROM feedback WHERE turn_id = 4 AND component_type = 'src3'")
+@query("SELECT invocation_id, action FROM feedback WHERE turn_id = 2 AND component_type = 'src2'")
 def fb_by_turn_component(spark, sf_dir):
-    return finders.by(view(spark, sf_dir, "feedback"), turn_id=4, component_type="src3").select("invocation_id", "action")
+    return finders.by(view(spark, sf_dir, "feedback"), turn_id=2, component_type="src2").select("invocation_id", "action")
 
 
 @query("SELECT invocation_id, action FROM feedback WHERE component_type = 'src3'")

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..operators import stats
+from ..operators.tables import Written
 
 Handler = Callable[[DataFrame, int], None]
 
@@ -122,8 +123,7 @@ def flushed(tasks: DataFrame, run: Callable[[DataFrame], DataFrame], most_retrie
     try:
         done = run(pending.filter(~empty)).select("entity_uuid")
         if one is not None:
-            done = done.checkpoint() if done.sparkSession.sparkContext.getCheckpointDir() else done.persist()
-            done.count()  # a lazy result would fail later
+            done = Written(done.sparkSession).table(done)  # a lazy result would fail later
     except Exception:
         if one is None:
             raise
