@@ -29,6 +29,64 @@ def test_statistics_of_a_long_text(spark, odd_docs):
     assert (row["n_words"], row["word_chars"], row["n_repeat_words"]) == (len(words), sum(map(len, words)), len(words))
 
 
+def plain_covering(rows, bad, precision=0.95, least=5, most_tests=4, most_rules=12):
+    """The covering of quality_rules.learn, row by row and cut by cut; rules are lists of (measure, above, value)."""
+    from math import log2
+
+    n = len(rows)
+    cuts = {m: sorted(set(np.quantile([r[m] for r in rows], np.linspace(0, 1, 257)).tolist())) for m in rows[0]}
+    fits = lambda rule, r: all(r[m] >= v if above else r[m] <= v for m, above, v in rule)
+    left, rules, failures, random = set(range(n)), [], 0, np.random.default_rng(3)
+    while len(rules) < most_rules and failures < 3 and sum(bad[i] for i in left) >= least:
+        held = {i for i, x in enumerate(random.permutation(n)) if x % 3 == 0}
+        inside, prune, rule = left - held, left & held, []
+        while len(rule) < most_tests and any(bad[i] for i in inside) and not all(bad[i] for i in inside):
+            p0 = sum(bad[i] for i in inside)
+            best, gain = None, 1e-9
+            for m, grid in cuts.items():
+                for above in (True, False):
+                    for v in grid:
+                        hit = [bad[i] for i in inside if (rows[i][m] >= v if above else rows[i][m] <= v)]
+                        found = sum(hit) * (log2(sum(hit) / len(hit)) - log2(p0 / len(inside))) if sum(hit) else -1
+                        if found > gain + 1e-12:
+                            best, gain = (m, above, v), found
+            if best is None:
+                break
+            rule, inside = [*rule, best], {i for i in inside if fits([best], rows[i])}
+
+        def worth(r):
+            hit = [bad[i] for i in prune if fits(r, rows[i])]
+            return (2 * sum(hit) - len(hit)) / len(hit) if hit else 0.0
+
+        rule = max((rule[:k] for k in range(len(rule), 0, -1)), key=worth, default=[])
+        hit = {i for i in left if fits(rule, rows[i])}
+        right = sum(bad[i] for i in hit)
+        if not rule or right < least or right < precision * len(hit) or worth(rule) < 2 * precision - 1.1:
+            failures += 1
+            continue
+        rules.append(rule)
+        left -= hit
+    return rules, fits
+
+
+def test_kept_equals_plain_covering(spark):
+    sf = SF.replace("0.001", "0.01")
+    labels, names = spark.read.parquet(f"{sf}/labels.parquet"), list(quality_rules.MEASURES)
+    stats = quality_rules.statistics(spark.read.parquet(f"{sf}/documents.parquet"))
+    rows = {r["doc_id"]: r.asDict() for r in stats.selectExpr("*", *(f"{e} AS {m}_" for m, e in quality_rules.MEASURES.items())).collect()}
+    measures = {i: {m: float(r[f"{m}_"]) for m in names} for i, r in rows.items()}
+    marks = {}
+    for r in labels.filter("quality IS NOT NULL").collect():
+        marks.setdefault(r["doc_id"], []).append(r["quality"])
+    known = sorted(i for i in marks if i in rows)
+    rules, fits = plain_covering([measures[i] for i in known], [not np.mean(marks[i]) >= 0.5 for i in known])
+    found = {r["doc_id"]: r for r in QUERIES["op1_quality_rules"](spark, sf).collect()}
+    assert rules and len(found) == len(rows)
+    for i, r in found.items():
+        base = rows[i]["n_words"] < 50 or 100 * rows[i]["n_repeat_words"] > 50 * rows[i]["n_words"]
+        assert r["base_failed"] == base and r["kept"] == (not base and not any(fits(rule, measures[i]) for rule in rules)), i
+
+
 # Bounded samples ---------------------------------------------------------------------
 
 
