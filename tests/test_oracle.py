@@ -6,6 +6,7 @@ from quern.catalogue import ORACLES, QUERIES
 from tests.compare import connection, difference
 
 SF = "/root/testdata/sf0.001"
+LARGER = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="module")
@@ -13,6 +14,11 @@ def con():
     return connection(SF)
 
 
+@pytest.fixture(scope="module")
+def larger():
+    return connection(LARGER)
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
     df = QUERIES[name](spark, SF)
@@ -20,3 +26,9 @@ def test_query(spark, con, name):
         assert difference(df, con, ORACLES[name]) == ""
     else:
         assert df.count() > 0
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_query_on_more_rows(spark, larger, name):
+    """Ties and repeats that the smallest tables lack."""
+    assert difference(QUERIES[name](spark, LARGER), larger, ORACLES[name]) == ""
