@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors
 
-#: Items and queries of a block, about; a task holds one of each.
-ITEMS, QUERIES = 16_384, 1_024
+#: Items of a block, and query vectors of one, about; a task holds one of each.
+ITEMS, BLOCK = 16_384, 1_024
 #: Items whose distances to a block of queries are computed at once.
 _AT_ONCE = 4_096
 #: By how much the product of two blocks may be off, as a share of the vectors' lengths.
@@ -104,7 +104,7 @@ def nearest_each(items: DataFrame, queries: DataFrame, k: int, metric: str = "co
     """
     items = items.filter("vector IS NOT NULL").select("item_id", vectors.doubles(F.col("vector")).alias("vector"))
     queries = queries.filter("vector IS NOT NULL").select("query_id", vectors.doubles(F.col("vector")).alias("vector"))
-    rows, columns = max(1, -(-items.count() // ITEMS)), max(1, -(-queries.count() // QUERIES))
+    rows, columns = max(1, -(-items.count() // ITEMS)), max(1, -(-queries.count() // BLOCK))
 
     def dealt(df: DataFrame, own: str, n: int, other: str, m: int) -> DataFrame:
         block = F.pmod(F.xxhash64(df.columns[0]), F.lit(n)).cast("int")

@@ -43,7 +43,7 @@ def test_nearest_each_in_blocks(spark, monkeypatch):
     want = {i: b for i, b in zip(range(7, 300, 10), brute(x, x[7::10], 5, "cosine"))}
     for sizes in ((16_384, 1_024), (50, 4)):
         monkeypatch.setattr(search, "ITEMS", sizes[0])
-        monkeypatch.setattr(search, "QUERIES", sizes[1])
+        monkeypatch.setattr(search, "BLOCK", sizes[1])
         found = search.nearest_each(items, queries, 5)
         plan = found._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "NestedLoop" not in plan
