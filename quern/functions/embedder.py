@@ -63,7 +63,12 @@ def _total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
 
 
-def summed(hashes: Column) -> Column:
+def summed(text: Column) -> Column:
+    """See `summed_hashes`; the words of a text are hashed once."""
+    return _let(word_hashes(text), summed_hashes)
+
+
+def summed_hashes(hashes: Column) -> Column:
     """What a text's vector depends on: sums s and c of sines and cosines of h / 1e6, the number of words n, and `around`, all hashes if one wraps."""
     around = F.when(F.exists(hashes, lambda h: h >= _WRAPS), hashes).otherwise(F.array().cast("array<bigint>"))
     sines, cosines = (_total(F.transform(hashes, lambda h: f(h / F.lit(1e6)))) for f in (F.sin, F.cos))
@@ -78,18 +83,22 @@ def summed_vector(p: Column) -> Column:
     entry; the few words that wrap around are corrected.
     """
 
-    def entry(i: Column) -> Column:
-        at = i * F.lit(_STEP)
-        plain = p["s"] * F.cos(at / F.lit(1e6)) + p["c"] * F.sin(at / F.lit(1e6))
+    steps = _STEP * np.arange(DIMENSIONS)
+    cosines, sines = (F.array(*(F.lit(float(x)) for x in f(steps / 1e6))) for f in (np.cos, np.sin))
+    plain = F.zip_with(cosines, sines, lambda x, y: p["s"] * x + p["c"] * y)
+
+    def righted(v: Column, i: Column) -> Column:
+        at = i.cast("long") * F.lit(_STEP)
         wrapped = lambda h: F.when(h + at > _MASK, F.sin((h + at - F.lit(_MASK + 1)) / F.lit(1e6)) - F.sin((h + at) / F.lit(1e6))).otherwise(0.0)
-        return F.when(F.size(p["around"]) == 0, plain).otherwise(plain + _total(F.transform(p["around"], wrapped)))
+        return v + _total(F.transform(p["around"], wrapped))
+
+    raw = F.when(F.size(p["around"]) == 0, plain).otherwise(F.transform(plain, righted))
 
     def scaled(v: Column) -> Column:
         return _let(F.sqrt(_total(F.transform(v, lambda x: x * x))), lambda n: F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(first))
 
-    axes = F.sequence(F.lit(0).cast("long"), F.lit(DIMENSIONS - 1).cast("long"))
     first = F.concat(F.array(F.lit(1.0)), F.array_repeat(F.lit(0.0), DIMENSIONS - 1))
-    return F.when(p["n"] == 0, F.array_repeat(F.lit(0.0), DIMENSIONS)).otherwise(_let(F.transform(axes, entry), scaled))
+    return F.when(p["n"] == 0, F.array_repeat(F.lit(0.0), DIMENSIONS)).otherwise(_let(raw, scaled))
 
 
 def summed_similarity(p: Column, q: Column) -> Column:
@@ -111,7 +120,7 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
 def embedding(text: Column, provider: Callable[[str | None], np.ndarray] | None = None) -> Column:
     """The vectors of a text column: of `embed` as a column expression, of another provider by Arrow batches."""
     if provider is None:
-        return _let(summed(word_hashes(text)), summed_vector)
+        return _let(summed(text), summed_vector)
 
     @F.pandas_udf("array<double>")
     def run(texts: pd.Series) -> pd.Series:

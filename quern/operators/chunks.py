@@ -120,7 +120,7 @@ def chunked(rows: DataFrame, config: ChunkConfig, provider: Callable | None = No
     parted = _segments(rows, config)
     if provider is not None:
         return _chunked_by(parted, config, provider, rows.schema["id"].dataType.simpleString())
-    part = F.transform("segments", lambda s: F.struct(F.size(texts.tokens(s)).alias("size"), embedder.summed(embedder.word_hashes(s)).alias("v")))
+    part = F.transform("segments", lambda s: F.struct(F.size(texts.tokens(s)).alias("size"), embedder.summed(s).alias("v")))
     parts = parted.select("id", "segments", part.alias("p"))
     apart = lambda p, i: F.when(i > 0, embedder.summed_similarity(F.get("p", i - 1)["v"], p["v"]) < config.similarity).otherwise(False)
     parts = parts.select("id", "segments", F.transform("p", lambda p, i: F.struct(p["size"].alias("size"), apart(p, i).alias("apart"))).alias("p"))
