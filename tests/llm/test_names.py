@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quern.llm import common, decontaminate, language_id, quality_classifier, quality_rules, sentencepieces, simhash, suffix_dedup, token_counts, toxicity, url_filters
+from quern.llm import common, decontaminate, fill_in_middle, language_id, line_dedup, quality_classifier, quality_rules, sentencepieces, simhash, suffix_dedup, token_counts, toxicity, url_filters
 
 NAMES = ("id", "rows", "ROWS_", "block", "Block_", "dirty", "row", "k", "y", "fp", "key", "kind", "cell", "root", "component_id", "score", "predicted", "kept", "digest", "tag", "seeds", "n_words", "base_failed", "host", "bad", "lang_pred", "__id", "__block", "__dirty", "IDS", "decoded")
 
@@ -15,7 +15,7 @@ def clashing(docs):
 
 def test_rows_pass_through(clashing, labels, benchmark):
     names = clashing.columns
-    for out in (quality_classifier.kept(clashing, labels), simhash.representatives(clashing), suffix_dedup.deduplicated(clashing), decontaminate.clean(clashing, benchmark)):
+    for out in (quality_classifier.kept(clashing, labels), simhash.representatives(clashing), suffix_dedup.deduplicated(clashing), decontaminate.clean(clashing, benchmark), line_dedup.deduplicated(clashing)):
         assert out.columns == names
         rows = out.collect()
         assert rows and all(r[n] == 7 for r in rows for n in NAMES)
@@ -33,7 +33,7 @@ def test_other_columns_are_not_read(clashing, labels, docs, benchmark):
     model = language_id.fit(docs)
     for f in (
         lambda d: quality_rules.judged(d, labels), lambda d: decontaminate.overlaps(d, benchmark), lambda d: quality_classifier.classify(d, labels), lambda d: toxicity.classify(d, labels),
-        lambda d: language_id.identify(d, model), suffix_dedup.removed, token_counts.counted, simhash.grouped, sentencepieces.round_trips,
+        lambda d: language_id.identify(d, model), suffix_dedup.removed, token_counts.counted, simhash.grouped, sentencepieces.round_trips, fill_in_middle.digests, line_dedup.dropped,
     ):
         assert sorted(map(repr, f(clashing).collect())) == sorted(map(repr, f(few).collect()))
     pages = docs.limit(20).selectExpr("doc_id AS page_id", "concat('http://', lang, '.org/', doc_id) AS url", "text AS html")
