@@ -152,5 +152,5 @@ def rebuilt(rows: DataFrame, provider=None) -> DataFrame:
     from ..functions.embedder import embedding
 
     made = embedding(F.col("text")) if provider is None else provider(F.col("text"))
-    lacking = rows.filter("embedding IS NULL").withColumn("embedding", made.cast(rows.schema["embedding"].dataType))
+    lacking = rows.filter("embedding IS NULL").withColumn("embedding", made.cast(rows.schema["embedding"].dataType.simpleString()))
     return rows.filter("embedding IS NOT NULL").unionByName(lacking.select(rows.columns))

@@ -318,13 +318,14 @@ class Queue(StatefulProcessor):
     """Tasks of one lane: worked off in batches of `size`, at once when so many wait, else every `every_ms`.
 
     A batch that fails is worked off task by task. A task that fails waits `delay_ms` for
-    each of its failures and is given up with the `most_retries`th.
+    each of its failures and is given up with the `most_retries`th. With `flush` all that
+    has come is worked off at once, and again what failed, until nothing waits.
     """
 
     memory = "entity_uuid string, entity_type string, text string, retry_count int, due_ms long"
 
-    def __init__(self, run: Callable, one: Callable, size: int, every_ms: int, delay_ms: int, most_retries: int):
-        self.run, self.one, self.size, self.every_ms, self.delay_ms, self.most_retries = run, one, size, every_ms, delay_ms, most_retries
+    def __init__(self, run: Callable, one: Callable, size: int, every_ms: int, delay_ms: int, most_retries: int, flush: bool = False):
+        self.run, self.one, self.size, self.every_ms, self.delay_ms, self.most_retries, self.flush = run, one, size, every_ms, delay_ms, most_retries, flush
 
     def init(self, handle) -> None:
         self.handle = handle
@@ -338,7 +339,10 @@ class Queue(StatefulProcessor):
             if uuid not in known and isinstance(text, str) and text.strip():
                 tasks.append((uuid, None if pd.isna(kind) else kind, text, 0, 0))
                 known.add(uuid)
-        yield from self._worked(tasks, timerValues.getCurrentProcessingTimeInMs(), self.size)
+        if self.flush:
+            yield from self._worked(tasks, 0, 1)
+        else:
+            yield from self._worked(tasks, timerValues.getCurrentProcessingTimeInMs(), self.size)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         if self.tasks.exists():
@@ -387,7 +391,15 @@ def _each(one: Callable) -> Callable:
 
 
 def queue(
-    tasks: DataFrame, one: Callable[[str], Sequence[float]] = embed, run: Callable[[list[str]], list] | None = None, lanes: int = 8, size: int = 10, every_ms: int = 2000, delay_ms: int = 2000, most_retries: int = 3
+    tasks: DataFrame,
+    one: Callable[[str], Sequence[float]] = embed,
+    run: Callable[[list[str]], list] | None = None,
+    lanes: int = 8,
+    size: int = 10,
+    every_ms: int = 2000,
+    delay_ms: int = 2000,
+    most_retries: int = 3,
+    flush: bool = False,
 ) -> DataFrame:
     """entity_uuid, entity_type, status, retry_count, vector, error: tasks that are done or given up.
 
@@ -396,11 +408,13 @@ def queue(
     into lanes by uuid, and a lane works off its own in the order in which they came.
     run: vectors of several texts; where it raises, `one` is called for each. The state
     survives a restart. Work of a batch that was cut short is done again, but its rows
-    reach a sink that Spark commits batch by batch (files) once.
+    reach a sink that Spark commits batch by batch (files) once. flush: nothing waits,
+    neither for other tasks nor for a delay, and no timers are used: for a query that ends
+    when all has been read (availableNow), which one with timers never does.
     """
     rows = tasks.select(F.pmod(F.xxhash64("entity_uuid"), F.lit(lanes)).cast("int").alias("lane"), "id", "entity_uuid", "entity_type", "text")
-    processor = Queue(run or _each(one), one, size, every_ms, delay_ms, most_retries)
-    return rows.groupBy("lane").transformWithStateInPandas(processor, "entity_uuid string, entity_type string, status string, retry_count int, vector array<double>, error string", "Append", "ProcessingTime")
+    processor = Queue(run or _each(one), one, size, every_ms, 0 if flush else delay_ms, most_retries, flush)
+    return rows.groupBy("lane").transformWithStateInPandas(processor, "entity_uuid string, entity_type string, status string, retry_count int, vector array<double>, error string", "Append", "None" if flush else "ProcessingTime")
 
 
 # Subscribers ---------------------------------------------------------------------------
