@@ -23,11 +23,23 @@ def traces(invocations: DataFrame, ranks: dict[str, int]) -> DataFrame:
     """correlation_id, n, components: the trace of each correlation in pipeline order.
 
     Components without a rank come last; a trace's members are ordered by rank, time, id.
+    Members of equal components next to each other are gathered as one run with its length:
+    by counting where a component has its rank alone, else by their positions in the order.
     """
+    alone = [c for c, r in ranks.items() if list(ranks.values()).count(r) == 1 and r != 999]
     known = F.create_map(*(F.lit(x) for pair in ranks.items() for x in pair))
-    member = F.struct(F.coalesce(known[F.col("component_type")], F.lit(999)).alias("rank"), "created_at", "uuid", "component_type")
-    grouped = invocations.groupBy("correlation_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(member)).alias("members"))
-    return grouped.select("correlation_id", "n", F.array_join(F.transform("members", lambda m: m["component_type"]), ">").alias("components"))
+    rows = invocations.withColumn("rank", F.coalesce(known[F.col("component_type")], F.lit(999)))
+    counted = F.coalesce(F.col("component_type").isin(alone), F.lit(False))
+    n = F.count("*").alias("n")
+    one = rows.filter(counted).groupBy("correlation_id", "rank", "component_type").agg(F.lit(0).alias("position"), n)
+    order = Window.partitionBy("correlation_id").orderBy("rank", "created_at", "uuid")
+    own = Window.partitionBy("correlation_id", "component_type").orderBy("rank", "created_at", "uuid")
+    rest = rows.filter(~counted).withColumn("position", F.row_number().over(order)).withColumn("run", F.col("position") - F.row_number().over(own))
+    rest = rest.groupBy("correlation_id", "rank", "component_type", "run").agg(F.min("position").alias("position"), n).drop("run")
+    member = F.struct("rank", "position", F.col("n").cast("int").alias("n"), "component_type")
+    grouped = one.unionByName(rest).groupBy("correlation_id").agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(member)).alias("members"))
+    names = F.flatten(F.transform("members", lambda m: F.array_repeat(m["component_type"], m["n"])))
+    return grouped.select("correlation_id", "n", F.array_join(names, ">").alias("components"))
 
 
 def latest_traces(invocations: DataFrame, most: int) -> DataFrame:

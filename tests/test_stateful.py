@@ -12,7 +12,7 @@ from quern.catalogue import QUERIES
 from quern.operators import stats
 from quern.plans.reviews import _STT_TURNS
 from quern.sources.views import view
-from quern.streaming import pipelines, stateful
+from quern.streaming import pipelines, replay, stateful
 
 SF = "/root/testdata/sf0.001"
 
@@ -246,6 +246,40 @@ def test_queue_delays(spark):
     assert len(out) == 10 and set(out["status"]) == {"failed"} and set(out["retry_count"]) == {3} and not p.tasks
 
 
+def _odd_fails(text):
+    if len(text) % 2:
+        raise ValueError(text)
+    return [float(len(text))]
+
+
+def test_queue_flushes_all(spark):
+    rows = [(i, f"u{i}", "note", "x" * (i + 1)) for i in range(25)]
+    slices = [spark.createDataFrame(part, "id long, entity_uuid string, entity_type string, text string") for part in (rows[:13], [*rows[13:], (99, "none", None, None)])]
+    got = replay.appended(slices, lambda s: stateful.queue(s, _odd_fails, lanes=2, flush=True)).collect()
+    assert {r["entity_uuid"]: (r["status"], r["retry_count"]) for r in got} == {f"u{i}": ("completed", 0) if i % 2 else ("failed", 3) for i in range(25)} and len(got) == 25
+
+
+def test_replay_goes_on_and_restores_the_setting(spark, events):
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.example.Other")
+    with replay.stateful_queries(spark):
+        assert spark.conf.get(name) == before  # the module's tests use the same one
+        seen = replay.updated(replay.halves(events, "at_us"), lambda s: stateful.running_counts(with_time(s), "user_id"))
+    assert spark.conf.get(name) == "org.example.Other"
+    spark.conf.set(name, before)
+    assert seen.groupBy("user_id").agg(F.max("n").alias("n")).agg(F.sum("n")).first()[0] == events.count()
+    halves = replay.halves(events.withColumn("at_us", F.when(F.col("event_id") > 2, F.col("at_us"))), "at_us")
+    assert halves[0].count() + halves[1].count() == events.count()
+    with pytest.raises(Exception, match="nowhere"):
+        replay.appended([events], lambda s: s.withColumn("x", F.raise_error(F.lit("nowhere"))))
+
+
+def test_queue_flush_of_nothing(spark):
+    nothing = spark.createDataFrame([], "id long, entity_uuid string, entity_type string, text string")
+    assert replay.appended([nothing], lambda s: stateful.queue(s, _odd_fails, flush=True)).count() == 0
+
+
 # Subscribers ---------------------------------------------------------------------------
 
 
