@@ -57,25 +57,52 @@ def _direction(dimensions: int, seed: int) -> Column:
     return vectors.dot(F.col("vector"), F.array(*(F.lit(float(a)) for a in axis)))
 
 
+def _companies(edges: DataFrame, rows: DataFrame, degree: int) -> DataFrame:
+    """item_id, id, vector: the members of each item's company, one a row, those of an item together.
+
+    A company is the item and its neighbours in both directions, 2 * degree + 1 at most.
+    """
+    back = _nearest_edges(edges.select(F.col("neighbour").alias("item_id"), F.col("item_id").alias("neighbour"), "distance"), degree)
+    members = edges.unionByName(back).select("item_id", F.col("neighbour").alias("id")).distinct().unionByName(rows.select("item_id", F.col("item_id").alias("id")))
+    return members.join(rows.withColumnRenamed("item_id", "id"), "id").select("item_id", "id", "vector").repartition("item_id").sortWithinPartitions("item_id", "id")
+
+
 def _met(degree: int, metric: str):
-    """Edges between the members of each item's company, the nearest `degree` of each member."""
+    """Edges between the members of each company, the nearest `degree` of each member.
+
+    What is held is one batch of members and a company that goes on in the next one.
+    """
+
+    def edges(part: pa.Table) -> pa.RecordBatch:
+        of, ids, x, out = np.asarray(part["item_id"]), np.asarray(part["id"]), search._matrix(part), []
+        ends = np.append(np.flatnonzero(np.diff(of)) + 1, len(of))
+        for a, b in zip(np.append(0, ends), ends):
+            q, i, d = search.block_nearest(x[a:b], x[a:b], degree + 1, metric)
+            out.append((ids[a:b][q][q != i], ids[a:b][i][q != i], d[q != i]))
+        return _edge_batch(*(np.concatenate(c) for c in zip(*out)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
         for batch in batches:
-            members, out = batch.column("members"), []
-            at = np.asarray(members.offsets)
-            flat = members.flatten()
-            ids = np.asarray(flat.field("id"))
-            x = search._matrix(pa.table([flat.field("vector")], ["vector"]))
-            for a, b in zip(at - at[0], at[1:] - at[0]):
-                q, i, d = search.block_nearest(x[a:b], x[a:b], degree + 1, metric)
-                out.append((ids[a:b][q][q != i], ids[a:b][i][q != i], d[q != i]))
-            if out:
-                yield _edge_batch(*(np.concatenate(c) for c in zip(*out)))
+            if not batch.num_rows:
+                continue
+            part = pa.Table.from_batches([batch] if rest is None else [*rest.to_batches(), batch])
+            of = np.asarray(part["item_id"])
+            last = int(np.argmax(of == of[-1]))
+            if last:
+                yield edges(part.slice(0, last))
+            rest = part.slice(last)
+        if rest is not None:
+            yield edges(rest)
 
     return run
 
 
+def _stored(vector: Column, kind: str) -> Column:
+    """A vector as it is kept and exchanged: of floats where it is given so, else of doubles. Distances are computed in doubles."""
+    return vector if kind == "array<float>" else vectors.doubles(vector)
+
+
 def graph(items: DataFrame, degree: int = 24, rounds: int = 3, metric: str = "cosine") -> DataFrame:
     """item_id, neighbour, distance: each item's nearest found, `degree` at most.
 
@@ -83,7 +110,7 @@ def graph(items: DataFrame, degree: int = 24, rounds: int = 3, metric: str = "co
     is a written table in the shared folder, which the caller removes (`tables.remove`).
     """
     held = Written(items.sparkSession)
-    rows = held.table(items.filter("vector IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), vectors.doubles(F.col("vector")).alias("vector")))
+    rows = held.table(items.filter("vector IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), _stored(F.col("vector"), items.schema["vector"].dataType.simpleString()).alias("vector")))
     first = rows.select(F.size("vector").alias("d")).first()
     if first is None:
         return held.kept(items.sparkSession.createDataFrame([], _EDGES))
@@ -94,11 +121,8 @@ def graph(items: DataFrame, degree: int = 24, rounds: int = 3, metric: str = "co
         edges = found if edges is None else edges.unionByName(found)
     edges = held.table(_nearest_edges(edges, degree))
     for _ in range(rounds):
-        back = _nearest_edges(edges.select(F.col("neighbour").alias("item_id"), F.col("item_id").alias("neighbour"), "distance"), degree)
-        company = edges.unionByName(back).select("item_id", "neighbour").distinct().unionByName(rows.select("item_id", F.col("item_id").alias("neighbour")))
-        member = F.struct(F.col("neighbour").alias("id"), "vector")
-        met = company.join(rows.withColumnRenamed("item_id", "neighbour"), "neighbour").groupBy("item_id").agg(F.collect_list(member).alias("members"))  # 2 * degree + 1 at most
-        edges = held.table(_nearest_edges(edges.unionByName(met.select("members").mapInArrow(_met(degree, metric), _EDGES)), degree))
+        met = _companies(edges, rows, degree).mapInArrow(_met(degree, metric), _EDGES)
+        edges = held.table(_nearest_edges(edges.unionByName(met), degree))
     return held.kept(edges)
 
 
@@ -110,7 +134,7 @@ def searched(items: DataFrame, edges: DataFrame, queries: DataFrame, k: int = 10
     expanded. It ends after `steps`, or when no query has any left. A written table, see `graph`.
     """
     held = Written(items.sparkSession)
-    rows = held.table(items.filter("vector IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), vectors.doubles(F.col("vector")).alias("vector")))
+    rows = held.table(items.filter("vector IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), _stored(F.col("vector"), items.schema["vector"].dataType.simpleString()).alias("vector")))
     asked = held.table(queries.filter("vector IS NOT NULL").select("query_id", vectors.doubles(F.col("vector")).alias("q")))
     n = rows.count()
     sample = rows.filter(F.pmod(F.xxhash64("item_id"), F.lit(1_000_000)) < int(1e6 * min(1.0, entries / max(n, 1))))
@@ -124,7 +148,7 @@ def searched(items: DataFrame, edges: DataFrame, queries: DataFrame, k: int = 10
         step = open_.join(edges.select("item_id", "neighbour"), "item_id").select("query_id", F.col("neighbour").alias("item_id")).distinct()
         fresh = step.join(seen.select("query_id", "item_id"), ["query_id", "item_id"], "left_anti")
         measured = fresh.join(rows, "item_id").join(asked, "query_id")
-        measured = measured.select("query_id", "item_id", search._METRICS[metric](F.col("q"), F.col("vector")).alias("distance"), F.lit(False).alias("done"))
+        measured = measured.select("query_id", "item_id", search._METRICS[metric](F.col("q"), vectors.doubles(F.col("vector"))).alias("distance"), F.lit(False).alias("done"))
         both = seen.withColumn("done", F.lit(True)).unionByName(measured)
         seen = held.table(both.withColumn("rank", rank).filter(F.col("rank") <= width).drop("rank"))
     return held.kept(seen.withColumn("rank", rank).filter(F.col("rank") <= k).drop("done"))

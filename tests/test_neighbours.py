@@ -96,3 +96,21 @@ def test_no_items(spark, items):
     none = items.limit(0)
     edges = neighbours.graph(none)
     assert edges.count() == 0 and neighbours.searched(none, edges, items.limit(3).withColumnRenamed("item_id", "query_id")).count() == 0
+
+
+def test_companies_come_a_member_a_row(spark, items, edges):
+    """What a batch holds does not grow with the degree, and companies may lie across batches."""
+    some = items.filter("item_id < 300").select(F.col("item_id").cast("long").alias("item_id"), "vector")
+    near = edges.filter("item_id < 300 AND neighbour < 300")
+    found = neighbours._companies(near, some, 24).coalesce(1)
+    assert found.dtypes == [("item_id", "bigint"), ("id", "bigint"), ("vector", "array<float>")]
+    whole = found.toArrow().combine_chunks()
+    of = whole["item_id"].to_pylist()
+    assert len(set(of)) == 300 and max(map(of.count, set(of))) <= 49
+    out = []
+    for size in (7, 100, 100_000):
+        made = list(neighbours._met(24, "cosine")(iter(whole.to_batches(size))))
+        assert max(b.num_rows for b in made) <= 24 * (size + 49)
+        out.append(sorted(zip(*(b for b in (sum((m.column(c).to_pylist() for m in made), []) for c in range(3))))))
+    assert out[0] == out[1] == out[2] and len(out[0]) > 300
+    assert not list(neighbours._met(24, "cosine")(iter([])))
