@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,9 +30,9 @@ def sliding_windows(text: Column, window: int, overlap: int) -> Column:
     """Windows of `window` tokens that share `overlap`; the last may be shorter."""
     if overlap >= window or window < 1 or overlap < 0:
         raise ValueError("0 <= overlap < window is required")
-    words = tokens(text)
-    starts = F.when(F.size(words) > 0, F.sequence(F.lit(0), F.size(words) - 1, F.lit(window - overlap))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(words, i + 1, window), " "))
+    starts = lambda words: F.when(F.size(words) > 0, F.sequence(F.lit(0), F.size(words) - 1, F.lit(window - overlap))).otherwise(F.array().cast("array<int>"))
+    part = lambda words, i: F.array_join(F.slice(words, i + 1, window), " ")
+    return let(tokens(text), lambda words: F.transform(starts(words), lambda i: part(words, i)))
 
 
 def unstructured(text: Column) -> Column:
@@ -40,6 +42,11 @@ def unstructured(text: Column) -> Column:
     return (F.size(parts) >= 2) & (marked < 0.05 * F.size(parts))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is computed once, however often and wherever `use` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def contains_ignoring_case(text: Column, part: str) -> Column:
     return F.contains(F.lower(text), F.lit(part.lower()))
 

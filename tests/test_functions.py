@@ -193,3 +193,10 @@ def test_tools(spark):
     rows = registry.execute(spark, [("task.list", {"n": 3}), ("task.list", {}), ("no.tool", {})]).collect()
     assert [(r["success"], r["rows"]) for r in rows] == [(True, 3), (False, None), (False, None)]
     assert registry.namespaces() == ["task"] and len(registry.of("task")) == 1 and registry.exported()[0]["name"] == "task.list"
+
+
+def test_windows_split_a_text_once(spark):
+    """Not once a window, which is quadratic in a text's length."""
+    df = spark.createDataFrame([(" ".join(map(str, range(1000))),), (None,), ("",)], "text string").select(texts.sliding_windows(F.col("text"), 12, 4).alias("w"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    assert [len(r["w"]) for r in df.collect()] == [125, 0, 0]
