@@ -80,11 +80,11 @@ def packed(segments: list[str], config: ChunkConfig, provider: Callable = embed)
 
 
 def _segments(rows: DataFrame, config: ChunkConfig) -> DataFrame:
-    """id, segments of each row (id, text)."""
+    """The columns of each row but text, and the segments of its text."""
     text = F.coalesce("text", F.lit(""))
     windows, sentences = texts.sliding_windows(text, config.window, config.overlap), texts.sentences(text)
     segments = {"windows": windows, "sentences": sentences, "auto": F.when(texts.unstructured(text), windows).otherwise(sentences)}[config.segments]
-    return rows.select("id", segments.alias("segments"))
+    return rows.select(*(c for c in rows.columns if c != "text"), segments.alias("segments"))
 
 
 def packed_sizes(parts: Column, config: ChunkConfig) -> Column:
@@ -117,18 +117,35 @@ def chunked(rows: DataFrame, config: ChunkConfig, provider: Callable | None = No
     Column expressions throughout, but for vectors of a provider of one's own: these are
     computed, and the text packed, by Arrow batches.
     """
-    parted = _segments(rows, config)
     if provider is not None:
-        return _chunked_by(parted, config, provider, rows.schema["id"].dataType.simpleString())
+        return _chunked_by(_segments(rows.select("id", "text"), config), config, provider, rows.schema["id"].dataType.simpleString())
+    found = _ended(rows.select("id", "text"), config).select("id", "words", F.posexplode(_ranges(config)).alias("ordinal", "r"))
+    return found.select("id", "ordinal", F.col("r.begin").alias("start_token"), F.col("r.end").alias("end_token"), _joined(F.col("words"), F.col("r")).alias("text"))
+
+
+def _joined(words: Column, r: Column) -> Column:
+    return F.array_join(F.slice(words, r["begin"] + 1, r["end"] - r["begin"]), " ")
+
+
+def _ended(rows: DataFrame, config: ChunkConfig) -> DataFrame:
+    """The columns of each row but text, the words of its text, and `packed_sizes` of its parts as `ends`."""
+    own = [c for c in rows.columns if c != "text"]
     part = F.transform("segments", lambda s: F.struct(F.size(texts.tokens(s)).alias("size"), embedder.summed(s).alias("v")))
-    parts = parted.select("id", "segments", part.alias("p"))
+    parts = _segments(rows, config).select(*own, "segments", part.alias("p"))
     apart = lambda p, i: F.when(i > 0, embedder.summed_similarity(F.get("p", i - 1)["v"], p["v"]) < config.similarity).otherwise(False)
-    parts = parts.select("id", "segments", F.transform("p", lambda p, i: F.struct(p["size"].alias("size"), apart(p, i).alias("apart"))).alias("p"))
-    ends = parts.select("id", F.flatten(F.transform("segments", texts.tokens)).alias("words"), packed_sizes(F.col("p"), config).alias("ends"))
+    parts = parts.select(*own, "segments", F.transform("p", lambda p, i: F.struct(p["size"].alias("size"), apart(p, i).alias("apart"))).alias("p"))
+    return parts.select(*own, F.flatten(F.transform("segments", texts.tokens)).alias("words"), packed_sizes(F.col("p"), config).alias("ends"))
+
+
+def _ranges(config: ChunkConfig) -> Column:
+    """The chunks (begin, end) of a row of `_ended`, long ones cut.
+
+    Not a column of its own: of an exploded column Spark infers that it isn't empty, and
+    would compute all that is behind it for that filter, once a reference.
+    """
     begun = F.transform("ends", lambda e, i: F.struct(F.when(i > 0, F.get("ends", i - 1)).otherwise(0).alias("begin"), e.alias("end")))
     cut = lambda r: F.transform(F.sequence(r["begin"], r["end"] - 1, F.lit(config.most)), lambda b: F.struct(b.alias("begin"), F.least(b + config.most, r["end"]).alias("end")))
-    found = ends.select("id", "words", F.posexplode(F.flatten(F.transform(begun, cut))).alias("ordinal", "r"))
-    return found.select("id", "ordinal", F.col("r.begin").alias("start_token"), F.col("r.end").alias("end_token"), F.array_join(F.slice("words", F.col("r.begin") + 1, F.col("r.end") - F.col("r.begin")), " ").alias("text"))
+    return F.flatten(F.transform(begun, cut))
 
 
 def _chunked_by(parted: DataFrame, config: ChunkConfig, provider: Callable, kind: str) -> DataFrame:
@@ -166,20 +183,34 @@ def split_sentences(text: str) -> list[str]:
     return [s for s in (part.strip(" \t\n\r\x0b\x0c") for part in _BREAK.split(text)) if s]
 
 
+def parents(rows: DataFrame, provider: Callable | None = None) -> DataFrame:
+    """The upper level of `two_levels`."""
+    return chunked(rows, PARENT, provider).withColumn("config", F.lit("parent")).withColumn("chunk_id", F.sha2(F.concat_ws(":", "id", "config", "ordinal"), 256))
+
+
 def two_levels(rows: DataFrame, provider: Callable | None = None) -> DataFrame:
-    """Parent chunks, and the chunks of each parent (offsets within it), with stable ids."""
-    parents = chunked(rows, PARENT, provider).withColumn("config", F.lit("parent"))
-    parents = parents.withColumn("chunk_id", F.sha2(F.concat_ws(":", "id", "config", "ordinal"), 256))
-    children = chunked(parents.select(F.col("chunk_id").alias("id"), "text"), CHILD, provider)
-    owner = parents.select(F.col("chunk_id").alias("parent_id"), F.col("id").alias("owner"))
+    """Parent chunks, and the chunks of each parent (offsets within it), with stable ids.
+
+    Each parent is made once and gives its own row and its children's, without an exchange;
+    with a provider of one's own, parents are made anew to be joined to their children.
+    """
+    made = parents(rows, provider)
+    if provider is None:
+        ended = _ended(made.withColumn("whole", F.col("text")), CHILD)
+        row = lambda ordinal, start, end, text, config, chunk_id: F.struct(ordinal.alias("ordinal"), start.alias("start_token"), end.alias("end_token"), text.alias("text"), config.alias("config"), chunk_id.alias("chunk_id"))
+        child = lambda r, k: row(k, r["begin"], r["end"], _joined(F.col("words"), r), F.lit("child"), F.sha2(F.concat_ws(":", "chunk_id", F.lit("child"), k), 256))
+        own = row(*(F.col(c) for c in ("ordinal", "start_token", "end_token", "whole", "config", "chunk_id")))
+        return ended.select("id", F.inline(F.concat(F.array(own), F.transform(_ranges(CHILD), child))))
+    children = chunked(made.select(F.col("chunk_id").alias("id"), "text"), CHILD, provider)
+    owner = made.select(F.col("chunk_id").alias("parent_id"), F.col("id").alias("owner"))
     children = children.withColumnRenamed("id", "parent_id").join(owner, "parent_id")
     children = children.select(F.col("owner").alias("id"), "ordinal", "start_token", "end_token", "text", F.lit("child").alias("config"), F.sha2(F.concat_ws(":", "parent_id", F.lit("child"), "ordinal"), 256).alias("chunk_id"))
-    return parents.select(children.columns).unionByName(children)
+    return made.select(children.columns).unionByName(children)
 
 
-def reindexed(chunks: DataFrame, rows: DataFrame, provider: Callable | None = None) -> DataFrame:
-    """`chunks` with those of the rows' ids replaced."""
-    return chunks.join(rows.select("id"), "id", "left_anti").unionByName(two_levels(rows, provider))
+def reindexed(chunks: DataFrame, rows: DataFrame, provider: Callable | None = None, make: Callable = two_levels) -> DataFrame:
+    """`chunks` with those of the rows' ids replaced. make: what made the chunks, `two_levels` or `parents`."""
+    return chunks.join(rows.select("id"), "id", "left_anti").unionByName(make(rows, provider))
 
 
 def pending(chunks: DataFrame, entity: str = "id") -> DataFrame:

@@ -51,3 +51,12 @@ def test_chunks_by_sql(spark, rows):
     for level, config in (("parent", chunks.PARENT), ("child", chunks.CHILD)):
         found = spark.sql(f"SELECT t.id, c.ordinal, c.start_token, c.end_token, c.text FROM texts_to_chunk t, LATERAL text_chunks(t.text, '{level}') c")
         assert sorted(found.collect()) == sorted(chunks.chunked(rows, config).collect())
+
+
+def test_parents_are_made_once(rows):
+    """Both levels come from one pass without an exchange, and without a filter inferred from what is exploded."""
+    plan = chunks.two_levels(rows.filter("id < 10000"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("posexplode") == 1 and "Join" not in plan
+    assert not [line for line in plan.split("\n") if "Filter " in line and "aggregate(" in line]
+    index = chunks.reindexed(chunks.parents(rows), rows.filter("id % 2 = 0"), make=chunks.parents)
+    assert sorted(index.collect()) == sorted(chunks.two_levels(rows).filter("config = 'parent'").select(index.columns).collect())
