@@ -183,4 +183,4 @@ def txt_reindexed(spark, sf_dir):
     """An index of chunks in which those of changed texts have been replaced; parents."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     changed = docs.filter("id % 4 = 0").withColumn("text", F.concat(F.lit("Changed. "), "text"))
-    return chunks.reindexed(chunks.two_levels(docs), changed).filter("config = 'parent'").select("id", "ordinal", "start_token", "end_token", "text")
+    return chunks.reindexed(chunks.parents(docs), changed, make=chunks.parents).select("id", "ordinal", "start_token", "end_token", "text")
