@@ -12,11 +12,12 @@ from __future__ import annotations
 
 import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantType
+from pyspark.sql.types import ArrayType, BinaryType, DataType, IntegerType, MapType, StringType, StructField, StructType, VariantType
 
 from ..errors import CommitConflict, DuplicateEntity, EntityNotFound, PersistenceError, TransactionFailed, VersionConflict, spark_errors, translated
 from ..functions import files
@@ -36,15 +37,20 @@ def _ordered(kind: DataType) -> bool:
     return _ordered(kind.elementType) if isinstance(kind, ArrayType) else not isinstance(kind, (MapType, VariantType))
 
 
+def _order(rows: DataFrame) -> list[Column]:
+    """By what the rows of one key are compared, see `unique`."""
+    times = [F.col("updated_at")] if "updated_at" in rows.columns else []
+    plain = [F.col(f.name) for f in rows.schema.fields if _ordered(f.dataType)]
+    others = [F.to_json(F.struct(f.name)) for f in rows.schema.fields if not _ordered(f.dataType)]
+    return [*times, *plain, *others]
+
+
 def unique(rows: DataFrame, key: str = "uuid") -> DataFrame:
     """One row of each key: the one updated last, of those the greatest by all columns in turn.
 
     Columns that have no order (maps, variants) are compared as JSON, behind the others.
     """
-    times = [F.col("updated_at")] if "updated_at" in rows.columns else []
-    plain = [F.col(f.name) for f in rows.schema.fields if _ordered(f.dataType)]
-    others = [F.to_json(F.struct(f.name)) for f in rows.schema.fields if not _ordered(f.dataType)]
-    order = F.struct(*(c.alias(f"c{i}") for i, c in enumerate([*times, *plain, *others])))
+    order = F.struct(*(c.alias(f"c{i}") for i, c in enumerate(_order(rows))))
     return rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), order).alias("row")).select("row.*")
 
 
@@ -100,13 +106,38 @@ BUCKETS = 8
 #: How often a single operation is tried when other writers come in between.
 TRIES = 10
 
-_BUCKET = "bucket__"
+_BUCKET, _NEW = "bucket__", "new__"
 
 
 def _bucket(buckets: int, key: str = "uuid") -> Column:
     return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
 
+def _bytes(rows: DataFrame) -> int:
+    """About how many bytes rows have, unpacked; nested values and numbers count as eight."""
+    wide = [F.coalesce(F.octet_length(f.name), F.lit(0)).cast("long") for f in rows.schema.fields if isinstance(f.dataType, (StringType, BinaryType))]
+    each = F.lit(8 * (len(rows.columns) - len(wide))).cast("long")
+    return rows.select(sum(wide, each).alias("n")).agg(F.sum("n")).first()[0] or 0
+
+
+def _marked(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Both together, told apart by a column, for `_upserted` and `_deleted`."""
+    return old.withColumn(_NEW, F.lit(False)).unionByName(new.withColumn(_NEW, F.lit(True)), allowMissingColumns=True)
+
+
+def _upserted(rows: DataFrame) -> DataFrame:
+    """What `merged` gives, of marked rows that are dealt by bucket: they need not be exchanged for it, nor sorted again to be written."""
+    order = Window.partitionBy(_BUCKET, "uuid").orderBy(F.desc(_NEW), *(c.desc() for c in _order(rows.drop(_BUCKET, _NEW))))
+    seen = rows.withColumns({"place__": F.row_number().over(order), "newest__": F.first(_NEW).over(order)})
+    return seen.filter(~F.col("newest__") | (F.col("place__") == 1) | F.col("uuid").isNull() & ~F.col(_NEW)).drop("place__", "newest__", _NEW)
+
+
+def _deleted(rows: DataFrame) -> DataFrame:
+    """What `without` gives, of marked rows that are dealt by bucket, the new ones being the keys."""
+    gone = F.max(_NEW).over(Window.partitionBy(_BUCKET, "uuid"))
+    return rows.withColumn("gone__", gone).filter(~F.col(_NEW) & (~F.col("gone__") | F.col("uuid").isNull())).drop("gone__", _NEW)
+
+
 class Snapshot:
     """The tables of one manifest: what is read from it never sees a later commit."""
 
@@ -184,44 +215,70 @@ class Transaction(Snapshot):
 
     # Files ---------------------------------------------------------------------------
 
-    def _staged(self, name: str, rows: DataFrame, dealt: int, kind: str = "rows") -> dict[int, tuple[str, int, int]]:
-        """Writes rows by bucket; path, bytes and rows of each bucket that has any."""
-        where = f"{name}/{kind}-{uuid.uuid4().hex}"
-        path = f"{self.store.root}/{where}"
+    @contextmanager
+    def _failing(self, name: str) -> Iterator[None]:
+        """What goes wrong with a write is one of the store's errors."""
         try:
-            rows.withColumn(_BUCKET, _bucket(dealt)).repartition(_BUCKET).write.partitionBy(_BUCKET).parquet(path)
+            yield
+        except Exception as e:
+            found = translated(e, name)
+            raise (TransactionFailed(str(found)) if type(found) is PersistenceError else found) from e
+
+    def _staged(self, name: str, rows: DataFrame, dealt: int, within: Stage | None = None) -> dict[int, tuple[str, int, int]]:
+        """Writes rows by bucket; path, bytes and rows of each bucket that has any.
+
+        within: is applied to the rows when they have been dealt, so that what it does by
+        bucket and uuid costs no further exchange.
+        """
+        where = f"{name}/rows-{uuid.uuid4().hex}"
+        path = f"{self.store.root}/{where}"
+        with self._failing(name):
+            rows = rows.withColumn(_BUCKET, _bucket(dealt)).repartition(_BUCKET)
+            (within(rows) if within else rows).write.partitionBy(_BUCKET).parquet(path)
             sizes = self.store.manifests.sizes(where, f"{_BUCKET}=")
             if not sizes:
                 return {}
             counts = dict(self.store.spark.read.parquet(path).groupBy(_BUCKET).count().collect())  # from the footers
-        except Exception as e:
-            found = translated(e, name)
-            raise (TransactionFailed(str(found)) if type(found) is PersistenceError else found) from e
         return {k: (f"{where}/{_BUCKET}={k}", size, counts.get(k, 0)) for k, size in sizes.items()}
 
     def _incoming(self, name: str, rows: DataFrame, dealt: int) -> tuple[DataFrame, set[int]]:
         """Rows written once, as they may come out otherwise the next time, and the buckets they are for."""
-        staged = self._staged(name, rows, dealt, "incoming")
-        paths = [f"{self.store.root}/{path}" for path, _, _ in staged.values()]
-        spark = self.store.spark
-        return (spark.read.schema(rows.schema).parquet(*paths) if paths else spark.createDataFrame([], rows.schema)), set(staged)
+        path = f"{self.store.root}/{name}/incoming-{uuid.uuid4().hex}"
+        with self._failing(name):
+            rows.withColumn(_BUCKET, _bucket(dealt)).write.parquet(path)
+            read = self.store.spark.read.schema(StructType([*rows.schema.fields, StructField(_BUCKET, IntegerType())])).parquet(path)
+            touched = {r[0] for r in read.select(_BUCKET).distinct().collect()}
+        return read.drop(_BUCKET), touched
+
+    def _put(self, name: str, rows: DataFrame, touched: set[int] | None, within: Stage | None = None) -> None:
+        """Rows in place of the touched buckets, or of all; deals the table anew where buckets have grown too large.
 
-    def _put(self, name: str, rows: DataFrame, touched: set[int] | None) -> None:
-        """Rows in place of the touched buckets, or of all; deals the table anew where buckets have grown too large."""
+        A new table's rows are measured before they are dealt, by reading them once more.
+        """
         old = self._entry(name)
-        dealt = old.dealt if old else self.store.buckets
-        new = self._staged(name, rows, dealt)
+        schema = rows.drop(_NEW).schema
+        if old:
+            dealt = old.dealt
+        else:
+            with self._failing(name):
+                dealt = self._enough(_bytes(rows), self.store.buckets)
+        new = self._staged(name, rows, dealt, within)
         kept = {} if touched is None or old is None else {k: v for k, v in old.buckets.items() if k not in touched}
-        entry = Entry(rows.schema.jsonValue(), dealt, kept | new)
-        total = sum(size for _, size, _ in entry.buckets.values())
-        if total > self.store.bucket_bytes * dealt:
-            while total * 2 > self.store.bucket_bytes * dealt:
-                dealt *= 2
-            entry, touched = Entry(entry.schema, dealt, self._staged(name, self._rows(entry), dealt)), None
+        entry = Entry(schema.jsonValue(), dealt, kept | new)
+        more = self._enough(sum(size for _, size, _ in entry.buckets.values()), dealt)
+        if more > dealt:
+            entry, touched = Entry(entry.schema, more, self._staged(name, self._rows(entry), more)), None
         self.changes[name] = entry
         before = self.touched.get(name, set())
         self.touched[name] = None if touched is None or before is None or old is None else before | touched
 
+    def _enough(self, size: int, dealt: int) -> int:
+        """As many buckets, or so many more that so many bytes fill half of them."""
+        if size > self.store.bucket_bytes * dealt:
+            while size * 2 > self.store.bucket_bytes * dealt:
+                dealt *= 2
+        return dealt
+
     # Writes --------------------------------------------------------------------------
 
     def replace(self, name: str, rows: DataFrame) -> None:
@@ -232,14 +289,14 @@ class Transaction(Snapshot):
         """Upsert; of rows with one uuid one stays, see `unique`."""
         entry = self._entry(name)
         if entry is None:
-            self._put(name, unique(rows), None)
+            self._put(name, rows.withColumn(_NEW, F.lit(True)), None, _upserted)
             return
         known = {f.name: f.dataType for f in StructType.fromJson(entry.schema).fields}
         if any(known.get(f.name, f.dataType) != f.dataType for f in rows.schema.fields):
             self._put(name, merged(self.read(name), rows), None)  # a column gets another type
             return
         rows, touched = self._incoming(name, rows, entry.dealt)
-        self._put(name, merged(self._rows(entry, touched), rows), touched)
+        self._put(name, _marked(self._rows(entry, touched), rows), touched, _upserted)
 
     def combine(self, name: str, rows: DataFrame, how: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
         """`how(old, rows)` in place of the buckets that rows (each uuid once) belong to; a missing table counts as empty."""
@@ -276,7 +333,7 @@ class Transaction(Snapshot):
             return None
         for stage in before:
             stage(gone)
-        self._put(name, without(old, keys), touched)
+        self._put(name, _marked(old, keys), touched, _deleted)
         return gone
 
     def delete_where(self, name: str, condition: Column) -> int:
@@ -303,7 +360,7 @@ class Transaction(Snapshot):
         if not rows.join(old.select("uuid"), "uuid", "left_anti").isEmpty():
             raise EntityNotFound(f"{name}: a key is missing")
         applied, conflicts = compare_and_set(old, rows)
-        self._put(name, merged(old, applied), touched)
+        self._put(name, _marked(old, applied), touched, _upserted)
         return conflicts
 
     def mark_synced(self, name: str, confirmed: DataFrame) -> None:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from quern.errors import CommitConflict, DuplicateEntity, EntityNotFound, QueryFailed, VersionConflict
 from quern.schemas import NAMES, schema
-from quern.sources.store import EntityStore, blobs, inserted, typed_view, unique
+from quern.sources.store import EntityStore, blobs, inserted, merged, typed_view, unique, without
 
 
 def rows(spark, *data):
@@ -214,3 +214,46 @@ def test_reads_raise_the_stores_errors(spark, store):
     with pytest.raises(EntityNotFound):
         store.delete("nowhere", rows(spark, ("q", "q", 1)))
     assert store.query("things", lambda df: df.filter("uuid = 'a'").select("name"))[0]["name"] == "one"
+
+
+def shuffled(spark, what):
+    """Bytes that `what` exchanges."""
+    scala = spark.sparkContext._jsc.sc()
+
+    def now():
+        scala.listenerBus().waitUntilEmpty(30_000)
+        return scala.statusStore().executorSummary("driver").totalShuffleWrite()
+
+    before = now()
+    what()
+    return now() - before
+
+
+def test_a_write_exchanges_contents_once(spark, tmp_path):
+    made = spark.range(400).selectExpr("id AS uuid", "transform(sequence(1, 300), i -> hash(id, i)) AS numbers")
+    docs = made.select("uuid", F.concat_ws("", F.transform("numbers", lambda n: F.sha2(n.cast("string"), 256))).cast("binary").alias("content"))
+    docs.write.parquet(f"file://{tmp_path}/docs")
+    docs = spark.read.parquet(f"file://{tmp_path}/docs")
+    contents = EntityStore(spark, f"file://{tmp_path}/s", buckets=2, bucket_bytes=500_000)
+    once = shuffled(spark, lambda: docs.repartition(4, "uuid").write.parquet(f"file://{tmp_path}/dealt"))
+    assert shuffled(spark, lambda: contents.save("blobs", docs)) < 1.2 * once
+    assert len(list(tmp_path.glob("s/blobs/rows-*"))) == 1 and contents.manifests.latest().tables["blobs"].dealt > 2  # into enough buckets at once
+    assert shuffled(spark, lambda: contents.save("blobs", docs.filter("uuid % 4 = 0").withColumn("content", F.reverse("content")))) < 1.5 * once
+    assert shuffled(spark, lambda: contents.delete("blobs", docs.filter("uuid % 5 = 0"))) < 1.2 * once
+    want = docs.filter("uuid % 5 <> 0").withColumn("content", F.when(F.col("uuid") % 4 == 0, F.reverse("content")).otherwise(F.col("content")))
+    assert contents.count("blobs") == 320 and contents.read("blobs").exceptAll(want).isEmpty()
+
+
+def test_writes_give_what_the_functions_give(spark, tmp_path):
+    """Rows without uuid, uuids that come several times, columns on one side and values without order."""
+    old = spark.sql("SELECT * FROM VALUES ('a', 1, map('k', 1)), ('b', 1, map('k', 1)), ('b', 2, NULL), (NULL, 1, NULL), (NULL, 2, NULL), ('c', 3, NULL) AS t(uuid, n, m)")
+    new = spark.sql("SELECT * FROM VALUES ('a', 5, 2), ('a', 7, 1), ('d', NULL, 1), ('d', 0, NULL), (NULL, 9, 9), (NULL, 8, 9) AS t(uuid, n, extra)")
+    found = EntityStore(spark, f"file://{tmp_path}/s", buckets=3)
+    found.save("fresh", new)
+    found.commit({"things": old})
+    found.save("things", new)
+    plain = lambda rows: sorted(repr(sorted(r.asDict().items())) for r in rows.collect())
+    assert plain(found.read("fresh")) == plain(unique(new)) and plain(found.read("things")) == plain(merged(old, new))
+    found.commit({"things": old})
+    assert found.delete("things", new.select("uuid")) == 1
+    assert plain(found.read("things")) == plain(without(old, new))
