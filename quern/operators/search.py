@@ -12,8 +12,8 @@ from ..functions import vectors
 
 #: Items of a block, and query vectors of one, about; a task holds one of each.
 ITEMS, BLOCK = 16_384, 1_024
-#: Items whose distances to a block of queries are computed at once.
-_AT_ONCE = 4_096
+#: Items and queries whose products are computed at once, and pairs of them whose distances are.
+_AT_ONCE, _QUERIES, _PAIRS = 4_096, 256, 16_384
 #: By how much the product of two blocks may be off, as a share of the vectors' lengths.
 _MARGIN = 1e-9
 
@@ -55,32 +55,45 @@ def block_nearest(x: np.ndarray, q: np.ndarray, k: int, metric: str = "cosine")
         xs, qs, own = x, q, (x * x).sum(1) / 2
         scale = ((q * q).sum(1) + 2 * own.max() + 1)[:, None]
     found = []
-    for at in range(0, len(x), _AT_ONCE):
-        near = own[at : at + _AT_ONCE] - qs @ xs[at : at + _AT_ONCE].T
-        kth = np.partition(near, k - 1, 1)[:, k - 1 : k] if near.shape[1] > k else near.max(1, keepdims=True)
-        query, item = np.nonzero(near <= kth + _MARGIN * scale)
-        found.append((query, item + at))
-    query, item = (np.concatenate(c) for c in zip(*found))
-    distance = _distances(q[query], x[item], metric)
+    for first in range(0, len(q), _QUERIES):
+        part = slice(first, first + _QUERIES)
+        best = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        for at in range(0, len(x), _AT_ONCE):
+            near = own[at : at + _AT_ONCE] - qs[part] @ xs[at : at + _AT_ONCE].T
+            kth = np.partition(near, k - 1, 1)[:, k - 1 : k] if near.shape[1] > k else near.max(1, keepdims=True)
+            query, item = np.nonzero(near <= kth + _MARGIN * scale[part])
+            query, item = query + first, item + at
+            # Where many are equally near, they are many pairs: no copy of all their vectors.
+            pieces = (slice(i, i + _PAIRS) for i in range(0, len(query), _PAIRS))
+            distance = np.concatenate([np.zeros(0), *(_distances(q[query[p]], x[item[p]], metric) for p in pieces)])
+            best = _least(k, *(np.concatenate(c) for c in zip(best, (query, item, distance))))
+        found.append(best)
+    query, item, distance = (np.concatenate(c) for c in zip(*found))
+    return query, item, distance
+
+
+def _least(k: int, query: np.ndarray, item: np.ndarray, distance: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k nearest items of each query, of equals the first."""
     order = np.lexsort((item, distance, query))
-    query, item, distance = query[order], item[order], distance[order]
-    place = np.arange(len(query)) - np.searchsorted(query, query)
-    return query[place < k], item[place < k], distance[place < k]
+    place = np.arange(len(order)) - np.searchsorted(query[order], query[order])
+    kept = order[place < k]
+    return query[kept], item[kept], distance[kept]
 
 
 def _of_block(k: int, metric: str):
     def run(items, queries):
-        items = items.take(pc.sort_indices(items, [("item_id", "ascending")]))
-        x, q = _matrix(items), _matrix(queries)
+        order = pc.sort_indices(items, [("item_id", "ascending")])
+        ids, x, q = items["item_id"].take(order), _matrix(items)[np.asarray(order)], _matrix(queries)
         if x.size and len(q):
             # Of equal vectors only the k with the least ids can be among the nearest.
             _, copy = np.unique(x.view(np.dtype((np.void, x.itemsize * x.shape[1]))).ravel(), return_inverse=True)
             order = np.argsort(copy, kind="stable")
             place = np.arange(len(copy)) - np.searchsorted(copy[order], copy[order])
-            keep = np.sort(order[place < k])
-            items, x = items.take(pa.array(keep)), x[keep]
+            if (place >= k).any():
+                keep = np.sort(order[place < k])
+                ids, x = ids.take(pa.array(keep)), x[keep]
         query, item, distance = block_nearest(x, q, k, metric)
-        return pa.table([queries["query_id"].take(pa.array(query)), items["item_id"].take(pa.array(item)), pa.array(distance)], ["query_id", "item_id", "distance"])
+        return pa.table([queries["query_id"].take(pa.array(query)), ids.take(pa.array(item)), pa.array(distance)], ["query_id", "item_id", "distance"])
 
     return run
 
@@ -98,12 +111,17 @@ def nearest_each(items: DataFrame, queries: DataFrame, k: int, metric: str = "co
     """query_id, item_id, distance, rank of the k nearest items of each query; ties by id.
 
     Any number of both. They are dealt into blocks; each block of items meets each block
-    of queries in one task, as a product of matrices, of which k rows a query are left:
-    what is exchanged behind it are queries x k x blocks of items. Rows without a vector
-    are left out; it is an error if vectors differ in length.
+    of queries in one task, as products of matrices of a fixed size, of which k rows a
+    query are left: what is exchanged behind it are queries x k x blocks of items. Floats
+    become doubles in the task. Rows without a vector are left out; it is an error if
+    vectors differ in length.
     """
-    items = items.filter("vector IS NOT NULL").select("item_id", vectors.doubles(F.col("vector")).alias("vector"))
-    queries = queries.filter("vector IS NOT NULL").select("query_id", vectors.doubles(F.col("vector")).alias("vector"))
+
+    def plain(df: DataFrame, key: str) -> DataFrame:
+        floats = df.schema["vector"].dataType.simpleString() == "array<float>"
+        return df.filter("vector IS NOT NULL").select(key, (F.col("vector") if floats else vectors.doubles(F.col("vector"))).alias("vector"))
+
+    items, queries = plain(items, "item_id"), plain(queries, "query_id")
     rows, columns = max(1, -(-items.count() // ITEMS)), max(1, -(-queries.count() // BLOCK))
 
     def dealt(df: DataFrame, own: str, n: int, other: str, m: int) -> DataFrame:

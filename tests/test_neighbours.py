@@ -1,5 +1,7 @@
 """Block search against brute force, and the neighbour graph's recall."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -114,3 +116,34 @@ def test_companies_come_a_member_a_row(spark, items, edges):
         out.append(sorted(zip(*(b for b in (sum((m.column(c).to_pylist() for m in made), []) for c in range(3))))))
     assert out[0] == out[1] == out[2] and len(out[0]) > 300
     assert not list(neighbours._met(24, "cosine")(iter([])))
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+def test_memory_of_a_block_is_bounded(metric):
+    """Also where all items are equally near: of 500,000 pairs a few are compared at a time."""
+    rng = np.random.default_rng(5)
+    if metric == "cosine":
+        x = np.outer(2.0 ** rng.integers(-9, 9, 2_000), rng.normal(size=64))
+    else:
+        x = rng.permuted(np.tile([1.0, 0.0], (2_000, 32)), axis=1)
+    q = rng.normal(size=(250, 64)) if metric == "cosine" else np.zeros((250, 64))
+    tracemalloc.start()
+    query, item, distance = search.block_nearest(x, q, 5, metric)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120e6
+    assert list(query) == [i for i in range(250) for _ in range(5)] and (np.diff(distance.reshape(250, 5)) >= 0).all()
+    if metric == "euclidean":
+        assert list(item) == [*range(5)] * 250
+
+
+def test_memory_of_full_blocks():
+    rng = np.random.default_rng(6)
+    x, q = rng.normal(size=(8_192, 64)), rng.normal(size=(1_024, 64))
+    tracemalloc.start()
+    query, item, _ = search.block_nearest(x, q, 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50e6 and len(query) == 5 * 1_024
+    near = (q[::100] / np.linalg.norm(q[::100], axis=1, keepdims=True)) @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T
+    assert (item.reshape(-1, 5)[::100] == np.argsort(-near, 1)[:, :5]).all()
