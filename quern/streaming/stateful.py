@@ -7,10 +7,11 @@ query's checkpoint, so that a restarted query goes on where the last whole batch
 from __future__ import annotations
 
 import itertools
+import json
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.query import StreamingQuery
@@ -29,11 +30,17 @@ def state_store(spark: SparkSession) -> None:
 # Folds in event order ------------------------------------------------------------------
 
 
+#: Rows that wait in one element of a list, at most.
+PACK = 1_000
+
+
 class InOrder(StatefulProcessor):
     """Folds the rows of each key by (at_us, event_id), each as soon as the watermark has passed it.
 
     Rows wait in a list until no earlier one can come any more, so that the result does not
     depend on the order of arrival; those behind the watermark have been dropped before.
+    What waits is packed, many rows (of numbers, strings and booleans) to an element: each
+    element is a value that the state store has to be sent and asked for.
     A fold has one state (a tuple of `memory`'s fields) and may set a time in microseconds
     at which it wants to be called if no row comes until then.
     """
@@ -57,54 +64,58 @@ class InOrder(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", f"at_us long, event_id long, {self.fields}")
+        self.waiting = handle.getListState("waiting", "packed string")
         self.state = handle.getValueState("state", self.memory)
         self.names = ["at_us", "event_id", *(f.split()[0] for f in self.fields.split(", "))]
+        self.out = Row(self.key, *(f.split()[0] for f in self.output.split(", ")))
 
     def _wake(self, at_us: int) -> None:
         self.handle.registerTimer(-(-at_us // 1000))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        first = None
-        for frame in rows:
-            if not len(frame):
-                continue
-            new = [tuple(None if pd.isna(v) else v for v in r) for r in frame[self.names].astype(object).itertuples(index=False)]
-            self.waiting.appendList(new)
-            first = min([r[0] for r in new] + ([first] if first is not None else []))
-        if first is not None:
-            self._wake(first)
+    @staticmethod
+    def _packed(rows: list[tuple]) -> list[tuple[str]]:
+        return [(json.dumps(rows[i : i + PACK]),) for i in range(0, len(rows), PACK)]
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        new = [tuple(row[n] for n in self.names) for row in rows]
+        if new:
+            self.waiting.appendList(self._packed(new))
+            self._wake(min(r[0] for r in new))
         yield from ()
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         past = timerValues.getCurrentWatermarkInMs() * 1000
-        waiting = list(self.waiting.get()) if self.waiting.exists() else []
+        waiting = [tuple(r) for (packed,) in self.waiting.get() for r in json.loads(packed)]
         ready = sorted((r for r in waiting if r[0] <= past), key=lambda r: r[:2])
-        state, out = (tuple(self.state.get()) if self.state.exists() else None), []
+        before = self.state.get()
+        state, out = before, []
         for row in ready:
             if state is not None and (due := self.due(state)) is not None and row[0] > due:
                 state, more = self.expire(key, state)
                 out += more
-            state, more = self.step(key, state, tuple(row))
+            state, more = self.step(key, state, row)
             out += more
         due = self.due(state) if state is not None else None
         if due is not None and due <= past:
             state, more = self.expire(key, state)
             out, due = out + more, None
         if len(ready) < len(waiting):
-            left = [tuple(r) for r in waiting if r[0] > past]
-            self.waiting.put(left)
+            left = [r for r in waiting if r[0] > past]
+            if ready:
+                self.waiting.put(self._packed(left))
             self._wake(min(r[0] for r in left))
         elif waiting:
             self.waiting.clear()
         if state is None:
-            self.state.clear()
+            if before is not None:
+                self.state.clear()
         else:
-            self.state.update(state)
+            if state != before:
+                self.state.update(state)
             if due is not None:
                 self._wake(due)
-        if out:
-            yield pd.DataFrame([(*key, *r) for r in out], columns=[self.key, *(f.split()[0] for f in self.output.split(", "))])
+        for row in out:
+            yield self.out(*key, *row)
 
     def close(self) -> None:
         pass
@@ -115,7 +126,7 @@ def in_order(events: DataFrame, key: str, processor: InOrder, late: str) -> Data
     processor.key = key
     rows = events.withWatermark("at", late).withColumn("at_us", F.unix_micros("at"))
     rows = rows.select(key, "at", "at_us", F.col("event_id").cast("long").alias("event_id"), *(F.col(f.split()[0]) for f in processor.fields.split(", ")))
-    return rows.groupBy(key).transformWithStateInPandas(processor, f"{key} {events.schema[key].dataType.simpleString()}, {processor.output}", "Append", "EventTime")
+    return rows.groupBy(key).transformWithState(processor, f"{key} {events.schema[key].dataType.simpleString()}, {processor.output}", "Append", "EventTime")
 
 
 class TurnAssembly(InOrder):

@@ -6,6 +6,7 @@ from collections import Counter
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from quern.catalogue import QUERIES
@@ -313,3 +314,44 @@ def test_subscribers_are_independent(spark, tmp_path):
     ids = sorted(r["event_id"] for r in events.collect())
     assert sorted(seen["all"]) == ids and sorted(seen["late"]) == [i for i in ids if i >= 300] and sum(bad) == len(ids)
     assert sorted(seen["errors"]) == sorted(r["event_id"] for r in events.filter("event_id < 300 AND event_type = 'error'").collect())
+
+
+def test_waiting_rows_are_packed():
+    """2,500 rows of a key wait as three values of the state store, and come out in order."""
+
+    class Kept(list):
+        get = lambda self: iter(list(self))
+        appendList = list.extend
+
+        def put(self, rows):
+            self[:] = rows
+
+    class One(Kept):
+        get = lambda self: self[0] if self else None
+
+        def update(self, value):
+            self[:] = [value]
+
+    class Handle:
+        timers = []
+        registerTimer = timers.append
+
+        def getListState(self, name, schema):
+            return Kept()
+
+        def getValueState(self, name, schema):
+            return One()
+
+    class Now:
+        def getCurrentWatermarkInMs(self):
+            return 2_000
+
+    p = stateful.Changes(None)
+    p.key = "user_id"
+    p.init(Handle())
+    rows = [Row(user_id=7, at_us=(i * 7919 % 2_500 + 1) * 1000, event_id=i, value=None if i % 5 == 0 else "ab"[i % 2]) for i in range(2_500)]
+    assert list(p.handleInputRows((7,), iter(rows), None)) == [] and len(p.waiting) == 3 and Handle.timers == [1]
+    out = list(p.handleExpiredTimer((7,), Now(), None))
+    ready = sorted((r for r in rows if r.at_us <= 2_000_000), key=lambda r: r.at_us)
+    want = [(r.event_id, r.value, b.value if b else None) for b, r in zip([None, *ready], ready) if (b.value if b else None) != r.value]
+    assert [tuple(r)[1:] for r in out] == want and len(p.waiting) == 1 and p.state.get() == (ready[-1].value, 2_000_000) and Handle.timers[1:] == [2001]
